@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .pieces import sentencepiece_round_trip
 from .token_files import token_files
 
 
@@ -16,6 +17,10 @@ def op5_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_files,)}
+def op9_sentencepiece(spark, sf_dir):
+    return sentencepiece_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op5_token_files, op9_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {}
