@@ -8,8 +8,10 @@ of the pair that begins at each place), and all rows take their best pair in one
 
 No piece of such a vocabulary has a word mark after another character, or a line feed, so
 no merge crosses those places: a text is cut there into units, equal units are encoded
-once per worker, and the units' ids are joined.  Every unit that enters the cache is
-checked against the sentencepiece library, one call for each Arrow slice.
+once per worker, and the units' ids are joined.  A unit is cut once more after its
+letters if no piece holds the two characters that meet there.  Every unit whose agenda
+was run, and the shortest text of each Arrow slice, is checked against the sentencepiece
+library.
 
 Defined results: null text is empty; an empty text has no ids and decodes to an empty
 text; repeated rows give repeated rows; other columns are ignored.
@@ -37,6 +39,7 @@ FIRST_CHAR = 1 << 21
 NONE = 1 << 40
 #: Units up to the last width go through agendas(), in groups of like length.
 WIDTHS = (4, 8, 12, 16, 24, 32)
+_WORD_END = re.compile(f"{MARK}*[^\\W\\d_]+")
 _UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -56,6 +59,7 @@ class MergeEncoder:
         self.piece = {p.piece: i for i, p in enumerate(model.pieces) if p.type == normal}
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.piece):
             raise ValueError("a piece crosses a word mark or a line feed")
+        self.inside = {p[k : k + 2] for p in self.piece for k in range(len(p) - 1)}
         self.order = {p.piece: -p.score for p in model.pieces if p.type == normal}
         fallback = {p.piece: i for i, p in enumerate(model.pieces) if p.type == model.SentencePiece.BYTE}
         unknown = next(i for i, p in enumerate(model.pieces) if p.type == model.SentencePiece.UNKNOWN)
@@ -152,9 +156,10 @@ class MergeEncoder:
     def _learn(self, units: list[str]) -> None:
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
-        new = [u for u in dict.fromkeys(units) if u not in self.cache]
-        if not new:
-            return
+        cache = self.cache
+        whole = [u for u in dict.fromkeys(units) if u not in cache]
+        parts = {u: (u[:k], u[k:]) for u in whole if (m := _WORD_END.match(u)) and (k := m.end()) < len(u) and u[k - 1 : k + 1] not in self.inside}
+        new = [u for u in dict.fromkeys(x for u in whole for x in parts.get(u, (u,))) if u not in cache]
         new.sort(key=len)
         ids, at, size = [], 0, [len(u) for u in new]
         for width in WIDTHS:
@@ -167,10 +172,13 @@ class MergeEncoder:
         expected = self.agenda(MARK)
         for x in ids:
             expected += feed + x
-        if self.library.encode("\n" + "\n".join(new).replace(MARK, " ")) != expected:
+        if new and self.library.encode("\n" + "\n".join(new).replace(MARK, " ")) != expected:
             raise RuntimeError("the agenda's ids differ from the library's")
         for u, x in zip(new, ids, strict=True):
-            self.cache[u] = (np.array(x, np.int32), b",".join([self.said[i] for i in x]))
+            cache[u] = (np.array(x, np.int32), b",".join([self.said[i] for i in x]))
+        for u, (a, b) in parts.items():
+            (x, s), (y, t) = cache[a], cache[b]
+            cache[u] = (np.concatenate((x, y)), s + b"," + t)
 
     def encode(self, texts: pa.Array) -> tuple[list[list[int]], list[bytes]]:
         """Ids of each text, and the same as decimal numbers joined by commas."""
@@ -213,6 +221,9 @@ class MergeEncoder:
             else:
                 out.append(flat[ends[a] : ends[b]].tolist())
                 lines.append(b",".join(names[codes[a:b]].tolist()))
+        probe = min((i for i, x in enumerate(out) if x), key=lambda i: len(out[i]), default=None)
+        if probe is not None and self.library.encode(texts[probe].as_py()) != out[probe]:
+            raise RuntimeError("a text's ids differ from the library's")
         return out, lines
 
 
