@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .pieces import sentencepiece_round_trip
+from .simhash import simhash_components
 from .token_files import token_files
 
 
@@ -13,6 +14,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash_components(table(spark, sf_dir, "documents"), radius=3)
+
+
 def op5_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
@@ -21,6 +26,6 @@ def op9_sentencepiece(spark, sf_dir):
     return sentencepiece_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_files, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op5_token_files, op9_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {}
