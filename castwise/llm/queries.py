@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .boosted_trees import quality_scores
 from .common import table
+from .licenses import license_scan
 from .pieces import sentencepiece_round_trip
 from .simhash import simhash_components
 from .token_files import token_files
+from .topk import TOP_K_SQL, top_k
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,14 +21,26 @@ def op3_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"), radius=3)
 
 
+def op4_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"), coverage=0.8)
+
+
 def op5_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op6_quality(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=0.7, sample=20_000)
+
+
+def op8_top_k(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, query_every=20, factor=64)
+
+
 def op9_sentencepiece(spark, sf_dir):
     return sentencepiece_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_token_files, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_license_scan, op5_token_files, op6_quality, op8_top_k, op9_sentencepiece)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_top_k": TOP_K_SQL}
