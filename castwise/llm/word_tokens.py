@@ -22,7 +22,10 @@ from .common import by_document, gather
 #: Distinct words that a worker remembers; beyond it starts anew (a cache: results don't depend on it).
 CACHE_WORDS = 600_000
 
-_ASCII_WORD = re.compile(rb"([a-z]+)([^a-z0-9'\x00-\x20\x7f<|]*)")
+#: Of each slice, the text nearest to this many bytes is encoded whole as well.
+PROBE = 2000
+
+_ASCII_WORD = re.compile(rb"([a-z]+)([!-&(-/:;=-@[-`{}~]*)")  # ASCII punctuation but ' < |
 
 
 class WordEncoder:
@@ -78,7 +81,7 @@ class WordEncoder:
         ids, n = gather(np.asarray(coded.indices, dtype=np.int64), np.cumsum(length) - length, length, flat)
         ends = by_document(words, n)
         size = np.asarray(pc.binary_length(texts).fill_null(0))
-        probe = int(np.argmin(np.where(size > 0, size, 1 << 40))) if len(size) else 0
+        probe = int(np.argmin(np.where(size > 0, np.abs(size - PROBE), 1 << 40))) if len(size) else 0
         if len(size) and size[probe] > 0:
             whole = self.tokenizer.encode(texts[probe].as_py(), add_special_tokens=False).ids
             if whole != ids[ends[probe] : ends[probe + 1]].tolist():
