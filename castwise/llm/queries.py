@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .boosted_trees import quality_scores
 from .common import table
 from .licenses import license_scan
+from .line_dedup import line_dedup
+from .packing import pack
 from .pieces import sentencepiece_round_trip
 from .simhash import simhash_components
 from .token_files import token_files
@@ -17,6 +21,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark, sf_dir):
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=5)
+    return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), "text")
+
+
 def op3_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"), radius=3)
 
@@ -33,6 +42,10 @@ def op6_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=0.7, sample=20_000)
 
 
+def op7_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, length=2048)
+
+
 def op8_top_k(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"), k=20, query_every=20, factor=64)
 
@@ -41,6 +54,6 @@ def op9_sentencepiece(spark, sf_dir):
     return sentencepiece_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_license_scan, op5_token_files, op6_quality, op8_top_k, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_simhash, op4_license_scan, op5_token_files, op6_quality, op7_packing, op8_top_k, op9_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {"op8_top_k": TOP_K_SQL}
