@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .boosted_trees import quality_scores
 from .common import table
+from .imatch import imatch
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .packing import pack
@@ -26,6 +27,10 @@ def op1_line_dedup(spark, sf_dir):
     return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), "text")
 
 
+def op2_imatch(spark, sf_dir):
+    return imatch(table(spark, sf_dir, "documents"), low=0.002, high=0.05)
+
+
 def op3_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"), radius=3)
 
@@ -54,6 +59,6 @@ def op9_sentencepiece(spark, sf_dir):
     return sentencepiece_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_simhash, op4_license_scan, op5_token_files, op6_quality, op7_packing, op8_top_k, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_imatch, op3_simhash, op4_license_scan, op5_token_files, op6_quality, op7_packing, op8_top_k, op9_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {"op8_top_k": TOP_K_SQL}
