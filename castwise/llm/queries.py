@@ -11,6 +11,7 @@ from .licenses import license_scan
 from .line_dedup import line_dedup
 from .packing import pack
 from .pieces import sentencepiece_round_trip
+from .pii import pii_spans
 from .simhash import simhash_components
 from .token_files import token_files
 from .topk import TOP_K_SQL, top_k
@@ -59,6 +60,10 @@ def op9_sentencepiece(spark, sf_dir):
     return sentencepiece_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_imatch, op3_simhash, op4_license_scan, op5_token_files, op6_quality, op7_packing, op8_top_k, op9_sentencepiece)}
+def op10_pii(spark, sf_dir):
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_imatch, op3_simhash, op4_license_scan, op5_token_files, op6_quality, op7_packing, op8_top_k, op9_sentencepiece, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {"op8_top_k": TOP_K_SQL}
