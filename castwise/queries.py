@@ -211,12 +211,12 @@ def composition_ratios(spark, d):
 
 @query(A_SQL + "SELECT * FROM clo")
 def partof_closure(spark, d):
-    return hierarchy.closure(adapters.order_relations(spark, d, adapters.order_cast(spark, d)))
+    return hierarchy.closure(adapters.order_relations(spark, d, adapters.order_cast(spark, d)), depth=2)
 
 
 @query(A_SQL + "SELECT play_id, part, whole FROM (SELECT *, row_number() OVER (PARTITION BY play_id, part ORDER BY depth DESC, whole) AS r FROM clo) WHERE r = 1")
 def partof_targets(spark, d):
-    return hierarchy.targets(hierarchy.closure(adapters.order_relations(spark, d, adapters.order_cast(spark, d))))
+    return hierarchy.targets(hierarchy.closure(adapters.order_relations(spark, d, adapters.order_cast(spark, d)), depth=2))
 
 
 A_AGG = A_SQL + ", ag AS MATERIALIZED (SELECT DISTINCT c.play_id, seg_id, whole AS char_id FROM c JOIN rel ON rel.play_id = c.play_id AND rel.part = c.char_id) "
@@ -226,7 +226,7 @@ A_AGG = A_SQL + ", ag AS MATERIALIZED (SELECT DISTINCT c.play_id, seg_id, whole
 def aggregated_cast(spark, d):
     cast = adapters.order_cast(spark, d)
     direct = adapters.order_relations(spark, d, cast).where("whole < 200000")
-    return hierarchy.projected(cast.select("play_id", "seg_id", "char_id"), hierarchy.targets(hierarchy.closure(direct)))
+    return hierarchy.projected(cast.select("play_id", "seg_id", "char_id"), hierarchy.targets(hierarchy.closure(direct, depth=1)))
 
 
 @query(A_AGG + "SELECT x.play_id, x.char_id AS src, y.char_id AS dst, count(*) AS segments_shared, 0::BIGINT AS words_shared FROM ag x JOIN ag y ON x.play_id = y.play_id AND x.seg_id = y.seg_id AND x.char_id < y.char_id GROUP BY ALL")
@@ -239,9 +239,9 @@ def one_body_pairs_excluded(spark, d):
     """Nations stand beside their suppliers here; no one is joined to a whole they are part of."""
     cast = adapters.order_cast(spark, d).select("play_id", "seg_id", "char_id")
     relations = adapters.order_relations(spark, d, cast)
-    nations = hierarchy.projected(cast, hierarchy.targets(hierarchy.closure(relations.where("whole < 200000"))))
+    nations = hierarchy.projected(cast, hierarchy.targets(hierarchy.closure(relations.where("whole < 200000"), depth=1)))
     both = cast.unionByName(nations).distinct()
-    return graph.static_edges(graph.pairs(both, hierarchy.closure(relations))).select("play_id", "src", "dst", "segments_shared")
+    return graph.static_edges(graph.pairs(both, hierarchy.closure(relations, depth=2))).select("play_id", "src", "dst", "segments_shared")
 
 
 @query(A_SQL + ", gm AS (SELECT rel.play_id, whole, bool_and(is_mute) AS mute FROM rel JOIN n ON n.play_id = rel.play_id AND n.char_id = rel.part GROUP BY ALL) SELECT rel.play_id, rel.part, rel.whole FROM rel JOIN n ON n.play_id = rel.play_id AND n.char_id = rel.part JOIN gm ON gm.play_id = rel.play_id AND gm.whole = rel.whole WHERE is_mute AND NOT mute")
@@ -249,7 +249,7 @@ def absorb_silent_parts(spark, d):
     """A nation speaks if any of its suppliers does; its mute suppliers are absorbed."""
     cast = adapters.order_cast(spark, d)
     direct = adapters.order_relations(spark, d, cast).where("whole < 200000")
-    target = hierarchy.targets(hierarchy.closure(direct))
+    target = hierarchy.targets(hierarchy.closure(direct, depth=1))
     own = cast.groupBy("play_id", "char_id").agg((~F.max("speaks")).alias("is_mute"))
     heard = hierarchy.projected(cast.select("play_id", "char_id", "speaks"), target, distinct=False).groupBy("play_id", "char_id").agg((~F.max("speaks")).alias("is_mute"))
     return hierarchy.silent_parts(own.unionByName(heard), target)
