@@ -81,11 +81,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     keyed = texts(docs).withColumn("th", text_hash())
     prints = pinned(keyed.mapInArrow(run, "doc_id long, th long, print long, windows array<struct<span: long, content: long>>"))
-    again = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    again = pinned(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))  # so that the join reads two exchanges and a hot line's rows are split
     around = prints.join(again, "print").select("doc_id", "th", "print", F.explode("windows").alias("w"))
     around = pinned(around.select("doc_id", "th", "print", "w.content", "w.span"))
     here = F.struct(F.col("doc_id"), F.col("th"), F.col("span"))
-    first = around.groupBy("print", "content").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1")
+    first = pinned(around.groupBy("print", "content").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1"))
     later = around.join(first.select("print", "content", "first"), ["print", "content"]).where(~here.eqNullSafe(F.col("first")))
     line = lambda x: x.cast("int")
     run_of = F.struct(line(F.shiftright("span", 32)).alias("first"), line(F.col("span").bitwiseAND(0xFFFFFFFF)).alias("last"))
