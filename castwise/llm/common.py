@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker works on at once (one longer text is taken alone).
@@ -31,6 +31,22 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """_row (all columns, so that no name clashes), doc_id, text (null: empty) and th."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    return docs.select(row).select("_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.coalesce("_row.text", F.lit("")).alias("text")).withColumn("th", text_hash())
+
+
+def unpacked(rows: DataFrame, columns: list[str], text: Column | None = None, *also: Column) -> DataFrame:
+    """The columns of packed() rows; where ``text`` isn't null it is the new text, and n_chars its length."""
+    out = []
+    for c in columns:
+        old = F.col(f"_row.`{c}`")
+        new = {"text": text, "n_chars": F.length(text).cast("long")}.get(c) if text is not None else None
+        out.append((old if new is None else F.when(text.isNotNull(), new).otherwise(old)).alias(c))
+    return rows.select(*out, *also)
+
+
 def text_hash(column: str = "text"):
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 

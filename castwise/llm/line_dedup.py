@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, slices, text_hash, texts
+from .common import packed, pinned, slices, text_hash, texts, unpacked
 
 MIN_WORDS = 5
 
@@ -92,26 +92,28 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.groupBy("doc_id", "th").agg(F.collect_set(run_of).alias("runs"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows and columns of docs with repeated runs cut out of text; _lines and _removed count lines."""
+def _cut(docs: DataFrame, min_words: int) -> DataFrame:
+    """packed() rows with _cut (the new text, null where nothing goes), _lines and _removed."""
     runs = repeated_runs(docs, min_words).select(F.struct("doc_id", "th").alias("_run_key"), "runs")
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th")))
-    joined = keyed.join(runs, keyed["_key"].eqNullSafe(runs["_run_key"]), "left")
-    lines = F.split("text", "\n")
-    # places of the deleted lines, each once and sorted, so that a text's lines are passed once
+    rows = packed(docs).withColumn("_key", F.struct("doc_id", "th"))
+    joined = rows.join(runs, rows["_key"].eqNullSafe(runs["_run_key"]), "left").withColumn("_all", F.split("text", "\n"))
+    # places of the deleted lines, each once
     gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))
-    left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    out = joined.withColumn("_gone", gone).withColumn("_left", F.when(F.col("runs").isNotNull(), left))
-    removed = F.when(F.col("runs").isNull(), 0).otherwise(F.size(lines) - F.size("_left"))
-    out = out.withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))).withColumn("_removed", removed)
-    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
-    return out.withColumn("text", text).select(*docs.columns, "_lines", "_removed")
+    out = joined.withColumn("_gone", gone)
+    left = F.filter("_all", lambda x, i: ~F.array_contains(F.col("_gone"), i))
+    out = out.withColumn("_left", F.when(F.col("runs").isNotNull(), left))
+    removed = F.when(F.col("_left").isNull(), 0).otherwise(F.size("_all") - F.size("_left"))
+    lines = F.when(F.col("_row.text").isNull(), 0).otherwise(F.size("_all"))
+    return out.select("_row", F.array_join("_left", "\n").alias("_cut"), lines.alias("_lines"), removed.alias("_removed"))
+
+
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows and columns of docs with repeated runs cut out of text (and n_chars as it is then); _lines and _removed count lines."""
+    own = [c for c in docs.columns if c not in ("_lines", "_removed")]
+    return unpacked(_cut(docs, min_words), own, F.col("_cut"), F.col("_lines"), F.col("_removed"))
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their lines deduplicated and n_chars as it is then; a text that lost all its words goes."""
-    out = line_dedup(docs, min_words)
-    kept = out.where((F.col("_removed") == 0) | (F.trim(F.regexp_replace("text", "\\s+", " ")) != ""))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    out = _cut(docs, min_words).where("_cut IS NULL OR _cut RLIKE '[^\\\\s]'")
+    return unpacked(out, docs.columns, F.col("_cut"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, text_hash, texts
+from .common import packed, pinned, text_hash, texts, unpacked
 
 # The kinds in order and their patterns. Repeats that nothing follows are possessive: the same matches without recursion.
 PATTERNS = {
@@ -161,9 +161,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs with spans generalised or removed in text, and n_chars as it is then."""
     _, terms = _spans(docs)
-    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
-    rows = docs.select(whole).select("_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.coalesce("_row.text", F.lit("")).alias("text"))
-    rows = rows.withColumn("th", text_hash()).withColumn("spans", base_spans(F.col("text")))
+    rows = packed(docs).withColumn("spans", base_spans(F.col("text")))
     out = _with_terms(rows, terms, "_row", "text")
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("as")))
@@ -179,8 +177,4 @@ def sanitised(docs: DataFrame) -> DataFrame:
     clean = F.aggregate(all_spans, begin, step, lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
     changed = F.size("spans") + F.size("terms") > 0
     out = out.withColumn("_clean", F.when(changed, clean))
-    columns = []
-    for c in docs.columns:
-        old = F.col(f"_row.{c}")
-        columns.append((F.coalesce("_clean", old) if c == "text" else F.when(F.col("_clean").isNotNull(), F.length("_clean").cast("long")).otherwise(old) if c == "n_chars" else old).alias(c))
-    return out.select(*columns)
+    return unpacked(out, docs.columns, F.col("_clean"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import pinned, slices, text_hash, texts
+from .common import packed, pinned, slices, text_hash, texts, unpacked
 from .components import components
 
 SHARD = 2048
@@ -219,8 +219,8 @@ def simhash_components(docs: DataFrame, radius: int = 3) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The rows of docs, all columns, one for each component: that of its first (doc_id, th)."""
     keep = classes(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("th") == F.col("component.th")))
-    keep = keep.select(F.struct(F.col("doc_id"), "th").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th")))
-    kept = keyed.join(keep, keyed["_key"].eqNullSafe(keep["_key"]), "left_semi")
-    one = Window.partitionBy("_key").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    keep = keep.select(F.struct("doc_id", "th").alias("_kept")).distinct()
+    rows = packed(docs).withColumn("_key", F.struct("doc_id", "th"))
+    kept = rows.join(keep, rows["_key"].eqNullSafe(keep["_kept"]), "left_semi")
+    one = Window.partitionBy("_key").orderBy(F.lit(0))  # equal rows: one of them
+    return unpacked(kept.withColumn("_n", F.row_number().over(one)).where("_n = 1"), docs.columns)
