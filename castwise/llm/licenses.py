@@ -6,7 +6,8 @@ ends have been matched.  Coverage is the matched share of the template's words.
 
 A text can reach the coverage only if it holds enough of the template's words, and then at
 least one of the template words that are rarest in it is matched; windows around those
-words are aligned, so long texts and repeated statements are scanned whole.
+words are aligned, a narrow one where the template would lie (statements that follow each
+other repeat all words) and a wide one, so long texts and repeated statements are scanned whole.
 
 Defined results: one row for each statement found (none for empty or null texts); a match
 spreads over at most twice as many words as it matches; of overlapping finds of one
@@ -103,19 +104,20 @@ def scan(text: list[str], template: list[str], coverage: float = COVERAGE) -> li
             break
         rare.append(w)
         left -= wanted[w]
-    rare, reach, finds = set(rare), 2 * len(template), []
-    for p in (i for i, w in enumerate(text) if w in rare):
-        low = max(0, p - reach)
-        match = align(text[low : p + reach], template)
+    n, finds = len(template), []
+    place = {w: [j for j, x in enumerate(template) if x == w] for w in rare}
+    stretches = ((max(0, p - j - slack), p - j + n + slack) for p, w in enumerate(text) if w in place for j in place[w] for slack in (n // 2, 2 * n))
+    for low, high in dict.fromkeys(stretches):
+        match = align(text[low:high], template)
         if len(match) < need:
             continue
         first, last = low + match[0][0], low + match[-1][0] + 1
         if last - first <= 2 * len(match):
             finds.append((-len(match), first, last))
     out: list[tuple[int, int, float]] = []
-    for n, first, last in sorted(set(finds)):
+    for less, first, last in sorted(set(finds)):
         if all(last <= a or first >= b for a, b, _ in out):
-            out.append((first, last, -n / len(template)))
+            out.append((first, last, -less / n))
     return sorted(out)
 
 
