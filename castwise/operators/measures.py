@@ -147,3 +147,61 @@ def near_pairs(plays: DataFrame, order: str = "order", reach: int = 5) -> DataFr
 def degree_anchor(average: Column) -> Column:
     """The power of two nearest to the median average degree; 8 without any."""
     return F.coalesce(F.pow(F.lit(2.0), F.round(F.log2(F.median(average)))), F.lit(8.0))
+
+
+def line_ranges(segments: DataFrame, by=PLAY) -> DataFrame:
+    """Adds line_start, line_end: from a segment's first line to before the next known start, else to its own last line.
+
+    segments: by, seg_id, first_line, last_line (null where nothing has a line).
+    """
+    after = Window.partitionBy(*by).orderBy("seg_id").rowsBetween(1, Window.unboundedFollowing)
+    following = F.first("first_line", ignorenulls=True).over(after)
+    end = F.coalesce(following - 1, F.col("last_line"), F.col("first_line"))
+    return segments.withColumn("line_end", F.when(F.col("first_line").isNotNull(), end)).withColumn("line_start", F.col("first_line"))
+
+
+def coincident(points: DataFrame, x: str, y: str, key: str = "play_id") -> DataFrame:
+    """Adds place and places of each point among those at the same rounded spot, in order of key."""
+    spot = Window.partitionBy(F.round(x), F.round(y))
+    return points.withColumn("place", F.row_number().over(spot.orderBy(key)).cast("long")).withColumn("places", F.count("*").over(spot))
+
+
+def bands(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Adds band: which run of neighbours with an equal group a row is in, and shaded for every other one.
+
+    Rows are one per play of a corpus, sorted by group first, so runs are groups.
+    """
+    return rows.withColumn("band", F.dense_rank().over(Window.orderBy(*group)).cast("long")).withColumn("shaded", F.col("band") % 2 == 1).orderBy(*order)
+
+
+def heatmap_edges(cast: DataFrame, speech: DataFrame, part_of: DataFrame | None = None, by=PLAY) -> DataFrame:
+    """by, present_pairs, speaking_pairs and their densities and mean degrees: distinct pairs in a segment together."""
+    from .graph import pairs
+
+    def told(rows: DataFrame, name: str) -> DataFrame:
+        return pairs(rows, part_of, by).select(*by, "src", "dst").distinct().groupBy(*by).agg(F.count("*").alias(name))
+
+    n = cast.groupBy(*by).agg(F.count_distinct("char_id").alias("_n"))
+    x = n.join(told(cast, "present_pairs"), list(by), "left").join(told(speech.where("words > 0"), "speaking_pairs"), list(by), "left").fillna(0, ["present_pairs", "speaking_pairs"])
+    most = F.col("_n") * (F.col("_n") - 1)
+    density = lambda c: F.when(most > 0, 2 * F.col(c) / most).otherwise(0.0)
+    return x.select(*by, "present_pairs", "speaking_pairs", density("present_pairs").alias("present_density"), density("speaking_pairs").alias("speaking_density"), (2 * F.col("present_pairs") / F.col("_n")).alias("present_degree"), (2 * F.col("speaking_pairs") / F.col("_n")).alias("speaking_degree"))
+
+
+def heatmap_orders(cast: DataFrame, speech: DataFrame, passages: DataFrame, by=PLAY) -> DataFrame:
+    """by, char_id and its row under four orders: loudest, appearance, mobility, alphabetical."""
+    words = speech.groupBy(*by, "char_id").agg(F.sum("words").alias("words"))
+    x = cast.groupBy(*by, "char_id").agg(F.min("seg_id").alias("first")).join(words, [*by, "char_id"], "left").join(passages.select(*by, "char_id", "passages"), [*by, "char_id"], "left").fillna(0, ["words", "passages"])
+    w = Window.partitionBy(*by)
+    name = F.col("char_id").cast("string")
+    orders = {"loudest": (F.desc("words"), name), "appearance": (F.asc("first"), name), "mobility": (F.desc("passages"), F.desc("words"), name), "alphabetical": (name,)}
+    return x.select(*by, "char_id", *(F.row_number().over(w.orderBy(*o)).cast("long").alias(k) for k, o in orders.items()))
+
+
+def delimited(columns, separator: str = ",") -> Column:
+    """One line of a table: values with a quote, line feed, comma or semicolon are quoted."""
+    def cell(c):
+        v = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.when(v.rlike('["\n,;]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+
+    return F.concat_ws(separator, *map(cell, columns))

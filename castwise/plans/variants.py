@@ -70,3 +70,10 @@ def comparison(cast: DataFrame, segments: DataFrame, target: DataFrame) -> DataF
     count = segments.groupBy("play_id").agg(F.count("*").alias("segments"))
     speech = measures.speech_distribution(rows, state).drop("total_words")
     return size.join(index, list(by)).join(count, "play_id").join(speech, list(state), "left")
+
+
+def masks(plays: DataFrame, groups: Column) -> DataFrame:
+    """play_id, mask, groups: the non-empty subsets of an array of groups, one row for each bit mask."""
+    own = plays.withColumn("_all", groups).withColumn("mask", F.explode(F.sequence(F.lit(1).cast("long"), (F.pow(F.lit(2), F.size("_all")) - 1).cast("long"))))
+    chosen = F.filter("_all", lambda g, i: F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("long")) > 0)
+    return own.select("play_id", "mask", F.array_join(chosen, ",").alias("groups"))

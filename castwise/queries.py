@@ -499,3 +499,111 @@ def comparison_table(spark, d):
     direct = adapters.order_relations(spark, d, cast).where("whole < 200000")
     x = variants.comparison(cast, adapters.order_segments(cast), hierarchy.targets(hierarchy.closure(direct, depth=1)))
     return x.select("model", "aggregated", "play_id", "order", "edges", *r6("density", "avg_degree"), "segments", *r6("all_in_index", "final_cast_share", "gini_words", "effective_speakers", "top_share"))
+
+
+# ---------------------------------------------------------------- what the pages compute
+
+
+@query(B_SQL + ", lr AS (SELECT play_id, seg_id, min(pos) AS line_start, max(pos) AS last FROM sg WHERE type = 'speech' GROUP BY ALL), al AS (SELECT seg.play_id, seg.seg_id, line_start, last FROM seg LEFT JOIN lr ON lr.play_id = seg.play_id AND lr.seg_id = seg.seg_id) SELECT play_id, seg_id, line_start, CASE WHEN line_start IS NOT NULL THEN coalesce((SELECT min(line_start) FROM lr WHERE lr.play_id = al.play_id AND lr.seg_id > al.seg_id) - 1, last) END AS line_end FROM al")
+def line_ranges(spark, d):
+    """Positions of speeches stand for source lines here."""
+    _, _, _, stream = b_stream(spark, d)
+    own = stream.groupBy("play_id", "seg_id").agg(F.min(F.when(F.col("type") == "speech", F.col("pos"))).alias("first_line"), F.max(F.when(F.col("type") == "speech", F.col("pos"))).alias("last_line"))
+    return measures.line_ranges(own).select("play_id", "seg_id", "line_start", "line_end")
+
+
+@query(B_SQL + "SELECT play_id, seg_id, string_agg(char_id || ':' || words::VARCHAR, ',' ORDER BY char_id) AS words_by_speaker FROM spk WHERE words > 0 GROUP BY ALL")
+def words_by_speaker(spark, d):
+    spoken = segment.segment_speakers(b_stream(spark, d)[3]).where("words > 0")
+    told = F.sort_array(F.collect_list(F.struct("char_id", F.concat_ws(":", "char_id", F.col("words").cast("string")).alias("t"))))
+    return spoken.groupBy("play_id", "seg_id").agg(F.array_join(F.transform(told, lambda x: x["t"]), ",").alias("words_by_speaker"))
+
+
+@query(B_SQL + ", ff AS (SELECT fold.play_id, fold_id, min(start_pos) AS start_pos, max(end_pos) AS end_pos, sum(word_count)::BIGINT AS word_count, count(*) AS members FROM fold JOIN seg ON seg.play_id = fold.play_id AND seg.seg_id = fold.seg_id GROUP BY ALL) SELECT * FROM ff")
+def folded_segments(spark, d):
+    _, _, here, stream = b_stream(spark, d)
+    segments = segment.sd_segments(stream)
+    folds = segment.equality_fold(segment.cast_sets(segments, segment.sd_cast(stream, here)))
+    return segment.folded(segments, folds).groupBy("play_id", F.col("seg_id").alias("fold_id")).agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("word_count").alias("word_count"), F.count("*").alias("members"))
+
+
+@query(A_SQL + ", h1 AS (SELECT play_id, count(DISTINCT char_id) AS k FROM c GROUP BY ALL), h2 AS (SELECT x.play_id, count(DISTINCT (x.char_id, y.char_id)) AS sp FROM c x JOIN c y ON x.play_id = y.play_id AND x.seg_id = y.seg_id AND x.char_id < y.char_id AND x.words > 0 AND y.words > 0 GROUP BY ALL), h3 AS (SELECT play_id, count(*) AS pp FROM e GROUP BY ALL) SELECT play_id, coalesce(pp, 0) AS present_pairs, coalesce(sp, 0) AS speaking_pairs, round(CASE WHEN k > 1 THEN 2 * coalesce(pp, 0) / (k * (k - 1)) ELSE 0 END, 6) AS present_density, round(CASE WHEN k > 1 THEN 2 * coalesce(sp, 0) / (k * (k - 1)) ELSE 0 END, 6) AS speaking_density, round(2 * coalesce(pp, 0) / k, 6) AS present_degree, round(2 * coalesce(sp, 0) / k, 6) AS speaking_degree FROM h1 LEFT JOIN h2 USING (play_id) LEFT JOIN h3 USING (play_id)")
+def heatmap_edges(spark, d):
+    cast = adapters.order_cast(spark, d)
+    return measures.heatmap_edges(cast, cast).select("play_id", "present_pairs", "speaking_pairs", *r6("present_density", "speaking_density", "present_degree", "speaking_degree"))
+
+
+@query(A_SQL + ", ho AS (SELECT play_id, char_id, min(seg_id) AS f, sum(words) AS w FROM c GROUP BY ALL), hp AS (SELECT play_id, char_id, 2 * count(*) AS p FROM sp GROUP BY ALL) SELECT play_id, char_id, row_number() OVER (PARTITION BY play_id ORDER BY w DESC, char_id::VARCHAR) AS loudest, row_number() OVER (PARTITION BY play_id ORDER BY f, char_id::VARCHAR) AS appearance, row_number() OVER (PARTITION BY play_id ORDER BY p DESC, w DESC, char_id::VARCHAR) AS mobility, row_number() OVER (PARTITION BY play_id ORDER BY char_id::VARCHAR) AS alphabetical FROM ho JOIN hp USING (play_id, char_id)")
+def heatmap_orders(spark, d):
+    cast = adapters.order_cast(spark, d)
+    return measures.heatmap_orders(cast, cast, measures.threshold_passages(graph.spells(cast, "char_id")))
+
+
+@query(A_SQL + ", fo AS (SELECT play_id, min(char_id) AS focus FROM n GROUP BY ALL) SELECT play_id, focus, src, dst, segments_shared FROM e JOIN fo USING (play_id) WHERE src = focus OR dst = focus")
+def ego_network(spark, d):
+    _, _, nodes, edges = a_graph(spark, d)
+    focus = nodes.groupBy("play_id").agg(F.min("char_id").alias("char_id"))
+    return graph.ego(edges, focus).select("play_id", "focus", "src", "dst", "segments_shared")
+
+
+@query(A_SQL + 'SELECT play_id, row_number() OVER (PARTITION BY round("order"), round(num_edges) ORDER BY play_id) AS place, count(*) OVER (PARTITION BY round("order"), round(num_edges)) AS places FROM sz')
+def coincident_dots(spark, d):
+    _, _, nodes, edges = a_graph(spark, d)
+    return measures.coincident(graph.network_size(nodes, edges), "order", "num_edges").select("play_id", "place", "places")
+
+
+@query(A_SQL + "SELECT play_id, dense_rank() OVER (ORDER BY split_part(play_id, '-', 1)) AS band, dense_rank() OVER (ORDER BY split_part(play_id, '-', 1)) % 2 = 1 AS shaded FROM sz")
+def alternating_bands(spark, d):
+    plays = adapters.order_cast(spark, d).select("play_id").distinct().withColumn("author", F.split("play_id", "-")[0])
+    return measures.bands(plays, ["author"], ["author", "play_id"]).select("play_id", "band", "shaded")
+
+
+@query(A_SQL + "SELECT sum(speakers)::BIGINT AS speakers, sum(mutes)::BIGINT AS mutes, round(sum(speakers) / nullif(sum(mutes), 0), 6) AS speaker_mute_ratio, min(speakers) AS least_speakers, max(speakers) AS most_speakers, count(*) AS plays FROM dem")
+def kpi_ranges(spark, d):
+    x = measures.demographics(adapters.order_characters(spark, d, adapters.order_cast(spark, d)))
+    return x.agg(F.sum("speakers").alias("speakers"), F.sum("mutes").alias("mutes"), F.round(F.try_divide(F.sum("speakers"), F.sum("mutes")), 6).alias("speaker_mute_ratio"), F.min("speakers").alias("least_speakers"), F.max("speakers").alias("most_speakers"), F.count("*").alias("plays"))
+
+
+@query(A_SQL + ", tw AS (SELECT play_id, char_id, sum(words)::BIGINT AS w FROM c GROUP BY ALL), tt AS (SELECT play_id, arg_min(char_id, (-w, char_id)) AS char_id FROM tw WHERE w > 0 GROUP BY play_id) SELECT tg.play_id, tg.char_id AS top_speaker, round(2 * sum(i * words) / (count(*) * sum(words)) - (count(*) + 1) / count(*), 6) AS temporal_gini FROM tg JOIN tt ON tt.play_id = tg.play_id AND tt.char_id = tg.char_id GROUP BY ALL")
+def top_speaker_temporal_gini(spark, d):
+    cast, segments, _, _ = a_graph(spark, d)
+    top = measures.speech_distribution(cast).select("play_id", F.col("top_speaker").alias("char_id"))
+    gini = measures.temporal_gini(cast, cast, segment.active_span(segments, cast))
+    return top.join(gini, ["play_id", "char_id"]).select("play_id", F.col("char_id").alias("top_speaker"), "temporal_gini")
+
+
+@query("""SELECT n_nationkey::VARCHAR AS play_id, m AS mask, array_to_string(list_filter(['chorus', 'guards', 'women'], lambda g: (m >> (list_position(['chorus', 'guards', 'women'], g) - 1)) & 1 = 1), ',') AS groups FROM nation, range(1, 8) t(m)""")
+def group_subsets(spark, d):
+    """The lattice of a play with three groups: every non-empty subset, from a bit mask."""
+    plays = adapters.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("play_id"))
+    return variants.masks(plays, F.array(F.lit("chorus"), F.lit("guards"), F.lit("women")))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN regexp_matches(p_name, '[\"\n,;]') THEN '\"' || replace(p_name, '\"', '\"\"') || '\"' ELSE p_name END || ',' || CASE WHEN p_size % 5 = 0 THEN '\"' || p_brand || ';' || p_size::VARCHAR || '\"' ELSE p_brand END AS line FROM part")
+def table_export(spark, d):
+    x = adapters.table(spark, d, "part").withColumn("brand", F.when(F.col("p_size") % 5 == 0, F.concat_ws(";", "p_brand", F.col("p_size").cast("string"))).otherwise(F.col("p_brand")))
+    return x.select(F.col("p_partkey").alias("id"), measures.delimited(["p_name", "brand"]).alias("line"))
+
+
+@query(A_SQL + "SELECT ch.play_id, ch.char_id, CASE WHEN is_mute THEN 'mute' WHEN is_chorus THEN 'chorus' WHEN is_collective THEN 'collective' ELSE 'individual' END AS role, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY ch.play_id ORDER BY coalesce(degree, 0) DESC, ch.char_id) AS place FROM ch LEFT JOIN dg ON dg.play_id = ch.play_id AND dg.char_id = ch.char_id")
+def character_roster(spark, d):
+    """Declared characters with their network's degree, by degree and id."""
+    from pyspark.sql import Window
+
+    from .functions import role
+
+    cast, _, nodes, edges = a_graph(spark, d)
+    people = adapters.order_characters(spark, d, cast)
+    x = people.join(graph.degrees(nodes, edges), ["play_id", "char_id"], "left").fillna(0, ["degree"])
+    w = Window.partitionBy("play_id").orderBy(F.desc("degree"), "char_id")
+    return x.select("play_id", "char_id", role(F.col("is_mute"), F.col("is_chorus"), F.col("is_collective")).alias("role"), "degree", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query(A_SQL + "SELECT play_id, string_agg(word_count::VARCHAR, ',' ORDER BY seg_id) AS words, (SELECT string_agg(k::VARCHAR, ',' ORDER BY seg_id) FROM (SELECT seg_id, count(*) AS k FROM c WHERE c.play_id = s.play_id GROUP BY seg_id)) AS sizes FROM s GROUP BY play_id")
+def play_summary(spark, d):
+    """Per-segment series of each play as arrays (shown joined)."""
+    cast, segments, _, _ = a_graph(spark, d)
+    x = graph.dynamic_metrics(segments, cast, graph.pairs(cast))
+    rows = x.groupBy("play_id").agg(F.sort_array(F.collect_list(F.struct("seg_id", "word_count", "size"))).alias("r"))
+    told = lambda f: F.array_join(F.transform("r", lambda v: v[f].cast("string")), ",")
+    return rows.select("play_id", told("word_count").alias("words"), told("size").alias("sizes"))
