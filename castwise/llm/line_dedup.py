@@ -117,3 +117,22 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their lines deduplicated and n_chars as it is then; a text that lost all its words goes."""
     out = _cut(docs, min_words).where("_cut IS NULL OR _cut RLIKE '[^\\\\s]'")
     return unpacked(out, docs.columns, F.col("_cut"))
+
+
+#: The rule itself, over all windows: what winnowing and the joins above must give.
+LINE_DEDUP_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, array_to_string(list_filter(regexp_split_to_array(ls[i], '[\t-\r ]+'), lambda w: w <> ''), ' ') AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+n AS (SELECT *, len(string_split(t, ' ')) AS k FROM l WHERE t <> ''),
+w AS MATERIALIZED (SELECT doc_id, i, t, k, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, sum(k) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM n),
+f AS (SELECT a.doc_id, a.r AS ra, min(b.r) AS rb FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.r >= a.r AND b.c - a.c + a.k >= 5 GROUP BY ALL),
+g AS (SELECT b.doc_id, max(a.r) AS ra, b.r AS rb FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.r >= a.r AND b.c - a.c + a.k >= 5 GROUP BY b.doc_id, b.r),
+s AS (SELECT * FROM f UNION SELECT doc_id, ra, rb FROM g),
+x AS MATERIALIZED (SELECT s.doc_id, ra, rb, min(w.i) AS ia, max(w.i) AS ib, string_agg(t, chr(10) ORDER BY w.r) AS content FROM s JOIN w ON w.doc_id = s.doc_id AND w.r BETWEEN ra AND rb GROUP BY ALL),
+e AS (SELECT content, min((doc_id, ia)) AS first FROM x GROUP BY content),
+gone AS (SELECT DISTINCT doc_id, unnest(range(ia, ib + 1)) AS i FROM x JOIN e USING (content) WHERE (doc_id, ia) <> first),
+o AS (SELECT doc_id, list(i) AS gs FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gs), 0)::BIGINT AS n_removed,
+  CASE WHEN gs IS NULL THEN text ELSE coalesce(array_to_string(list_filter(ls, lambda v, j: NOT list_contains(gs, j)), chr(10)), '') END AS text
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id
+"""

@@ -8,7 +8,7 @@ from .boosted_trees import quality_scores
 from .common import table
 from .imatch import imatch
 from .licenses import license_scan
-from .line_dedup import line_dedup
+from .line_dedup import LINE_DEDUP_SQL, line_dedup
 from .packing import pack
 from .pieces import sentencepiece_round_trip
 from .pii import pii_spans
@@ -66,4 +66,4 @@ def op10_pii(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_imatch, op3_simhash, op4_license_scan, op5_token_files, op6_quality, op7_packing, op8_top_k, op9_sentencepiece, op10_pii)}
 
-ORACLE_SQL: dict[str, str] = {"op8_top_k": TOP_K_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op8_top_k": TOP_K_SQL}
