@@ -24,12 +24,29 @@ def escape(value: Column) -> Column:
 
 
 def script_safe(value: Column) -> Column:
-    """JSON that can stand inside a script element."""
-    for a, b in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"), (" ", "\\u2029")):
-        value = F.replace(value, F.lit(a), F.lit(b))
+    """JSON that can stand inside a script element: no markup characters, no line or paragraph separators."""
+    for point in (0x3C, 0x3E, 0x26, 0x2028, 0x2029):
+        value = F.replace(value, F.lit(chr(point)), F.lit(f"\\u{point:04x}"))
     return value
 
 
+def payload_json(a: dict[str, DataFrame]) -> DataFrame:
+    """play_id, payload: all that a page of one variant shows, as script-safe JSON (segments, characters, edges, comparison row)."""
+
+    def rows(df: DataFrame, name: str, *order: str) -> DataFrame:
+        rest = [c for c in df.columns if c != "play_id" and c not in order]
+        return df.groupBy("play_id").agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
+
+    line = a["comparison"].join(a["variants"].withColumnsRenamed({"play": "id", "groups": "aggregated"}), ["id", "segmentation", "model", "aggregated"])
+    head = line.select("play_id", F.struct(*(c for c in line.columns if c != "play_id")).alias("comparison"))
+    words = a["speech"].where("words > 0").groupBy("play_id", "seg_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("char_id", "words")))).alias("words_by_speaker"))
+    segments = segments_csv(a).join(words.withColumnRenamed("seg_id", "segment_id"), ["play_id", "segment_id"], "left")
+    # a map has no order, so it goes into the sorted rows as JSON of its own
+    segments = segments.withColumn("words_by_speaker", F.coalesce(F.to_json("words_by_speaker"), F.lit("{}")))
+    x = head.join(rows(segments, "segments", "segment_id"), "play_id", "left").join(rows(characters_csv(a), "characters", "id"), "play_id", "left").join(rows(network_csv(a), "edges", "Source", "Target"), "play_id", "left")
+    return x.select("play_id", script_safe(F.to_json(F.struct("comparison", "segments", "characters", "edges"))).alias("payload"))
+
+
 def characters_csv(a: dict[str, DataFrame]) -> DataFrame:
     """Every declared character of each variant's play, blank where it isn't in the network."""
     v = a["variants"]

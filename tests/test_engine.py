@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 from xml.etree import ElementTree
 
@@ -229,6 +230,8 @@ def test_corpus(spark, tmp_path):
     for df, column in ((exports.gexf(a), "gexf"), (exports.gexf(a, dynamic=True), "gexf"), (exports.graphml(a), "graphml")):
         for r in df.collect():
             ElementTree.fromstring(r[column].split("\n", 1)[1])
+    for r in exports.payload_json(a).collect():
+        assert "<" not in r["payload"] and {c["id"] for c in json.loads(r["payload"])["characters"]} <= {"a", "b", "g", "p1", "p2", "m"}
     made = exports.write(a, t["plays"], str(tmp_path / "out"))
     assert len(made) == 3 * 8
     assert {r["id"] for r in exports.characters_csv(a).collect()} == {"a", "b", "g", "p1", "p2", "m"}
@@ -258,6 +261,11 @@ def test_cli(spark, tmp_path, capsys):
     assert (tmp_path / "o" / "Demo" / "sd" / "characters.csv").exists()
 
 
+def test_script_safe(spark):
+    text = "a b<c>&\u2028\u2029"
+    assert spark.range(1).select(exports.script_safe(F.lit(text))).first()[0] == "a b\\u003cc\\u003e\\u0026\\u2028\\u2029"
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from castwise.streaming.stage import presence_changes
 
