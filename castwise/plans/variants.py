@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, hierarchy, measures
+from .pin import pinned
 
 MODELS = {"full": (True, "stage"), "p-speaking": (False, "stage"), "s-speaking": (False, "speaking")}
 
@@ -58,11 +59,11 @@ def comparison(cast: DataFrame, segments: DataFrame, target: DataFrame) -> DataF
     """
     state = ("aggregated", "play_id")
     by = ("model", "aggregated", "play_id")
-    rows = aggregated_casts(cast, target)
+    rows = pinned(aggregated_casts(cast, target))
     heard = rows.groupBy(*state, "char_id").agg(F.max("speaks").alias("_heard"))
     flagged = rows.join(heard, [*state, "char_id"])
     wanted = F.array(F.lit("full"), F.when(F.col("_heard"), "p-speaking"), F.when(F.col("speaks"), "s-speaking"))
-    casts = flagged.select(F.explode(F.array_compact(wanted)).alias("model"), *state, "seg_id", "char_id", "words")
+    casts = pinned(flagged.select(F.explode(F.array_compact(wanted)).alias("model"), *state, "seg_id", "char_id", "words"))
     segs = segments.select("play_id", "seg_id", "is_initial").join(casts.select(*by).distinct(), "play_id")
     edges = graph.pairs(casts, by=by).select(*by, "src", "dst").distinct()
     size = graph.network_size(casts, edges, by).select(*by, "order", F.col("num_edges").alias("edges"), "density", F.col("average_degree").alias("avg_degree"))

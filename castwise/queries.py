@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import graph, hierarchy, measures, presence, segment
 from .plans import variants
+from .plans.pin import pinned
 from .sources import adapters
 
 QUERIES: dict = {}
@@ -111,7 +112,7 @@ lc AS (SELECT *, row_number() OVER (PARTITION BY play_id ORDER BY k DESC, compon
 
 
 def a_graph(spark, d):
-    cast = adapters.order_cast(spark, d)
+    cast = pinned(adapters.order_cast(spark, d))  # read several times below
     segments = adapters.order_segments(cast)
     nodes = cast.select("play_id", "char_id").distinct()
     edges = graph.static_edges(graph.pairs(cast), segments.select("play_id", "seg_id", "word_count"))
@@ -361,8 +362,8 @@ fold AS (SELECT play_id, seg_id, sum(new) OVER (PARTITION BY play_id ORDER BY se
 
 def b_stream(spark, d):
     moves, speeches = adapters.event_stream(spark, d)
-    here = presence.presence_intervals(moves)
-    return moves, speeches, here, segment.assigned(moves, speeches, here)
+    here = pinned(presence.presence_intervals(moves))
+    return moves, speeches, here, pinned(segment.assigned(moves, speeches, here))
 
 
 @query(B_SQL + "SELECT * FROM iv")
@@ -495,7 +496,7 @@ FROM v1 LEFT JOIN v2 USING (model, aggregated, play_id) JOIN z1 USING (play_id)
 @query(A_COMPARE)
 def comparison_table(spark, d):
     """The flagship: every model and aggregation state of every play, one row each."""
-    cast = adapters.order_cast(spark, d)
+    cast = pinned(adapters.order_cast(spark, d))
     direct = adapters.order_relations(spark, d, cast).where("whole < 200000")
     x = variants.comparison(cast, adapters.order_segments(cast), hierarchy.targets(hierarchy.closure(direct, depth=1)))
     return x.select("model", "aggregated", "play_id", "order", "edges", *r6("density", "avg_degree"), "segments", *r6("all_in_index", "final_cast_share", "gini_words", "effective_speakers", "top_share"))
