@@ -216,11 +216,16 @@ def simhash_components(docs: DataFrame, radius: int = 3) -> DataFrame:
     return classes(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of docs, all columns, one for each component: that of its first (doc_id, th)."""
-    keep = classes(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("th") == F.col("component.th")))
+def one_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, one for each component of ``joined`` (doc_id, th, component)."""
+    keep = joined.where(F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("th") == F.col("component.th")))
     keep = keep.select(F.struct("doc_id", "th").alias("_kept")).distinct()
     rows = packed(docs).withColumn("_key", F.struct("doc_id", "th"))
     kept = rows.join(keep, rows["_key"].eqNullSafe(keep["_kept"]), "left_semi")
     one = Window.partitionBy("_key").orderBy(F.lit(0))  # equal rows: one of them
     return unpacked(kept.withColumn("_n", F.row_number().over(one)).where("_n = 1"), docs.columns)
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """The rows of docs, all columns, one for each component: that of its first (doc_id, th)."""
+    return one_each(docs, classes(docs, radius))

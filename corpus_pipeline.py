@@ -1,6 +1,6 @@
 """A training-data pipeline of the llm operators over ``documents``.
 
-Stages, in order: quality classifier, line dedup, SimHash near-dedup, PII sanitising,
+Stages, in order: quality classifier, line dedup, near-copy dedup, PII sanitising,
 packing.  Each takes (spark, docs, sf_dir); all but the last return the columns of
 documents.  What one stage drops or changes is dropped or changed for all that follow.
 """
@@ -10,10 +10,10 @@ from __future__ import annotations
 from castwise.llm.boosted_trees import drop_low_quality
 from castwise.llm.common import table
 from castwise.llm.line_dedup import deduplicated
+from castwise.llm.near_copies import drop_near_copies
 from castwise.llm.packing import pack
 from castwise.llm.pii import sanitised
 from castwise.llm.queries import tokenizer_path
-from castwise.llm.simhash import drop_near_duplicates
 
 
 def quality(spark, docs, sf_dir):
@@ -27,8 +27,8 @@ def lines(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each SimHash component stays."""
-    return drop_near_duplicates(docs, radius=3)
+    """One document of each component stays; links are five-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    return drop_near_copies(docs, similarity=0.8)
 
 
 def personal_data(spark, docs, sf_dir):
@@ -43,7 +43,7 @@ def packing(spark, docs, sf_dir):
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", packing)]
 
-#: SQL can't express the classifier, the SimHash components' hash or the tokenizer.
+#: SQL can't express the classifier, the near copies' components or the tokenizer.
 ORACLE_SQL = None
 
 
