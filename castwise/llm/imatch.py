@@ -1,18 +1,21 @@
 """Operator 2: I-Match document fingerprints, in DataFrame functions only.
 
 Terms are runs of letters and digits, lower-cased.  The lexicon holds the terms whose
-document frequency over all documents lies within a band (so neither very frequent nor
+document frequency over all distinct texts lies within a band (so neither very frequent nor
 rare terms count, which is what an edit mostly changes).  SUBSETS random parts of the
 lexicon are drawn by hash, some larger for short texts and some smaller for long ones; for
 each part, a text's distinct terms in it are sorted and hashed.  The fingerprint is those hashes in a row, 8 hex digits each ('........' if the
 text has no term in the part).  The likeness of two fingerprints is the share of equal hashes among the parts
 that either text has terms in; two fingerprints without any are alike only if equal.
 
-The lexicon is sent to all tasks: a term in it is in at least ``low`` * documents and in at
-least 1 / LEXICON of all (term, document) pairs, so it never has more than LEXICON terms.
+The lexicon is sent to all tasks: a term in it is in at least ``low`` * texts and in at
+least 1 / LEXICON of all (term, text) pairs, so it never has more than LEXICON terms.
 
-Defined results: null text is empty; a text without lexicon terms gets one hash of all its
-distinct terms (without any term: of itself) in every part, an empty one empty parts; the
+A large group of near copies pushes its terms out of the band, all but those of private edits.  So
+a text with under SPARSE of its distinct terms in the lexicon has the parts drawn from all its terms.
+
+Defined results: null text is empty; a text without any term gets one hash
+of itself in every part, an empty one empty parts; the
 row after another is the next distinct (doc_id, text) downwards, null ids last, and the
 first after the last; equal rows are one document but each is returned; other columns are
 ignored.
@@ -30,6 +33,7 @@ SIZES = ((8, 16), (12, 64), (12, 256))
 SUBSETS = sum(n for n, _ in SIZES)
 LOW, HIGH = 0.002, 0.05
 LEXICON = 200_000
+SPARSE = 1 / 8
 NO_ID = -(1 << 63)
 
 
@@ -45,15 +49,15 @@ def bound(value: Column, of) -> Column:
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """The terms of the band, at most LEXICON."""
-    n = docs.count()
-    frequency = pinned(docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df > 1"))
+    n = docs.select("th").distinct().count()
+    frequency = pinned(docs.select("th", "text").dropDuplicates(["th"]).select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df > 1"))
     pairs = frequency.agg(F.sum("df")).first()[0] or 0
     least = max(2.0, low * n, pairs / LEXICON)
     return frequency.where((F.col("df") >= least) & (F.col("df") <= max(2.0, high * n))).select("term")
 
 
 def subset_hashes(used: Column, other: Column) -> Column:
-    """SUBSETS hashes of the sorted terms in each part, null for a part without; of ``other`` if there are no terms."""
+    """SUBSETS hashes of the sorted terms in each part, null for a part without; ``other`` in each if there are no terms."""
 
     def hashes(terms: Column, k: int, n: int, rate: int) -> Column:
         small = F.filter(terms, lambda t: F.pmod(F.shiftright(t, 9 * k), F.lit(rate)) < n)
@@ -74,15 +78,18 @@ def prints(rows: DataFrame, text: str, words: DataFrame, *also: str) -> DataFram
     """k, th, also, hashes for each (k, th): the fingerprint of the column ``text``.
 
     Exploded terms meet the broadcast lexicon; a text's first term is kept in any case, so
-    that every text has a row; the rest of a text's terms outside the lexicon go at once.
+    that every text has a row, and brings the parts of all its terms; the rest of a text's terms outside the lexicon go at once.
     """
     own = terms(F.col(text))
-    other = F.when(F.col(text) == "", F.lit(None)).otherwise(F.when(F.size("_terms") > 0, F.xxhash64(F.sort_array("_terms"))).otherwise(F.xxhash64(text)).bitwiseAND(0xFFFFFFFF))
-    told = rows.select("k", "th", *also, text, own.alias("_terms")).select("k", "th", *also, other.alias("_other"), "_terms")
-    told = told.select("k", "th", *also, "_other", F.posexplode_outer("_terms").alias("_at", "term"))  # by itself: else all is done for each term
+    itself = F.when(F.col(text) != "", F.xxhash64(text).bitwiseAND(0xFFFFFFFF))
+    told = rows.select("k", "th", *also, text, own.alias("_terms")).select("k", "th", *also, F.size("_terms").alias("_n"), subset_hashes(F.col("_terms"), itself).alias("_all"), "_terms")
+    told = told.select("k", "th", *also, "_n", "_all", F.posexplode_outer("_terms").alias("_at", "term"))  # by itself: else all is done for each term
+    told = told.withColumn("_all", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_all")))
     met = told.join(F.broadcast(words.withColumn("_in", F.lit(True))), "term", "left").where("_in or coalesce(_at, 0) = 0")
-    group = met.groupBy("k", "th").agg(*(F.first(c).alias(c) for c in also), F.first("_other").alias("_other"), F.collect_set(F.when(F.col("_in"), F.col("term"))).alias("_used"))
-    return group.select("k", "th", *also, subset_hashes(F.col("_used"), F.col("_other")).alias("hashes"))
+    group = met.groupBy("k", "th").agg(*(F.first(c).alias(c) for c in (*also, "_n")), F.first("_all", ignorenulls=True).alias("_all"), F.collect_set(F.when(F.col("_in"), F.col("term"))).alias("_used"))
+    sparse = (F.size("_used") == 0) | (F.size("_used") < SPARSE * F.col("_n"))
+    return group.select("k", "th", *also, F.when(sparse, F.col("_all")).otherwise(subset_hashes(F.col("_used"), F.lit(None).cast("long"))).alias("hashes"))
+
 
 
 def shown(hashes: Column) -> Column:
