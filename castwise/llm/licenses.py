@@ -11,7 +11,8 @@ other repeat all words) and a wide one, so long texts and repeated statements ar
 
 Defined results: one row for each statement found (none for empty or null texts); a match
 spreads over at most twice as many words as it matches; of overlapping finds of one
-template the one with most words stays, then the first; repeated rows give repeated rows;
+template the one with most words stays, then the first, and of overlapping finds of different
+texts or notices (which share most words) the one with most coverage, then most matched words; repeated rows give repeated rows;
 other columns are ignored.
 """
 
@@ -37,6 +38,23 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS {holders}BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "{program} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. {program} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+# License texts and notices; of overlapping finds among these only the best is a find.
+TEXTS = {
+    "AGPL-3.0-notice": _GNU.format(program="This program", name="Affero General Public License", version="3"),
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "BSD-2-Clause-text": _BSD.format(third=""),
+    "BSD-3-Clause-text": _BSD.format(third="3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "),
+    "GPL-2.0-notice": _GNU.format(program="This program", name="General Public License", version="2"),
+    "GPL-3.0-notice": _GNU.format(program="This program", name="General Public License", version="3"),
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "LGPL-2.1-notice": _GNU.format(program="This library", name="Lesser General Public License", version="2.1"),
+    "LGPL-3.0-notice": _GNU.format(program="This library", name="Lesser General Public License", version="3"),
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY.format(holders="OR COPYRIGHT HOLDERS "),
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _WARRANTY.format(holders=""),
+}
 COVERAGE = 0.8
 _WORD = re.compile(r"[^\W_]+")
 
@@ -121,9 +139,19 @@ def scan(text: list[str], template: list[str], coverage: float = COVERAGE) -> li
     return sorted(out)
 
 
+def best(finds: list[tuple]) -> list[tuple]:
+    """(name, first, end, coverage) without those of TEXTS that a better one of TEXTS overlaps: more coverage, then more matched words, then the name."""
+    size = {f[0]: len(words(TEXTS[f[0]])) for f in finds if f[0] in TEXTS}
+    out: list[tuple] = []
+    for f in sorted((f for f in finds if f[0] in TEXTS), key=lambda f: (-f[3], -f[3] * size[f[0]], f[0])):
+        if all(f[2] <= a or f[1] >= b for _, a, b, _ in out):
+            out.append(f)
+    return [f for f in finds if f[0] not in TEXTS] + sorted(out)
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, first_word, end_word, coverage."""
-    known = {k: words(v) for k, v in (TEMPLATES if templates is None else templates).items()}
+    known = {k: words(v) for k, v in (TEMPLATES | TEXTS if templates is None else templates).items()}
     need = {k: (set(t), coverage * len(t), Counter(t)) for k, t in known.items()}
 
     def run(batches):
@@ -131,11 +159,12 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = words(text)
-                there = set(own)
+                there, finds = set(own), []
                 for name, template in known.items():
                     distinct, least, count = need[name]
                     if sum(count[w] for w in distinct & there) >= least - 1e-9:
-                        rows += [(doc, name, *found) for found in scan(own, template, coverage)]
+                        finds += [(name, *found) for found in scan(own, template, coverage)]
+                rows += [(doc, *found) for found in (best(finds) if templates is None else finds)]
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "license", "first_word", "end_word", "coverage"])
 
