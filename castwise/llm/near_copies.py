@@ -1,25 +1,24 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, and what they link.
-
-Words are SimHash's (operator 3): A-Z lowered, cut at white space; fewer than five words are
-one shingle, none are the empty set, whose texts are linked with each other.  A 64-bit SimHash
-can't find such pairs: at 0.8 two fingerprints differ in 10 bits on average, and a radius that
-reaches nearly all of them (about 19) leaves blocks of three bits.  So pairs are found by
-their shingles' hashes:
-
-Candidates share one of the least hashes of both sets: the first n - ceil(0.8 n) + 1 of n,
-of which two such sets always share one, or the first LEAST where that is more; then a pair
-at 0.8 is missed with a chance of about 0.2 ** LEAST, 1e-11.  Candidates whose sketches (the
-SKETCH least hashes) share under SHARED go unchecked, as do those whose sizes alone rule 0.8 out; for a pair
-at 0.8 the former has a chance of 3e-11.  All others are checked exactly on the whole sets;
-sets are equal or not by 64-bit hashes.
-
-Each hash is shared by a group of sets.  First every set is checked against its groups'
-leaders (of a group the set whose hashes most others share), which grows with the rows
-only and joins most groups.  In a group that is not one component then, every two sets of different
-components are checked; a large group is cut into pieces, and each two pieces go to
-one task, which returns links that join what it found, never all pairs.
-
-Defined results: as operator 3 for null texts and null ids; the first (doc_id, th) of a component stays.
+"""Operator 3 for copies that are less alike: one document of each group of near copies, by SimHash and BK-trees.
+
+Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of
+at least 0.8.  Words are SimHash's (operator 3): A-Z lowered, cut at white space; fewer than
+five words are one shingle, none are the empty set, whose texts are linked with each other.
+
+Fingerprints are SimHashes of 128 bits over a set's shingles: at 0.8 two differ in 19 bits on
+average with a deviation of 4, so the radius of 42 misses a pair with a chance of 1e-8, while
+unrelated ones (64 and 5.7) are within it with one of 1e-4.  No blocks of bits can deal out such a radius, so
+the shards of the BK-trees are keyed by shingles instead: a set is in the shards of its least
+hashes, the first n - ceil(0.8 n) + 1 of n, of which two similar sets always share one, or the
+first LEAST where that is more; then a pair at 0.8 shares none with a chance of about
+0.2 ** LEAST, 1e-11.  Whatever a tree finds is checked exactly on the whole sets; sets are equal or not by 64-bit hashes.
+
+First every set is compared with its shards' leaders (of a shard the set whose hashes most
+others share), which grows with the rows only and joins most shards.  In a shard that is not one
+component then, a BK-tree of its fingerprints tells which sets may have a partner of another
+component, and those are checked; a large shard is cut into pieces, and each two pieces go to one
+task, which returns links that join what it found, never all pairs.
+
+Defined results: as operator 3 for null texts, null ids, long texts and other columns; the first (doc_id, th) of a component stays.
 """
 
 from __future__ import annotations
@@ -29,18 +28,21 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pinned, slices, text_hash, texts
 from .components import components
-from .simhash import one_each
+from .simhash import BKTree, one_each, search
 
 WORDS, SIMILARITY = 5, 0.8
 LEAST = 16
-SKETCH, SHARED = 32, 9
+#: Bits of two 128-bit fingerprints that may differ.
+RADIUS = 42
 #: Hashes in a piece of a large group.
 PIECE = 1 << 19
+#: Fingerprints in a piece of a large group.
+TREE = 1024
 #: Rows of points that may be broadcast.
 FEW = 200_000
 
@@ -59,17 +61,34 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
 
 
+def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """The 128-bit SimHash of a set of 64-bit hashes, as two signed numbers; the second comes from the hashes scrambled once more."""
+    one = hashes.view(np.uint64)
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(one), 4096):
+        h = one[at : at + 4096]
+        other = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+        other = (other ^ other >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        both = np.stack([h, other ^ other >> np.uint64(32)], 1)
+        ones += np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    a, b = np.packbits(2 * ones > len(one), bitorder="little").view("<i8").tolist()
+    return a, b
+
+
 def sketches(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, th, key (of the set), n (its size), posts (how many of its hashes make candidates), low (its sketch)."""
+    """doc_id, th, key (of the set), n (its size), a, b (its fingerprint), low (the hashes of its shards)."""
 
     def run(batches):
         for batch in slices(batches):
-            sets = [shingle_hashes(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            key = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            posts = [min(LEAST, len(s), len(s) - math.ceil(similarity * len(s) - 1e-9) + 1) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(key, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(posts, pa.int32()), _lists([s[:SKETCH] for s in sets])], ["doc_id", "th", "key", "n", "posts", "low"])
+            rows = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                s = shingle_hashes(text)
+                posts = min(LEAST, len(s), len(s) - math.ceil(similarity * len(s) - 1e-9) + 1)
+                rows.append((xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), len(s), *fingerprint(s), s[:posts]))
+            key, n, a, b, low = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), _lists(low)], ["doc_id", "th", "key", "n", "a", "b", "low"])
 
-    return texts(docs).withColumn("th", text_hash()).mapInArrow(run, "doc_id long, th long, key long, n int, posts int, low array<long>")
+    return texts(docs).withColumn("th", text_hash()).mapInArrow(run, "doc_id long, th long, key long, n int, a long, b long, low array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -114,30 +133,36 @@ def unit_links(keys: np.ndarray, roots: np.ndarray, values: np.ndarray, ends: np
     return out
 
 
-def live_places(roots: np.ndarray, sizes: np.ndarray, values: np.ndarray, ends: np.ndarray, similarity: float) -> np.ndarray:
-    """Which sketches (values cut at ends) have a partner of another root that could be similar enough."""
-    code = np.unique(values, return_inverse=True)[1]
-    mark, live = np.zeros(len(values) + 1, bool), np.zeros(len(roots), bool)
-    for x in range(len(roots)):
-        own = code[ends[x] : ends[x + 1]]
-        mark[own] = True
-        common = np.add.reduceat(mark[code].astype(np.int64), ends[:-1])
-        mark[own] = False
-        least = np.minimum(sizes, sizes[x])
-        could = (roots != roots[x]) & (least >= similarity * np.maximum(sizes, sizes[x]) - 1e-9) & ((common >= SHARED) | (least < SKETCH))
-        live |= could
-        live[x] |= could.any()
+def live_places(roots: np.ndarray, sizes: np.ndarray, prints: np.ndarray, similarity: float, radius: int = RADIUS) -> np.ndarray:
+    """Which sets (with their fingerprints, two unsigned words a row) have a partner of another root that could be similar enough."""
+    whole = [a | b << 64 for a, b in prints.tolist()]
+    tree = BKTree(whole)
+    at = {p: i for i, p in enumerate(tree.points)}
+    place = np.array([at[w] for w in whole], np.int64)
+    members = np.argsort(place, kind="stable")  # sets of equal fingerprints, one after another
+    first = np.searchsorted(place[members], np.arange(len(tree.points) + 1))
+    flat, live = tree.flat(2), np.zeros(len(roots), bool)
+    for begin in range(0, len(roots), 64):
+        for q, t in search(flat, prints[begin : begin + 64], radius):
+            n = first[t + 1] - first[t]
+            q, end = np.repeat(q + begin, n), np.cumsum(n)
+            t = members[np.arange(end[-1]) + np.repeat(first[t] - (end - n), n)]
+            least, most = np.minimum(sizes[q], sizes[t]), np.maximum(sizes[q], sizes[t])
+            live[q[(roots[q] != roots[t]) & (least >= similarity * most - 1e-9)]] = True
     return live
 
 
+def _could(n: Column, m: Column, a: Column, b: Column, c: Column, d: Column, similarity: float) -> Column:
+    """Whether sets of n and m shingles with fingerprints (a, b) and (c, d) could be similar enough."""
+    apart = F.bit_count(a.bitwiseXOR(c)) + F.bit_count(b.bitwiseXOR(d))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (apart <= RADIUS)
+
+
 def _leader_links(posted: DataFrame, points: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     fame = posted.groupBy("key").agg(F.sum("members").alias("fame"))
-    lead = posted.join(fame, "key").groupBy("h").agg(F.max(F.struct("fame", "key"))["key"].alias("leader"))
-    pairs = posted.join(lead, "h").where("key <> leader").select("key", "leader").distinct()
-    told = pairs.join(points.select("key", "n", "low"), "key").join(points.select(F.col("key").alias("leader"), F.col("n").alias("m"), F.col("low").alias("lead_low")), "leader")
-    least = F.least("n", "m")
-    could = (least >= similarity * F.greatest("n", "m") - 1e-9) & ((F.size(F.array_intersect("low", "lead_low")) >= SHARED) | (least < SKETCH))
-    pairs = pinned(told.where(could).select("key", "leader"))
+    lead = posted.join(fame, "key").groupBy("h").agg(F.max(F.struct("fame", "key", "n", "a", "b")).alias("of")).select("h", F.col("of.key").alias("leader"), *(F.col(f"of.{c}").alias(f"lead_{c}") for c in "nab"))
+    could = _could(*(F.col(c) for c in ("n", "lead_n", "a", "b", "lead_a", "lead_b")), similarity)
+    pairs = pinned(posted.join(lead, "h").where("key <> leader").where(could).select("key", "leader").distinct())
     sets = pinned(whole_sets(docs, points.select("key", "first").join(pairs.select("key").unionByName(pairs.select(F.col("leader").alias("key"))).distinct(), "key", "left_semi")))
     led = pairs.join(sets, "key").withColumnRenamed("hashes", "own").join(sets.select(F.col("key").alias("leader"), "hashes"), "leader")
     common = F.size(F.array_intersect("own", "hashes"))
@@ -147,29 +172,27 @@ def _leader_links(posted: DataFrame, points: DataFrame, docs: DataFrame, similar
 
 def _group_links(posted: DataFrame, roots: DataFrame, points: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     rooted = posted.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_groups = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.sum("n") / PIECE).cast("int").alias("pieces")).where("x <> y").select("h", "pieces")
+    open_groups = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.greatest(F.sum("n") / PIECE, F.count("*") / TREE)).cast("int").alias("pieces")).where("x <> y").select("h", "pieces")
     own = F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int")
     other = F.explode(F.expr("if(pieces = 1, array(0), filter(sequence(0, pieces - 1), x -> x <> own))"))
-    units = rooted.join(open_groups, "h").withColumn("own", own).withColumn("other", other).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "root")
-
-    def lists(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-        chunk = table.column(column).chunk(0)
-        ends = np.asarray(chunk.offsets).astype(np.int64)
-        return chunk.flatten().to_numpy(), ends - ends[0]
+    units = rooted.join(open_groups, "h").withColumn("own", own).withColumn("other", other).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "root", "n", "a", "b")
 
     def live(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        keep = live_places(table.column("root").to_numpy(), table.column("n").to_numpy().astype(np.int64), *lists(table, "low"), similarity)
+        column = lambda c: table.column(c).to_numpy()
+        prints = np.stack([column("a").view(np.uint64), column("b").view(np.uint64)], 1)
+        keep = live_places(column("root"), column("n").astype(np.int64), prints, similarity)
         return table.select(["h", "i", "j", "key", "root"]).filter(pa.array(keep))
 
     def unit(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        links = unit_links(table.column("key").to_numpy(), table.column("root").to_numpy(), *lists(table, "hashes"), similarity)
+        chunk = table.column("hashes").chunk(0)
+        ends = np.asarray(chunk.offsets).astype(np.int64)
+        links = unit_links(table.column("key").to_numpy(), table.column("root").to_numpy(), chunk.flatten().to_numpy(), ends - ends[0], similarity)
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sketched = units.join(points.select("key", "n", "low"), "key")
-    units = pinned(sketched.groupBy("h", "i", "j").applyInArrow(live, "h long, i int, j int, key long, root long"))
+    units = pinned(units.groupBy("h", "i", "j").applyInArrow(live, "h long, i int, j int, key long, root long"))
     sets = pinned(whole_sets(docs, points.select("key", "first").join(units.select("key").distinct(), "key", "left_semi")))
     return pinned(units.join(sets, "key").groupBy("h", "i", "j").applyInArrow(unit, "a long, b long"))
 
@@ -178,8 +201,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, th, key and component: first (doc_id, th) of the row's component, null ids last."""
     prints = pinned(sketches(docs, similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
-    points = pinned(prints.groupBy("key").agg(first.alias("first"), *(F.first(c).alias(c) for c in ("n", "posts", "low"))))
-    posting = points.select("key", "n", F.explode(F.slice("low", F.lit(1), F.col("posts"))).alias("h"))
+    points = pinned(prints.groupBy("key").agg(first.alias("first"), *(F.first(c).alias(c) for c in ("n", "a", "b", "low"))))
+    posting = points.select("key", "n", "a", "b", F.explode("low").alias("h"))
     shared = posting.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
     posted = pinned(posting.join(shared, "h"))
     led = _leader_links(posted, points, docs, similarity)

@@ -5,20 +5,27 @@ repeats included, joined by a space (fewer words: the whole sequence; none: fing
 a bit is 1 if it is set in over half of the shingles' XXH64 (seed 42).
 
 Links join fingerprints that differ in at most ``radius`` bits.  Those agree in at least
-one of radius + 1 blocks of bits, so fingerprints (each distinct one once) are dealt into shards by
-block and value.  A shard's tree keys each child by its Hamming distance to its parent; a
-search follows only the edges whose key is within the radius of its own distance there.
-Shards over SHARD fingerprints are cut into pieces, and each piece's tree is sent to the
-tasks of the other pieces' searches, so that no task holds a hot shard.  A task returns a
-star for each group that it has linked, never all pairs; components() joins the stars.
+two of radius + 2 blocks of bits, so fingerprints (each distinct one once) are dealt into shards by
+two blocks and their values: for radius 3 ten shards each, keyed by 25 or 26 bits, so that a
+shard of unrelated fingerprints holds about n / 2**25.  A shard's tree keys each child by its
+Hamming distance to its parent; a search follows only the edges whose key is within the radius
+of its own distance there.  Shards over SHARD fingerprints are cut into pieces, and each
+piece's tree is sent to the tasks of the other pieces' searches, so that no task holds a hot
+shard.  A task returns a star for each group that it has linked, never all pairs; components()
+joins the stars.
+
+Trees and searches take fingerprints of any number of 64-bit words (near_copies.py has two).
 
 Defined results: null text is empty; empty texts are linked with each other; the smallest
-doc_id of a component is its id (null only if all are null); an empty table gives no rows;
-other columns are ignored.
+doc_id of a component is its id (null only if all are null); a text of any length is one
+fingerprint, its shingles counted 4096 at a time; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -91,23 +98,26 @@ class BKTree:
             todo += [to for k, to in self.children[at].items() if d - radius <= k <= d + radius]
         return found
 
-    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Points, and edges as sorted numbers 65 * parent + key with the child of each."""
-        edges = sorted((65 * at + k, to) for at, c in enumerate(self.children) for k, to in c.items())
+    def flat(self, words: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Points (rows of 64-bit words), and edges as sorted numbers step * parent + key with the child of each."""
+        step = 64 * words + 1
+        edges = sorted((step * at + k, to) for at, c in enumerate(self.children) for k, to in c.items())
         keys, to = zip(*edges, strict=True) if edges else ((), ())
-        return np.array(self.points, np.uint64), np.array(keys, np.int64), np.array(to, np.int64)
+        points = np.array([[p >> 64 * w & (1 << 64) - 1 for w in range(words)] for p in self.points], np.uint64).reshape(-1, words)
+        return points, np.array(keys, np.int64), np.array(to, np.int64)
 
 
 def search(tree: tuple[np.ndarray, np.ndarray, np.ndarray], queries: np.ndarray, radius: int):
-    """(query, place) pairs within the radius; a step takes one level of the tree for all queries."""
+    """(query, place) pairs within the radius; a step takes one level of the tree for all queries (rows of words)."""
     points, keys, to = tree
+    step = 64 * points.shape[1] + 1
     query, at = np.arange(len(queries)), np.zeros(len(queries), np.int64)
     while len(query):
-        d = np.bitwise_count(queries[query] ^ points[at]).astype(np.int64)
+        d = np.bitwise_count(queries[query] ^ points[at]).sum(1, dtype=np.int64)
         if (hit := d <= radius).any():
             yield query[hit], at[hit]
-        low = np.searchsorted(keys, 65 * at + np.maximum(d - radius, 1))
-        n = np.searchsorted(keys, 65 * at + np.minimum(d + radius, 64), side="right") - low
+        low = np.searchsorted(keys, step * at + np.maximum(d - radius, 1))
+        n = np.searchsorted(keys, step * at + np.minimum(d + radius, step - 1), side="right") - low
         n = np.maximum(n, 0)
         end = np.cumsum(n)
         edge = np.arange(end[-1]) + np.repeat(low - (end - n), n)
@@ -146,7 +156,7 @@ def stars(points: np.ndarray, is_tree: np.ndarray, radius: int) -> tuple[np.ndar
         flat, searching = tree.flat(), places if all_in else np.flatnonzero(~is_tree)
         for at in range(0, len(searching), 256):
             part = searching[at : at + 256]
-            for q, t in search(flat, points[part], radius):
+            for q, t in search(flat, points[part, None], radius):
                 _merge(label, part[q], places[t])
     moved = label != np.arange(len(points))
     return points[moved], points[label[moved]]
@@ -154,9 +164,9 @@ def stars(points: np.ndarray, is_tree: np.ndarray, radius: int) -> tuple[np.ndar
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """(a, b) links over distinct fingerprints fp that give the components of all pairs within the radius."""
-    blocks = radius + 1
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    values = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", 64 - b), 64 - b + a).alias("value")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+    edges = [64 * i // (radius + 2) for i in range(radius + 3)]
+    part = [F.shiftrightunsigned(F.shiftleft("fp", 64 - b), 64 - b + a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    values = [F.struct(F.lit(k).alias("block"), F.shiftleft(part[i], 32).bitwiseOR(part[j]).alias("value")) for k, (i, j) in enumerate(combinations(range(radius + 2), 2))]
     dealt = fps.select("fp", F.explode(F.array(*values)).alias("s")).select("fp", "s.block", "s.value")
     shards = dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1").select("block", "value", F.ceil(F.col("n") / SHARD).cast("int").alias("pieces"))
     own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")

@@ -167,7 +167,7 @@ def test_bk_tree_and_hot_shards(spark, monkeypatch):
         want = sorted(q for q in points if (p ^ q).bit_count() <= 3)
         assert sorted(tree.points[i] for i in tree.within(p, 3)) == want
         q = np.array([p], np.uint64)
-        assert sorted(tree.points[i] for _, at in simhash.search(tree.flat(), q, 3) for i in at.tolist()) == want
+        assert sorted(tree.points[i] for _, at in simhash.search(tree.flat(), q[:, None], 3) for i in at.tolist()) == want
     monkeypatch.setattr(simhash, "SHARD", 16)  # many pieces
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
     from castwise.llm.components import components
