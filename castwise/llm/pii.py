@@ -44,7 +44,7 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "secret", "term"]
 SECRET, TERM = 4, 5
-SUPPORT, PRIOR, PUBLIC, GENERALISE, REMOVE = 3, 4.0, 0.01, 0.8, 0.95
+SUPPORT, PRIOR, PUBLIC, GENERALISE, REMOVE = 3, 4.0, 0.1, 0.8, 0.95
 BANDS, ROWS, SHINGLE = 8, 3, 5
 #: Flagged terms that may be broadcast.
 FEW = 200_000

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from .common import by_document, gather
 
 #: Distinct words that a worker remembers; beyond it starts anew (a cache: results don't depend on it).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 #: Of each slice, the text nearest to this many bytes is encoded whole as well.
 PROBE = 2000
@@ -38,34 +38,34 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[bytes, np.ndarray] = {b"": np.empty(0, self.dtype)}
-        self.plain: dict[bytes, np.ndarray] = {}
+        self.cache: dict[bytes, bytes] = {b"": b""}  # ids as bytes: small, and joined at once
+        self.plain: dict[bytes, bytes] = {}
 
-    def _letters(self, word: bytes) -> np.ndarray:
+    def _letters(self, word: bytes) -> bytes:
         """A run of a-z, or of punctuation, is one pre-token that the normalizer leaves as it is."""
         got = self.plain.get(word)
         if got is None:
             if len(self.plain) > CACHE_WORDS:
                 self.plain.clear()
-            got = self.plain[word] = np.array([t.id for t in self.model.tokenize(word.decode())], self.dtype)
+            got = self.plain[word] = np.array([t.id for t in self.model.tokenize(word.decode())], self.dtype).tobytes()
         return got
 
-    def _units(self, words: list[bytes]) -> list[np.ndarray]:
+    def _units(self, words: list[bytes]) -> list[bytes]:
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-            cache[b""] = np.empty(0, self.dtype)
+            cache[b""] = b""
         keys = [w.lower() if w.isascii() and b"<|" not in w else w for w in words]
         rest = []
         for key in dict.fromkeys(k for k in keys if k not in cache):
             if m := _ASCII_WORD.fullmatch(key):
-                cache[key] = np.concatenate((self._letters(m[1]), self._letters(m[2]))) if m[2] else self._letters(m[1])
+                cache[key] = self._letters(m[1]) + self._letters(m[2]) if m[2] else self._letters(m[1])
             else:
                 rest.append(key)
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for key, e in zip(part, self.tokenizer.encode_batch_fast([k.decode() for k in part], add_special_tokens=False), strict=True):
-                cache[key] = np.array(e.ids, self.dtype)
+                cache[key] = np.array(e.ids, self.dtype).tobytes()
         return [cache[k] for k in keys]
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +76,8 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.string()))
         coded = words.flatten().dictionary_encode()
         unit = self._units(coded.dictionary.cast(pa.binary()).to_pylist())
-        length = np.fromiter(map(len, unit), np.int64, len(unit))
-        flat = np.concatenate(unit) if unit else np.empty(0, self.dtype)
+        length = np.fromiter(map(len, unit), np.int64, len(unit)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(unit), self.dtype)
         ids, n = gather(np.asarray(coded.indices, dtype=np.int64), np.cumsum(length) - length, length, flat)
         ends = by_document(words, n)
         size = np.asarray(pc.binary_length(texts).fill_null(0))

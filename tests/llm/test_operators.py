@@ -198,7 +198,7 @@ def test_word_encoder_is_the_library():
     want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in ODD]
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
     for t in ODD:  # word by word, not by the fallback for a whole slice
-        assert [i for w in (t or "").encode().split() for i in e._units([w])[0].tolist()] == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert [i for w in (t or "").encode().split() for i in np.frombuffer(e._units([w])[0], e.dtype).tolist()] == e.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
 def test_token_files(spark):
