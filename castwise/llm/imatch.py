@@ -8,8 +8,8 @@ each part, a text's distinct terms in it are sorted and hashed.  The fingerprint
 text has no term in the part).  The likeness of two fingerprints is the share of equal hashes among the parts
 that either text has terms in; two fingerprints without any are alike only if equal.
 
-The lexicon is sent to all tasks: a term in it is in at least ``low`` * texts and in at
-least 1 / LEXICON of all (term, text) pairs, so it never has more than LEXICON terms.
+The band alone makes the lexicon, whatever its size: up to LEXICON terms it is sent to all
+tasks, beyond it is joined by shuffle.
 
 A large group of near copies pushes its terms out of the band, all but those of private edits.  So
 a text with under SPARSE of its distinct terms in the lexicon has the parts drawn from all its terms.
@@ -17,8 +17,8 @@ a text with under SPARSE of its distinct terms in the lexicon has the parts draw
 Defined results: null text is empty; a text without any term gets one hash
 of itself in every part, an empty one empty parts; the
 row after another is the next distinct (doc_id, text) downwards, null ids last, and the
-first after the last; equal rows are one document but each is returned; other columns are
-ignored.
+first after the last; equal rows are one document but each is returned; a text of any length is
+one array of its distinct terms' hashes; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from .common import pinned, text_hash, texts
 SIZES = ((8, 16), (12, 64), (12, 256))
 SUBSETS = sum(n for n, _ in SIZES)
 LOW, HIGH = 0.002, 0.05
+#: Terms of a lexicon that is broadcast.
 LEXICON = 200_000
 SPARSE = 1 / 8
 NO_ID = -(1 << 63)
@@ -48,12 +49,16 @@ def bound(value: Column, of) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """The terms of the band, at most LEXICON."""
+    """The terms of the band."""
     n = docs.select("th").distinct().count()
     frequency = pinned(docs.select("th", "text").dropDuplicates(["th"]).select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df > 1"))
-    pairs = frequency.agg(F.sum("df")).first()[0] or 0
-    least = max(2.0, low * n, pairs / LEXICON)
-    return frequency.where((F.col("df") >= least) & (F.col("df") <= max(2.0, high * n))).select("term")
+    return frequency.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))).select("term")
+
+
+def known(words: DataFrame) -> DataFrame:
+    """The lexicon for a join: broadcast if it has at most LEXICON terms."""
+    marked = words.withColumn("_in", F.lit(True))
+    return F.broadcast(marked) if words.count() <= LEXICON else marked
 
 
 def subset_hashes(used: Column, other: Column) -> Column:
@@ -77,7 +82,7 @@ def subset_hashes(used: Column, other: Column) -> Column:
 def prints(rows: DataFrame, text: str, words: DataFrame, *also: str) -> DataFrame:
     """k, th, also, hashes for each (k, th): the fingerprint of the column ``text``.
 
-    Exploded terms meet the broadcast lexicon; a text's first term is kept in any case, so
+    Exploded terms meet the lexicon (``words``, as known() gives it); a text's first term is kept in any case, so
     that every text has a row, and brings the parts of all its terms; the rest of a text's terms outside the lexicon go at once.
     """
     own = terms(F.col(text))
@@ -85,13 +90,12 @@ def prints(rows: DataFrame, text: str, words: DataFrame, *also: str) -> DataFram
     told = rows.select("k", "th", *also, text, own.alias("_terms")).select("k", "th", *also, F.size("_terms").alias("_n"), subset_hashes(F.col("_terms"), itself).alias("_all"), "_terms")
     told = told.select("k", "th", *also, "_n", "_all", F.posexplode_outer("_terms").alias("_at", "term"))  # by itself: else all is done for each term
     told = told.withColumn("_all", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_all")))
-    met = told.join(F.broadcast(words.withColumn("_in", F.lit(True))), "term", "left").where("_in or coalesce(_at, 0) = 0")
+    met = told.join(words, "term", "left").where("_in or coalesce(_at, 0) = 0")
     group = met.groupBy("k", "th").agg(*(F.first(c).alias(c) for c in (*also, "_n")), F.first("_all", ignorenulls=True).alias("_all"), F.collect_set(F.when(F.col("_in"), F.col("term"))).alias("_used"))
     sparse = (F.size("_used") == 0) | (F.size("_used") < SPARSE * F.col("_n"))
     return group.select("k", "th", *also, F.when(sparse, F.col("_all")).otherwise(subset_hashes(F.col("_used"), F.lit(None).cast("long"))).alias("hashes"))
 
 
-
 def shown(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h), 8, "0")), F.lit("........"))), "")
 
@@ -127,7 +131,7 @@ def following(docs: DataFrame) -> DataFrame:
 def imatch(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     docs = texts(docs).withColumn("th", text_hash())
-    words = pinned(lexicon(docs, low, high))
+    words = known(pinned(lexicon(docs, low, high)))
     after = pinned(following(docs))
     own = pinned(prints(docs.select(*_key(), "text"), "text", words))
     rows = docs.select(*_key(), "text").repartition("k", "th")

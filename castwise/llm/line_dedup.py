@@ -8,11 +8,13 @@ selected fingerprint.  Fingerprints seen at one position only are dropped; the p
 of the others are joined.  A position's match is extended both ways by the windows around
 it: a window whose whole content has been seen earlier (in order of doc_id, text hash and line) is a repeat,
 and overlapping repeats make up a repeated run, which is deleted with the blank lines in
-it.  Earlier positions are found by minimum per key, so no pairs are made.
+it.  Earlier positions are found by minimum per key, so no pairs are made.  Fingerprints and contents
+are hashed apart, so two stretches are equal if 128 bits are.
 
 Defined results: exactly the lines in a run of at least ``min_words`` words that occurs
 earlier go; the first occurrence stays; null ids come first in the order; null and empty texts stay as
-they are; a text may become empty; rows equal in doc_id and text lose the same lines.
+they are; a text may become empty; rows equal in doc_id and text lose the same lines; a text of any length is
+one row, its windows two for each line at most; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import packed, pinned, slices, text_hash, texts, unpacked
@@ -30,11 +32,13 @@ MIN_WORDS = 5
 
 def windows(text: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, list[tuple[int, int]]]]:
     """(fingerprint, [(first line << 32 | last line, content hash)]) of each selected position."""
-    place, hashes, ends = [], [], [0]
+    place, hashes, others, ends = [], [], [], [0]
     for i, line in enumerate(text.split(b"\n")):
         if words := line.split():
             place.append(i)
-            hashes.append(xxhash.xxh64_intdigest(b" ".join(words)))
+            line = b" ".join(words)
+            hashes.append(xxhash.xxh64_intdigest(line))
+            others.append(xxhash.xxh64_intdigest(line, 1))
             ends.append(ends[-1] + len(words))
     n, spans = len(place), set()
     stop = start = 0
@@ -51,17 +55,17 @@ def windows(text: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, list[tup
     chosen: dict[int, list[tuple[int, int]]] = {}
     for i, j in spans:
         if i == j:
-            at, whole = i, hashes[i]
+            at, whole = i, others[i]
         else:
             least = min(hashes[i : j + 1])
             at = max(k for k in range(i, j + 1) if hashes[k] == least)
-            whole = xxhash.xxh64_intdigest(np.array(hashes[i : j + 1], "<u8").tobytes(), at - i)
+            whole = xxhash.xxh64_intdigest(np.array(others[i : j + 1], "<u8").tobytes(), at - i)
         chosen.setdefault(at, []).append((place[i] << 32 | place[j], whole))
     return [(hashes[at], w) for at, w in chosen.items()]
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, runs (array of first, last line) for each text with repeats."""
+    """doc_id, th, runs (array of first, last line; disjoint and in order) for each text with repeats."""
 
     def run(batches):
         for batch in slices(batches):
@@ -89,7 +93,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     later = around.join(first.select("print", "content", "first"), ["print", "content"]).where(~here.eqNullSafe(F.col("first")))
     line = lambda x: x.cast("int")
     run_of = F.struct(line(F.shiftright("span", 32)).alias("first"), line(F.col("span").bitwiseAND(0xFFFFFFFF)).alias("last"))
-    return later.groupBy("doc_id", "th").agg(F.collect_set(run_of).alias("runs"))
+    spans = later.select("doc_id", "th", run_of.alias("run")).distinct()
+    # overlapping and touching runs are one: a run begins where no earlier one reaches
+    text = Window.partitionBy("doc_id", "th").orderBy("run.first", "run.last")
+    reach = F.max("run.last").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    begun = spans.withColumn("_n", F.sum(F.when(F.coalesce(reach, F.lit(-2)) + 1 < F.col("run.first"), 1).otherwise(0)).over(text))
+    merged = begun.groupBy("doc_id", "th", "_n").agg(F.min("run.first").alias("first"), F.max("run.last").alias("last"))
+    return merged.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
 def _cut(docs: DataFrame, min_words: int) -> DataFrame:
@@ -97,20 +107,20 @@ def _cut(docs: DataFrame, min_words: int) -> DataFrame:
     runs = repeated_runs(docs, min_words).select(F.struct("doc_id", "th").alias("_run_key"), "runs")
     rows = packed(docs).withColumn("_key", F.struct("doc_id", "th"))
     joined = rows.join(runs, rows["_key"].eqNullSafe(runs["_run_key"]), "left").withColumn("_all", F.split("text", "\n"))
-    # places of the deleted lines, each once
-    gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))
-    out = joined.withColumn("_gone", gone)
-    left = F.filter("_all", lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    out = out.withColumn("_left", F.when(F.col("runs").isNotNull(), left))
+    # lines before the first run, between runs and after the last; runs are disjoint and in order
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get("runs", i - 1)["last"] + 1)
+    kept = F.transform("runs", lambda r, i: F.slice("_all", before(i) + 1, r["first"] - before(i)))
+    tail = F.element_at("runs", -1)["last"] + 1
+    left = F.concat(F.flatten(kept), F.slice("_all", tail + 1, F.size("_all") - tail))
+    out = joined.withColumn("_left", F.when(F.col("runs").isNotNull(), left))
     removed = F.when(F.col("_left").isNull(), 0).otherwise(F.size("_all") - F.size("_left"))
     lines = F.when(F.col("_row.text").isNull(), 0).otherwise(F.size("_all"))
     return out.select("_row", F.array_join("_left", "\n").alias("_cut"), lines.alias("_lines"), removed.alias("_removed"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows and columns of docs with repeated runs cut out of text (and n_chars as it is then); _lines and _removed count lines."""
-    own = [c for c in docs.columns if c not in ("_lines", "_removed")]
-    return unpacked(_cut(docs, min_words), own, F.col("_cut"), F.col("_lines"), F.col("_removed"))
+    """The rows and columns of docs with repeated runs cut out of text (and n_chars as it is then); _lines and _removed count lines (where docs has a column of that name, its own stays)."""
+    return unpacked(_cut(docs, min_words), docs.columns, F.col("_cut"), *(F.col(c) for c in ("_lines", "_removed") if c not in docs.columns))
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

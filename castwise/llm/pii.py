@@ -245,7 +245,8 @@ def _joined(spans: Column) -> Column:
 def _places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, spans) of every row; (th, terms) of each text with term spans."""
     rows = pinned(scanned(docs))
-    return rows, term_places(docs, rows, disclosing_terms(rows, frequencies(docs)))
+    # pinned, so that the join with rows reads two exchanges and the copies of one text are split
+    return rows, pinned(term_places(docs, rows, disclosing_terms(rows, frequencies(docs))))
 
 
 def _with_terms(rows: DataFrame, places: DataFrame, *columns: str) -> DataFrame:

@@ -9,9 +9,10 @@ score is above that bound (or everything has been seen).  The k best of every un
 ranked once more per query.
 
 Defined results: a component x becomes floor(64 * x); vectors that are null or hold null
-or non-finite components, and rows without id, take no part; equal rows count once;
-vectors of other lengths are no candidates; ties go to the smaller id; other columns are
-ignored; scores wrap as 64-bit integers do.
+or non-finite components, and rows without id, take no part; rows equal in id and vector count
+once; rows of one id with other vectors are candidates each, of any query but those of their id, and
+queries each, whose best are ranked together; vectors of other lengths are no candidates; ties go
+to the smaller id; other columns are ignored, whatever their names; scores wrap as 64-bit integers do.
 """
 
 from __future__ import annotations
@@ -25,15 +26,13 @@ SHARD, BLOCK = 8192, 2048
 
 
 def threshold_top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and places (in ids, ascending) of each query's k best; place -1 where there are fewer."""
+    """Scores and places (in ids, which ascend and may repeat) of each query's k best; place -1 where there are fewer."""
     n, dims = vectors.shape
     bound = int(max(abs(int(queries.max(initial=0))), abs(int(queries.min(initial=0)))) * max(abs(int(vectors.max(initial=0))), abs(int(vectors.min(initial=0)))) * max(1, dims))
     scale = n + 1
     wide = bound * scale >= 1 << 62
     kind = np.float64 if bound < 1 << 53 else np.int64
     q, x = queries.astype(kind), vectors.astype(kind)
-    own = np.searchsorted(ids, query_ids)
-    own = np.where((own < n) & (ids[np.minimum(own, n - 1)] == query_ids), own, -1)
     lists = np.argsort(vectors, axis=0, kind="stable")
     seen = np.zeros(n, bool)
     none = np.iinfo(np.int64).min
@@ -56,10 +55,10 @@ def threshold_top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndar
                 score = (q[part] @ x[places].T).astype(np.int64)
                 if wide:
                     for row, s in zip(part.tolist(), score, strict=True):
-                        held[row] = sorted(held[row] + [(-v, p) for v, p in zip(s.tolist(), places.tolist(), strict=True) if p != own[row]])[:k]
+                        held[row] = sorted(held[row] + [(-v, p) for v, p in zip(s.tolist(), places.tolist(), strict=True) if ids[p] != query_ids[row]])[:k]
                     continue
                 key = score * scale - places
-                key[own[part][:, None] == places[None, :]] = none
+                key[query_ids[part][:, None] == ids[places][None, :]] = none
                 key = np.concatenate((best[part], key), axis=1)
                 best[part] = np.partition(key, key.shape[1] - k, axis=1)[:, -k:]
         if seen.all():
@@ -96,8 +95,10 @@ def top_k(embeddings: DataFrame, k: int = 20, query_every: int = 20, factor: int
         values = table.column("v").chunk(0).flatten().to_numpy().reshape(len(ids), -1)
 
         def distinct(mask):
-            got, first = np.unique(ids[mask], return_index=True)
-            return got, values[mask][first]
+            order = np.flatnonzero(mask)[np.lexsort((*values[mask].T[::-1], ids[mask]))]
+            i, v = ids[order], values[order]
+            new = np.append(True, (i[1:] != i[:-1]) | (v[1:] != v[:-1]).any(1))[: len(i)]
+            return i[new], v[new]
 
         (qi, qv), (ci, cv) = distinct(query), distinct(~query)
         if not len(qi) or not len(ci):
