@@ -17,21 +17,26 @@ PLAY = ("play_id",)
 
 
 def pairs(cast: DataFrame, part_of: DataFrame | None = None, by=PLAY) -> DataFrame:
-    """by, seg_id, src, dst: everyone of a segment with everyone after them; no one with a whole they are part of."""
-    a = cast.select(*by, "seg_id", F.col("char_id").alias("src")).distinct()
-    b = cast.select(*by, "seg_id", F.col("char_id").alias("dst")).distinct()
-    both = a.join(b, [*by, "seg_id"]).where("src < dst")
+    """by, seg_id, src, dst: everyone of a segment with everyone after them; no one with a whole they are part of.
+
+    A segment's cast (a play's at most) is gathered once and its pairs are made from the sorted
+    array one at a time, so the only shuffle is that of the cast.
+    """
+    sets = cast.groupBy(*by, "seg_id").agg(F.sort_array(F.collect_set("char_id")).alias("_all"))
+    firsts = sets.select(*by, "seg_id", "_all", F.posexplode("_all").alias("_i", "src"))
+    both = firsts.select(*by, "seg_id", "src", F.explode(F.slice("_all", F.col("_i") + 2, F.size("_all"))).alias("dst"))
     if part_of is None:
         return both
     one = part_of.select("play_id", F.least("part", "whole").alias("src"), F.greatest("part", "whole").alias("dst")).distinct()
     return both.join(one, ["play_id", "src", "dst"], "left_anti")
 
 
-def static_edges(pair_rows: DataFrame, words: DataFrame | None = None, by=PLAY) -> DataFrame:
-    """by, src, dst, segments_shared, words_shared, segment_ids; words: by, seg_id, word_count."""
+def static_edges(pair_rows: DataFrame, words: DataFrame | None = None, by=PLAY, ids: bool = True) -> DataFrame:
+    """by, src, dst, segments_shared, words_shared and, if asked for, segment_ids; words: by, seg_id, word_count."""
     rows = pair_rows if words is None else pair_rows.join(words, [*by, "seg_id"], "left")
     total = F.lit(0).cast("long") if words is None else F.coalesce(F.sum("word_count"), F.lit(0)).cast("long")
-    return rows.groupBy(*by, "src", "dst").agg(F.count("*").alias("segments_shared"), total.alias("words_shared"), F.sort_array(F.collect_list("seg_id")).alias("segment_ids"))
+    told = [F.sort_array(F.collect_list("seg_id")).alias("segment_ids")] if ids else []
+    return rows.groupBy(*by, "src", "dst").agg(F.count("*").alias("segments_shared"), total.alias("words_shared"), *told)
 
 
 def directed(edges: DataFrame, by=PLAY, weight: str = "segments_shared") -> DataFrame:
@@ -45,12 +50,20 @@ def degrees(nodes: DataFrame, edges: DataFrame, by=PLAY, weight: str = "segments
 
 
 def clustering(nodes: DataFrame, edges: DataFrame, by=PLAY) -> DataFrame:
-    """by, char_id, degree, triangles, clustering (0 under two neighbours)."""
-    e = edges.select(*by, "src", "dst")
-    open_ = e.select(*by, F.col("src").alias("a"), F.col("dst").alias("b")).join(e.select(*by, F.col("src").alias("b"), F.col("dst").alias("c")), [*by, "b"])
-    closed = open_.join(e.select(*by, F.col("src").alias("a"), F.col("dst").alias("c")), [*by, "a", "c"])
-    each = closed.select(*by, F.explode(F.array("a", "b", "c")).alias("char_id")).groupBy(*by, "char_id").agg(F.count("*").alias("triangles"))
-    rows = degrees(nodes, edges, by).join(each, [*by, "char_id"], "left").fillna(0, ["triangles"])
+    """by, char_id, degree, triangles, clustering (0 under two neighbours).
+
+    Edges point to the end of higher (degree, id), so no one has more than about sqrt(2 m)
+    edges out, a hub has few, and each triangle is found once: at its edge from the lowest to the middle end.
+    """
+    degree = degrees(nodes, edges, by)
+    ends = degree.select(*by, "char_id", F.struct("degree", "char_id").alias("_k"))
+    known = edges.select(*by, "src", "dst").join(ends.select(*by, F.col("char_id").alias("src"), F.col("_k").alias("_x")), [*by, "src"]).join(ends.select(*by, F.col("char_id").alias("dst"), F.col("_k").alias("_y")), [*by, "dst"])
+    out = known.select(*by, F.least("_x", "_y")["char_id"].alias("low"), F.greatest("_x", "_y")["char_id"].alias("high"))
+    higher = out.groupBy(*by, "low").agg(F.collect_list("high").alias("_out"))
+    both = out.join(higher, [*by, "low"]).join(higher.select(*by, F.col("low").alias("high"), F.col("_out").alias("_next")), [*by, "high"])
+    found = both.select(*by, "low", "high", F.explode(F.array_intersect("_out", "_next")).alias("top"))
+    each = found.select(*by, F.explode(F.array("low", "high", "top")).alias("char_id")).groupBy(*by, "char_id").agg(F.count("*").alias("triangles"))
+    rows = degree.join(each, [*by, "char_id"], "left").fillna(0, ["triangles"])
     return rows.select(*by, "char_id", "degree", "triangles", F.when(F.col("degree") > 1, 2 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0).alias("clustering"))
 
 
@@ -69,7 +82,7 @@ def max_degree(degree_rows: DataFrame, by=PLAY) -> DataFrame:
 
 
 def ego(edges: DataFrame, focus: DataFrame, by=PLAY) -> DataFrame:
-    """The edges of each focus character (by, char_id) and those among its neighbours' own pairs with it."""
+    """The edges of each focus character (by, char_id)."""
     return edges.join(focus.select(*by, F.col("char_id").alias("focus")), list(by)).where("src = focus OR dst = focus")
 
 
@@ -156,6 +169,22 @@ def spells(rows: DataFrame, *what: str, by=PLAY) -> DataFrame:
     return runs.groupBy(*by, *what, "_run").agg(F.min("seg_id").alias("start"), (F.max("seg_id") + 1).alias("end")).drop("_run")
 
 
+def spell_graph(cast: DataFrame, pair_rows: DataFrame, by=PLAY) -> tuple[DataFrame, DataFrame]:
+    """(by, char_id, spells, start, end of the first and last; by, src, dst, spells, weight: the sum of their lengths)."""
+
+    def told(rows: DataFrame, *what: str) -> DataFrame:
+        runs = spells(rows, *what, by=by)
+        return runs.groupBy(*by, *what).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spells"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.col("end") - F.col("start")).alias("weight"))
+
+    return told(cast, "char_id").drop("weight"), told(pair_rows, "src", "dst").drop("start", "end")
+
+
+def radii(measured: DataFrame) -> DataFrame:
+    """Adds node_radius (by degree) and word_radius (by total_words), the sizes that drawings use."""
+    # The drawings' scales.
+    return measured.withColumn("node_radius", 3 + 2.8 * F.sqrt("degree")).withColumn("word_radius", 3 + 1.5 * F.log2(1 + F.col("total_words")))
+
+
 def dynamic_metrics(segments: DataFrame, cast: DataFrame, pair_rows: DataFrame, by=PLAY) -> DataFrame:
     """by, seg_id, size, num_edges for every segment."""
     size = cast.select(*by, "seg_id", "char_id").distinct().groupBy(*by, "seg_id").agg(F.count("*").alias("size"))

@@ -1,6 +1,6 @@
 """partOf: closure, targets, projection of casts onto wholes, absorption of silent parts.
 
-relations: play_id, part, whole (direct).
+relations: play_id, part, whole (direct), and n, their order, if known.
 """
 
 from __future__ import annotations
@@ -8,28 +8,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 8
+from ..plans.pin import pinned
 
 
-def closure(relations: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """play_id, part, whole, depth (longest way); cycles end at ``depth`` and no one is part of itself."""
-    ways = relations.select("play_id", "part", "whole").distinct().withColumn("depth", F.lit(1))
-    reach = 1
-    while reach < depth:  # ways of up to 2n steps are two ways of up to n
+def closure(relations: DataFrame) -> DataFrame:
+    """play_id, part, whole, depth (shortest way) over ways of any length; cycles end, and no one is part of itself.
+
+    Each round joins ways to ways, so a chain of n steps takes about log2 n rounds; it ends when a round finds no new pair.
+    """
+    ways = pinned(relations.where("part <> whole").select("play_id", "part", "whole").distinct().withColumn("depth", F.lit(1)))
+    known = ways.count()
+    while True:
         further = ways.select("play_id", F.col("part").alias("whole"), F.col("whole").alias("top"), F.col("depth").alias("more"))
-        longer = ways.join(further, ["play_id", "whole"]).select("play_id", "part", F.col("top").alias("whole"), (F.col("depth") + F.col("more")).alias("depth"))
-        ways = ways.unionByName(longer).groupBy("play_id", "part", "whole").agg(F.least(F.max("depth"), F.lit(depth)).alias("depth"))
-        reach *= 2
-    return ways.where("part <> whole")
+        longer = ways.join(further, ["play_id", "whole"]).where("part <> top").select("play_id", "part", F.col("top").alias("whole"), (F.col("depth") + F.col("more")).alias("depth"))
+        ways = pinned(ways.unionByName(longer).groupBy("play_id", "part", "whole").agg(F.min("depth").alias("depth")))
+        before, known = known, ways.count()
+        if known == before:
+            return ways
+
+
+def chains(relations: DataFrame) -> DataFrame:
+    """play_id, part, whole, depth along the chains in which a part's last relation counts (without n: the largest whole)."""
+    n = F.col("n") if "n" in relations.columns else F.col("whole")
+    return closure(relations.groupBy("play_id", "part").agg(F.max_by("whole", n).alias("whole")))
 
 
-def targets(closed: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """play_id, part, whole: the highest (selected) whole of each part, the smallest id of equals."""
-    rows = closed if groups is None else closed.join(groups.select("play_id", F.col("char_id").alias("whole")).distinct(), ["play_id", "whole"], "left_semi")
+def targets(relations: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """play_id, part, whole: the highest (selected) whole on each part's chain."""
+    rows = chains(relations)
+    if groups is not None:
+        rows = rows.join(groups.select("play_id", F.col("char_id").alias("whole")).distinct(), ["play_id", "whole"], "left_semi")
     w = Window.partitionBy("play_id", "part").orderBy(F.desc("depth"), "whole")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("play_id", "part", "whole")
 
 
+def undeclared(relations: DataFrame, characters: DataFrame) -> DataFrame:
+    """play_id, char_id of wholes that nobody declares: what aggregation makes up (and warns of)."""
+    return relations.select("play_id", F.col("whole").alias("char_id")).distinct().join(characters.select("play_id", "char_id"), ["play_id", "char_id"], "left_anti")
+
+
 def groups(relations: DataFrame, characters: DataFrame) -> DataFrame:
     """Declared wholes, which can stand for their parts."""
     return relations.select("play_id", F.col("whole").alias("char_id")).distinct().join(characters.select("play_id", "char_id"), ["play_id", "char_id"], "left_semi")

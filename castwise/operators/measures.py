@@ -154,8 +154,8 @@ def line_ranges(segments: DataFrame, by=PLAY) -> DataFrame:
 
     segments: by, seg_id, first_line, last_line (null where nothing has a line).
     """
-    after = Window.partitionBy(*by).orderBy("seg_id").rowsBetween(1, Window.unboundedFollowing)
-    following = F.first("first_line", ignorenulls=True).over(after)
+    after = Window.partitionBy(*by).orderBy(F.desc("seg_id")).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last("first_line", ignorenulls=True).over(after)
     end = F.coalesce(following - 1, F.col("last_line"), F.col("first_line"))
     return segments.withColumn("line_end", F.when(F.col("first_line").isNotNull(), end)).withColumn("line_start", F.col("first_line"))
 
@@ -205,3 +205,20 @@ def delimited(columns, separator: str = ",") -> Column:
         return F.when(v.rlike('["\n,;]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
 
     return F.concat_ws(separator, *map(cell, columns))
+
+
+def dense_rows(segments: DataFrame, cast: DataFrame, speech: DataFrame, who: DataFrame, by=PLAY) -> DataFrame:
+    """by, char_id, words, present, speaks: arrays with a place for every segment between the first and last with a cast."""
+    key = [*by, "seg_id", "char_id"]
+    ends = cast.groupBy(*by).agg(F.min("seg_id").alias("_a"), F.max("seg_id").alias("_b"))
+    active = segments.select(*by, "seg_id").join(ends, list(by)).where("seg_id BETWEEN _a AND _b").select(*by, "seg_id")
+    said = speech.groupBy(*key).agg(F.sum("words").alias("_words"), F.lit(True).alias("_said"))
+    cells = active.join(who.select(*by, "char_id").distinct(), list(by))  # one cell for each place of the arrays
+    cells = cells.join(cast.select(*key).distinct().withColumn("_here", F.lit(True)), key, "left").join(said, key, "left")
+    rows = cells.groupBy(*by, "char_id").agg(F.sort_array(F.collect_list(F.struct("seg_id", F.coalesce("_words", F.lit(0)).alias("words"), F.coalesce("_here", F.lit(False)).alias("present"), F.coalesce("_said", F.lit(False)).alias("speaks")))).alias("_x"))
+    return rows.select(*by, "char_id", *(F.col(f"_x.{c}").alias(c) for c in ("words", "present", "speaks")))
+
+
+def transitions(rates: DataFrame, by=PLAY) -> DataFrame:
+    """Adds from_no: the number, from 1, that a transition is shown with among those of its play."""
+    return rates.withColumn("from_no", F.row_number().over(Window.partitionBy(*by).orderBy("seg_id")).cast("long"))

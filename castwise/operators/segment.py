@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import STRUCTURAL
-from .presence import on_stage_after
+from .presence import on_stage_within
 
 
 def _empty_on_stage() -> Column:
@@ -77,8 +77,9 @@ def segment_speakers(stream: DataFrame) -> DataFrame:
 
 def sd_cast(stream: DataFrame, presence: DataFrame) -> DataFrame:
     """play_id, seg_id, char_id: on stage after the segment's last row, or speaking in it."""
-    ends = stream.groupBy("play_id", "seg_id").agg(F.max("pos").alias("pos"))
-    here = on_stage_after(ends, presence).select("play_id", "seg_id", "char_id")
+    ends = stream.groupBy("play_id", "seg_id").agg(F.max("pos").alias("last"))
+    # after the last row: an end at that row is before it
+    here = on_stage_within(ends.withColumn("first", F.col("last") + 1), presence)
     return here.unionByName(segment_speakers(stream).select("play_id", "seg_id", "char_id")).distinct()
 
 
@@ -96,9 +97,8 @@ def unit_segments(stream: DataFrame, units: DataFrame, unit: str) -> DataFrame:
 
 def unit_cast(stream: DataFrame, presence: DataFrame) -> DataFrame:
     """play_id, seg_id, char_id: on stage at any moment of the unit, or speaking in it."""
-    spans = stream.groupBy("play_id", "seg_id").agg(F.min("pos").alias("f"), F.max("pos").alias("l"))
-    p = presence.withColumnRenamed("play_id", "_play")
-    here = spans.join(p, (F.col("play_id") == F.col("_play")) & (F.col("start_pos") <= F.col("l")) & (F.col("end_pos").isNull() | (F.col("end_pos") >= F.col("f"))))
+    spans = stream.groupBy("play_id", "seg_id").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    here = on_stage_within(spans, presence)
     return here.select("play_id", "seg_id", "char_id").unionByName(segment_speakers(stream).select("play_id", "seg_id", "char_id")).distinct()
 
 

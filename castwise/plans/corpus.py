@@ -11,10 +11,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import nature_class, sex_class
 from ..operators import graph, hierarchy, measures, segment
 from ..operators.presence import presence_intervals
 from .pin import pinned
-from .variants import MODELS
+from .variants import MODELS, masks
 
 SPINES = {"sd": None, "large-seq": "large", "middle-seq": "middle"}
 VARIANT = ["play", "segmentation", "model", "groups"]
@@ -58,10 +59,8 @@ def _label(empty):
 def aggregations(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(play_id, groups): every non-empty subset of a play's groups, and ''; (play_id, groups, part, whole): what each rewrites."""
     own = hierarchy.groups(t["part_of"], t["characters"]).groupBy("play_id").agg(F.array_sort(F.collect_set("char_id")).alias("all"))
-    chosen = own.withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, size(all)) - 1)")))
-    chosen = chosen.withColumn("chosen", F.filter("all", lambda g, i: F.expr("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0)).select("play_id", F.array_join("chosen", ",").alias("groups"), "chosen")
-    closed = hierarchy.closure(t["part_of"])
-    rows = closed.join(chosen, "play_id").where("array_contains(chosen, whole)")
+    chosen = masks(own, F.col("all"), keep=True).select("play_id", "groups", "chosen")
+    rows = hierarchy.chains(t["part_of"]).join(chosen, "play_id").where("array_contains(chosen, whole)")
     w = Window.partitionBy("play_id", "groups", "part").orderBy(F.desc("depth"), "whole")
     maps = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("play_id", "groups", "part", "whole")
     keys = t["plays"].select("play_id", F.lit("").alias("groups")).unionByName(maps.select("play_id", "groups")).distinct()
@@ -82,7 +81,7 @@ def rewritten_characters(t: dict[str, DataFrame], keys: DataFrame, maps: DataFra
 
 def rewrites(t: dict[str, DataFrame], keys: DataFrame, maps: DataFrame, people: DataFrame) -> DataFrame:
     """model, play_id, groups, part, whole: aggregation, and for p-speaking the absorption of silent parts after it."""
-    top = hierarchy.targets(hierarchy.closure(t["part_of"]))
+    top = hierarchy.targets(t["part_of"])
     heard = people.where("NOT is_mute").select("play_id", "groups", F.col("char_id").alias("whole"))
     mute = people.where("is_mute").select("play_id", "groups", F.col("char_id").alias("part"))
     absorbed = mute.join(top, ["play_id", "part"]).join(heard, ["play_id", "groups", "whole"], "left_semi").select("play_id", "groups", "part", "whole")
@@ -93,8 +92,8 @@ def rewrites(t: dict[str, DataFrame], keys: DataFrame, maps: DataFrame, people:
     return named(maps, "full").unionByName(named(maps, "s-speaking")).unionByName(named(chained.unionByName(first), "p-speaking"))
 
 
-def analyse(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFrame]:
-    """segments, cast (model's), stage_cast, speech, nodes, edges, node_metrics, indices, comparison by VARIANT."""
+def lattice(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFrame]:
+    """variants, segments, cast (model's), stage_cast, speech, nodes, pairs, edges, people, rules by VARIANT."""
     here = pinned(presence_intervals(t["moves"]))
     parts = [spine(t, m, here) for m in spines]
     segs, cast, said = (pinned(reduce(DataFrame.unionByName, x)) for x in zip(*parts, strict=True))
@@ -133,8 +132,16 @@ def analyse(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFram
     segments = pinned(segments)
     closed = hierarchy.closure(t["part_of"]).select(F.col("play_id").alias("play"), "part", "whole").join(variants.select("play", "play_id"), "play").drop("play")
     pair_rows = pinned(graph.pairs(own, closed))
-    edges = pinned(graph.static_edges(pair_rows, segments.select("play_id", "seg_id", "word_count")))
+    edges = graph.static_edges(pair_rows, segments.select("play_id", "seg_id", "word_count"))
     nodes = own.select("play_id", "char_id").distinct()
+    return {"variants": variants, "segments": segments, "cast": own, "stage_cast": stage, "speech": speech, "nodes": nodes, "pairs": pair_rows, "edges": edges, "people": people, "rules": rules}
+
+
+def analyse(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFrame]:
+    """lattice() with node_metrics, temporal_gini, indices, demographics and the comparison of all variants."""
+    a = lattice(t, spines)
+    variants, segments, own, stage, speech, nodes, rules = (a[k] for k in ("variants", "segments", "cast", "stage_cast", "speech", "nodes", "rules"))
+    edges = pinned(a["edges"])
     paths = pinned(graph.path_measures(nodes, edges))
     degree = graph.degrees(nodes, edges)
     cluster = pinned(graph.clustering(nodes, edges))
@@ -163,4 +170,32 @@ def analyse(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFram
         F.col("final_cast_share").alias("final_segment_cast_share"), "max_simultaneous_speakers", F.coalesce("gini_words", F.lit(0.0)).alias("gini_words"), F.coalesce("effective_speakers", F.lit(0.0)).alias("effective_speakers"), "top_speaker",
         F.coalesce("top_share", F.lit(0.0)).alias("top_speaker_word_share"), "top_speaker_temporal_gini", "drama_change_rate",
     )
-    return {"variants": variants, "segments": segments, "cast": own, "stage_cast": stage, "speech": speech, "nodes": nodes, "pairs": pair_rows, "edges": edges, "node_metrics": metrics, "temporal_gini": gini, "indices": indices, "people": people, "comparison": comparison}
+    return a | {"edges": edges, "node_metrics": metrics, "temporal_gini": gini, "indices": indices, "demographics": demographics(a["people"]), "comparison": comparison}
+
+
+def demographics(people: DataFrame, include_mutes: bool = True) -> DataFrame:
+    """play_id, groups and the counts of the characters as each aggregation leaves them."""
+    classed = people.withColumn("sex_class", F.coalesce(sex_class(F.col("sex")), F.lit("unspecified"))).withColumn("nature_class", F.coalesce(nature_class(F.col("nature")), F.lit("other")))
+    return measures.demographics(classed, ("play_id", "groups"), include_mutes)
+
+
+def ratio_source(counts: DataFrame) -> DataFrame:
+    """play_id and the counts that its ratios are told from: those of the fullest aggregation, else its own."""
+    size = F.when(F.col("groups") == "", 0).otherwise(F.size(F.split("groups", ",")))
+    w = Window.partitionBy("play_id").orderBy(size.desc(), "groups")
+    return measures.composition(counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumnRenamed("groups", "source"))
+
+
+def play_blocks(a: dict[str, DataFrame]) -> DataFrame:
+    """id, segmentation, model, raw, agg: a play's comparison as it is and fully aggregated (null if there is nothing to aggregate)."""
+    c = a["comparison"]
+    size = F.when(F.col("aggregated") == "", 0).otherwise(F.size(F.split("aggregated", ",")))
+    block = F.struct(*(x for x in c.columns if x not in ("id", "segmentation", "model")))
+    rows = c.select("id", "segmentation", "model", size.alias("_k"), block.alias("_b"))
+    return rows.groupBy("id", "segmentation", "model").agg(F.min_by("_b", "_k").alias("raw"), F.when(F.max("_k") > 0, F.max_by("_b", "_k")).alias("agg"))
+
+
+def chorus_rows(a: dict[str, DataFrame]) -> DataFrame:
+    """play_id, char_id and arrays over the active span: words, present and speaks of every chorus character, zeros and all."""
+    chorus = a["people"].where("is_chorus").withColumnRenamed("play_id", "play").join(a["variants"].select("play_id", "play", "groups"), ["play", "groups"]).select("play_id", "char_id")
+    return measures.dense_rows(a["segments"], a["stage_cast"], a["speech"], chorus)

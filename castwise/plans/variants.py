@@ -5,14 +5,11 @@ Models: full takes all on stage; p-speaking leaves mutes out; s-speaking takes a
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, hierarchy, measures
-from .pin import pinned
-
+#: Groups of a play of which all subsets are made (2 ** 16 - 1).
+MAX_GROUPS = 16
 MODELS = {"full": (True, "stage"), "p-speaking": (False, "stage"), "s-speaking": (False, "speaking")}
 
 
@@ -30,51 +27,21 @@ def model_casts(cast: DataFrame, speakers: DataFrame) -> DataFrame:
     return full.unionByName(present).unionByName(speakers.select(F.lit("s-speaking").alias("model"), *key).distinct())
 
 
-def subsets(groups: list[str]) -> list[tuple[str, ...]]:
-    """Non-empty subsets of a play's groups, sorted: the aggregation keys."""
-    return [c for n in range(1, len(groups) + 1) for c in combinations(sorted(groups), n)]
-
-
-def variant_key(model: str, groups: tuple[str, ...]) -> str:
-    return f"{model}:{','.join(groups)}"
-
+def labels(plays: DataFrame, label: Column, cut: int = 16, author: Column | None = None) -> DataFrame:
+    """play_id, label, collides: names cut to ``cut`` characters; where another play of the corpus has the same, the author is added."""
+    short = F.when(F.length(label) > cut, F.concat(F.substring(label, 1, cut - 1), F.lit("…"))).otherwise(label)
+    collides = F.count("*").over(Window.partitionBy("label")) > 1
+    rows = plays.select("play_id", short.alias("label"), (F.lit(None).cast("string") if author is None else author).alias("_author")).withColumn("collides", collides)
+    told = F.when(F.col("collides") & (F.coalesce("_author", F.lit("")) != ""), F.concat(F.col("_author"), F.lit(" "), F.col("label"))).otherwise(F.col("label"))
+    return rows.select("play_id", told.alias("label"), "collides")
 
-def labels(plays: DataFrame, label: Column) -> DataFrame:
-    """play_id, label, collides: whether another play of the corpus has it too."""
-    return plays.select("play_id", label.alias("label")).withColumn("collides", F.count("*").over(Window.partitionBy("label")) > 1)
 
+def masks(plays: DataFrame, groups: Column, keep: bool = False) -> DataFrame:
+    """play_id, mask, groups (and chosen, an array): the non-empty subsets of an array of groups, one row for each bit mask.
 
-def aggregated_casts(cast: DataFrame, target: DataFrame) -> DataFrame:
-    """aggregated ('' or 'all'), play_id, seg_id, char_id, words, speaks; plays without wholes keep '' only."""
-    own = cast.select(F.lit("").alias("aggregated"), "play_id", "seg_id", "char_id", "words", "speaks")
-    has = target.select("play_id").distinct()
-    merged = hierarchy.projected(cast.join(has, "play_id", "left_semi"), target, distinct=False).groupBy("play_id", "seg_id", "char_id").agg(F.sum("words").alias("words"), F.max("speaks").alias("speaks"))
-    return own.unionByName(merged.select(F.lit("all").alias("aggregated"), "play_id", "seg_id", "char_id", "words", "speaks"))
-
-
-def comparison(cast: DataFrame, segments: DataFrame, target: DataFrame) -> DataFrame:
-    """One row per (model, aggregated, play_id) with network size, indices and speech distribution.
-
-    cast: play_id, seg_id, char_id, words, speaks (both states of it come from one scan).
+    Their number doubles with each group; a play with over MAX_GROUPS is refused with an error.
     """
-    state = ("aggregated", "play_id")
-    by = ("model", "aggregated", "play_id")
-    rows = pinned(aggregated_casts(cast, target))
-    heard = rows.groupBy(*state, "char_id").agg(F.max("speaks").alias("_heard"))
-    flagged = rows.join(heard, [*state, "char_id"])
-    wanted = F.array(F.lit("full"), F.when(F.col("_heard"), "p-speaking"), F.when(F.col("speaks"), "s-speaking"))
-    casts = pinned(flagged.select(F.explode(F.array_compact(wanted)).alias("model"), *state, "seg_id", "char_id", "words"))
-    segs = segments.select("play_id", "seg_id", "is_initial").join(casts.select(*by).distinct(), "play_id")
-    edges = graph.pairs(casts, by=by).select(*by, "src", "dst").distinct()
-    size = graph.network_size(casts, edges, by).select(*by, "order", F.col("num_edges").alias("edges"), "density", F.col("average_degree").alias("avg_degree"))
-    index = measures.segment_indices(segs, casts, casts, by)
-    count = segments.groupBy("play_id").agg(F.count("*").alias("segments"))
-    speech = measures.speech_distribution(rows, state).drop("total_words")
-    return size.join(index, list(by)).join(count, "play_id").join(speech, list(state), "left")
-
-
-def masks(plays: DataFrame, groups: Column) -> DataFrame:
-    """play_id, mask, groups: the non-empty subsets of an array of groups, one row for each bit mask."""
-    own = plays.withColumn("_all", groups).withColumn("mask", F.explode(F.sequence(F.lit(1).cast("long"), (F.pow(F.lit(2), F.size("_all")) - 1).cast("long"))))
-    chosen = F.filter("_all", lambda g, i: F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("long")) > 0)
-    return own.select("play_id", "mask", F.array_join(chosen, ",").alias("groups"))
+    small = F.when(F.size("_all") <= MAX_GROUPS, F.size("_all")).otherwise(F.raise_error(F.format_string("%s has over %d groups", F.col("play_id").cast("string"), F.lit(MAX_GROUPS))))
+    own = plays.withColumn("_all", groups).where(F.size("_all") > 0).withColumn("mask", F.explode(F.sequence(F.lit(1).cast("long"), (F.pow(F.lit(2), small) - 1).cast("long"))))
+    rows = own.withColumn("chosen", F.filter("_all", lambda g, i: F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("long")) > 0))
+    return rows.select("play_id", "mask", F.array_join("chosen", ",").alias("groups"), *(["chosen"] if keep else []))

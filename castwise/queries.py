@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import graph, hierarchy, measures, presence, segment
+from . import lattice_queries
+from .operators import graph, hierarchy, measures, presence, segment, views
 from .plans import variants
 from .plans.pin import pinned
 from .sources import adapters
@@ -212,12 +213,12 @@ def composition_ratios(spark, d):
 
 @query(A_SQL + "SELECT * FROM clo")
 def partof_closure(spark, d):
-    return hierarchy.closure(adapters.order_relations(spark, d, adapters.order_cast(spark, d)), depth=2)
+    return hierarchy.closure(adapters.order_relations(spark, d, adapters.order_cast(spark, d)))
 
 
 @query(A_SQL + "SELECT play_id, part, whole FROM (SELECT *, row_number() OVER (PARTITION BY play_id, part ORDER BY depth DESC, whole) AS r FROM clo) WHERE r = 1")
 def partof_targets(spark, d):
-    return hierarchy.targets(hierarchy.closure(adapters.order_relations(spark, d, adapters.order_cast(spark, d)), depth=2))
+    return hierarchy.targets(adapters.order_relations(spark, d, adapters.order_cast(spark, d)))
 
 
 A_AGG = A_SQL + ", ag AS MATERIALIZED (SELECT DISTINCT c.play_id, seg_id, whole AS char_id FROM c JOIN rel ON rel.play_id = c.play_id AND rel.part = c.char_id) "
@@ -227,7 +228,7 @@ A_AGG = A_SQL + ", ag AS MATERIALIZED (SELECT DISTINCT c.play_id, seg_id, whole
 def aggregated_cast(spark, d):
     cast = adapters.order_cast(spark, d)
     direct = adapters.order_relations(spark, d, cast).where("whole < 200000")
-    return hierarchy.projected(cast.select("play_id", "seg_id", "char_id"), hierarchy.targets(hierarchy.closure(direct, depth=1)))
+    return hierarchy.projected(cast.select("play_id", "seg_id", "char_id"), hierarchy.targets(direct))
 
 
 @query(A_AGG + "SELECT x.play_id, x.char_id AS src, y.char_id AS dst, count(*) AS segments_shared, 0::BIGINT AS words_shared FROM ag x JOIN ag y ON x.play_id = y.play_id AND x.seg_id = y.seg_id AND x.char_id < y.char_id GROUP BY ALL")
@@ -240,9 +241,9 @@ def one_body_pairs_excluded(spark, d):
     """Nations stand beside their suppliers here; no one is joined to a whole they are part of."""
     cast = adapters.order_cast(spark, d).select("play_id", "seg_id", "char_id")
     relations = adapters.order_relations(spark, d, cast)
-    nations = hierarchy.projected(cast, hierarchy.targets(hierarchy.closure(relations.where("whole < 200000"), depth=1)))
+    nations = hierarchy.projected(cast, hierarchy.targets(relations.where("whole < 200000")))
     both = cast.unionByName(nations).distinct()
-    return graph.static_edges(graph.pairs(both, hierarchy.closure(relations, depth=2))).select("play_id", "src", "dst", "segments_shared")
+    return graph.static_edges(graph.pairs(both, hierarchy.closure(relations))).select("play_id", "src", "dst", "segments_shared")
 
 
 @query(A_SQL + ", gm AS (SELECT rel.play_id, whole, bool_and(is_mute) AS mute FROM rel JOIN n ON n.play_id = rel.play_id AND n.char_id = rel.part GROUP BY ALL) SELECT rel.play_id, rel.part, rel.whole FROM rel JOIN n ON n.play_id = rel.play_id AND n.char_id = rel.part JOIN gm ON gm.play_id = rel.play_id AND gm.whole = rel.whole WHERE is_mute AND NOT mute")
@@ -250,7 +251,7 @@ def absorb_silent_parts(spark, d):
     """A nation speaks if any of its suppliers does; its mute suppliers are absorbed."""
     cast = adapters.order_cast(spark, d)
     direct = adapters.order_relations(spark, d, cast).where("whole < 200000")
-    target = hierarchy.targets(hierarchy.closure(direct, depth=1))
+    target = hierarchy.targets(direct)
     own = cast.groupBy("play_id", "char_id").agg((~F.max("speaks")).alias("is_mute"))
     heard = hierarchy.projected(cast.select("play_id", "char_id", "speaks"), target, distinct=False).groupBy("play_id", "char_id").agg((~F.max("speaks")).alias("is_mute"))
     return hierarchy.silent_parts(own.unionByName(heard), target)
@@ -471,37 +472,6 @@ def model_edges(spark, d):
     return graph.static_edges(graph.pairs(variants.model_casts(segment.sd_cast(stream, here), segment.segment_speakers(stream)), by=by), by=by).select(*by, "src", "dst", "segments_shared")
 
 
-A_COMPARE = A_SQL + """, mc AS MATERIALIZED (
-  SELECT model, '' AS aggregated, c.play_id, seg_id, c.char_id, c.words FROM c JOIN n ON n.play_id = c.play_id AND n.char_id = c.char_id JOIN (VALUES ('full'), ('p-speaking'), ('s-speaking')) v(model) ON model = 'full' OR (model = 'p-speaking' AND NOT is_mute) OR (model = 's-speaking' AND speaks)),
-ga AS (SELECT c.play_id, seg_id, whole AS char_id, sum(words) AS words, bool_or(speaks) AS speaks FROM c JOIN rel ON rel.play_id = c.play_id AND rel.part = c.char_id GROUP BY ALL),
-gn AS (SELECT play_id, char_id, NOT bool_or(speaks) AS is_mute FROM ga GROUP BY ALL),
-al AS MATERIALIZED (SELECT * FROM mc UNION ALL SELECT model, 'all', ga.play_id, seg_id, ga.char_id, ga.words FROM ga JOIN gn ON gn.play_id = ga.play_id AND gn.char_id = ga.char_id JOIN (VALUES ('full'), ('p-speaking'), ('s-speaking')) v(model) ON model = 'full' OR (model = 'p-speaking' AND NOT is_mute) OR (model = 's-speaking' AND speaks)),
-v1 AS (SELECT model, aggregated, play_id, count(DISTINCT char_id) AS "order" FROM al GROUP BY ALL),
-v2 AS (SELECT x.model, x.aggregated, x.play_id, count(DISTINCT (x.char_id, y.char_id)) AS edges FROM al x JOIN al y ON x.model = y.model AND x.aggregated = y.aggregated AND x.play_id = y.play_id AND x.seg_id = y.seg_id AND x.char_id < y.char_id GROUP BY ALL),
-v3 AS (SELECT model, aggregated, play_id, char_id, min(seg_id) AS f FROM al GROUP BY ALL),
-v3a AS (SELECT model, aggregated, play_id, seg_id, count(*) AS k FROM al GROUP BY ALL),
-v3b AS (SELECT model, aggregated, play_id, arg_max(k, seg_id) AS final FROM v3a GROUP BY ALL),
-v4 AS (SELECT aggregated, play_id, char_id, sum(words)::BIGINT AS words FROM al WHERE model = 'full' AND words > 0 GROUP BY ALL),
-v5 AS (SELECT *, row_number() OVER (PARTITION BY aggregated, play_id ORDER BY words) AS i FROM v4),
-v6 AS (SELECT aggregated, play_id, 2 * sum(i * words) / (count(*) * sum(words)) - (count(*) + 1) / count(*) AS gini_words, pow(sum(words), 2) / sum(words * words) AS effective_speakers, max(words) / sum(words) AS top_share FROM v5 GROUP BY ALL),
-z1 AS (SELECT play_id, count(*) AS segments FROM s GROUP BY ALL),
-z2 AS (SELECT model, aggregated, play_id, min(seg_id) AS lo FROM al GROUP BY ALL),
-z3 AS (SELECT model, aggregated, play_id, max(f) AS f FROM v3 GROUP BY ALL)
-SELECT model, aggregated, play_id, "order", coalesce(edges, 0) AS edges, round(CASE WHEN "order" > 1 THEN 2 * coalesce(edges, 0) / ("order" * ("order" - 1)) ELSE 0 END, 6) AS density, round(2 * coalesce(edges, 0) / "order", 6) AS avg_degree, segments,
-  round((f - CASE WHEN lo > 1 AND segments > 1 THEN 1 ELSE 0 END) / (segments - CASE WHEN lo > 1 AND segments > 1 THEN 1 ELSE 0 END), 6) AS all_in_index, round(final / "order", 6) AS final_cast_share,
-  round(gini_words, 6) AS gini_words, round(effective_speakers, 6) AS effective_speakers, round(top_share, 6) AS top_share
-FROM v1 LEFT JOIN v2 USING (model, aggregated, play_id) JOIN z1 USING (play_id) JOIN z2 USING (model, aggregated, play_id) JOIN z3 USING (model, aggregated, play_id) JOIN v3b USING (model, aggregated, play_id) LEFT JOIN v6 USING (aggregated, play_id)"""
-
-
-@query(A_COMPARE)
-def comparison_table(spark, d):
-    """The flagship: every model and aggregation state of every play, one row each."""
-    cast = pinned(adapters.order_cast(spark, d))
-    direct = adapters.order_relations(spark, d, cast).where("whole < 200000")
-    x = variants.comparison(cast, adapters.order_segments(cast), hierarchy.targets(hierarchy.closure(direct, depth=1)))
-    return x.select("model", "aggregated", "play_id", "order", "edges", *r6("density", "avg_degree"), "segments", *r6("all_in_index", "final_cast_share", "gini_words", "effective_speakers", "top_share"))
-
-
 # ---------------------------------------------------------------- what the pages compute
 
 
@@ -608,3 +578,7 @@ def play_summary(spark, d):
     rows = x.groupBy("play_id").agg(F.sort_array(F.collect_list(F.struct("seg_id", "word_count", "size"))).alias("r"))
     told = lambda f: F.array_join(F.transform("r", lambda v: v[f].cast("string")), ",")
     return rows.select("play_id", told("word_count").alias("words"), told("size").alias("sizes"))
+
+
+QUERIES |= lattice_queries.QUERIES
+ORACLE |= lattice_queries.ORACLE

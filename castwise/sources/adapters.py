@@ -5,6 +5,9 @@ A  orders: play = customer's nation and order year, segment = order, character =
 B  events: play = day, position = row by time, character = user_id % 12; sign-ups enter,
    errors leave, purchases set or clear the stage, clicks are speeches; hours are middle
    units and six hours large ones.
+D  events once more, as whole plays: as B, but sign-ups with k % 6 = 1 merge and errors with
+   k % 6 = 0 split (into the next character), characters over 8 are mute, some speeches are
+   joint (k % 7 = 0) or of a group (k % 5 = 0), and partOf joins characters to groups.
 C  conversations: play = conversation, segment = turn, character = role.
 """
 
@@ -88,3 +91,50 @@ def conversation_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C: play_id, seg_id, char_id, words."""
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("play_id"), F.col("turn").alias("seg_id"), F.col("role").alias("char_id"), word_count(F.col("text")).alias("words"))
+
+
+def _ids(*numbers: int):
+    return F.array(*(F.lit(str(n)) for n in numbers))
+
+
+def event_plays(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """D: the tables of a corpus, as sources.tei.tables gives them."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    ch = F.col("user_id") % 12
+    rows = table(spark, sf_dir, "events").select(
+        day.alias("play_id"), F.row_number().over(Window.partitionBy(day).orderBy("ts", "event_id")).alias("pos"), "event_type", k.alias("k"), ch.alias("ch"),
+        F.floor("value").cast("long").alias("word_count"), F.hour("ts").cast("long").alias("middle_pos"), F.floor(F.hour("ts") / 6).cast("long").alias("large_pos"),
+    )
+    is_ = lambda kind: F.col("event_type") == kind
+    spoken = is_("click") & (F.col("ch") < 9)
+    kind = (
+        F.when(is_("signup"), F.when(F.col("k") % 6 == 1, "merge").otherwise("entrance")).when(is_("error"), F.when(F.col("k") % 6 == 0, "split").otherwise("exit"))
+        .when(is_("purchase"), "onStage").when(spoken, "speech").when(F.col("k") % 2 == 1, "crossing").otherwise("state-change")
+    )
+    own, nobody = F.array(F.col("ch").cast("string")), F.array().cast("array<string>")
+    group = F.when(F.col("ch") == 0, "women").when(F.col("ch") == 3, "chorus")
+    who = (
+        F.when(is_("purchase") & (F.col("k") % 10 == 0), nobody).when(spoken & (F.col("k") % 5 == 0) & F.col("ch").isin(0, 3), F.array(group))
+        .when(spoken & (F.col("k") % 7 == 0) & (F.col("ch") != 1), F.concat(own, _ids(1))).otherwise(own)
+    )
+    rows = rows.select("*", kind.alias("type"), who.alias("who"))
+    swap = F.when(F.col("type").isin("split", "merge"), F.array(((F.col("ch") + 1) % 12).cast("string"))).otherwise(nobody)
+    moves = rows.where("type <> 'speech'").select("play_id", "pos", "type", "who", swap.alias("corresp"), F.col("pos").cast("long").alias("stage_pos"), "large_pos", "middle_pos")
+    speeches = rows.where("type = 'speech'").select("play_id", "pos", "who", "word_count", "large_pos", "middle_pos")
+    unit = lambda level, name: rows.select("play_id", F.lit(level).alias("level"), F.col(f"{level}_pos").alias("pos"), F.concat(F.lit(name), F.col(f"{level}_pos").cast("string")).alias("xml_id"), F.lit("part").alias("type")).distinct()
+    plays = rows.select("play_id").distinct()
+    names = plays.select("play_id", F.explode(F.concat(_ids(*range(12)), F.array(F.lit("women"), F.lit("chorus")))).alias("char_id"))
+    heard = speeches.select("play_id", F.explode("who").alias("char_id")).distinct().withColumn("_heard", F.lit(True))
+    people = names.join(heard, ["play_id", "char_id"], "left").select(
+        "play_id", "char_id", F.concat(F.lit("No. "), "char_id").alias("name_en"), F.lit("").alias("name_grc"), F.when(F.col("char_id").isin("0", "1", "2", "women"), "female").when(F.col("char_id") == "11", "").otherwise("male").alias("sex"),
+        F.when(F.col("char_id") == "10", "divine").otherwise("human").alias("nature"), F.col("_heard").isNull().alias("is_mute"), F.col("char_id").isin("women", "chorus").alias("is_collective"), (F.col("char_id") == "chorus").alias("is_chorus"),
+    )
+    ways = F.array(*(F.struct(F.lit(a).alias("part"), F.lit(b).alias("whole")) for a, b in EVENT_PARTS))
+    part_of = plays.select("play_id", F.explode(ways).alias("w")).select("play_id", "w.part", "w.whole")
+    about = plays.select("play_id", F.concat(F.lit("Day "), "play_id").alias("title_en"), F.concat(F.lit("Author "), F.substring("play_id", -1, 1)).alias("author"))
+    return {"plays": about, "moves": moves, "speeches": speeches, "units": unit("large", "q").unionByName(unit("middle", "h")), "characters": people, "part_of": part_of}
+
+
+#: D: who is part of whom, in every play.
+EVENT_PARTS = (("0", "women"), ("1", "women"), ("2", "women"), ("9", "women"), ("women", "chorus"), ("3", "chorus"))

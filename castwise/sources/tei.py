@@ -237,8 +237,11 @@ def read_plays(spark: SparkSession, *paths: str, pattern: str = "*.xml") -> Data
                     rows.append({"path": path, "error": str(error), "play_id": Path(path).stem, "has_work_id": False})
             yield pd.DataFrame(rows, columns=_COLUMNS).astype(object).where(lambda x: x.notna(), None)
 
-    folders = [p for p in paths if not p.endswith(".xml")]
-    files = [p for p in paths if p.endswith(".xml")]
+    spark_paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    is_file = lambda p: not any(c in p for c in "*?[{") and (at := spark_paths(p)).getFileSystem(conf).getFileStatus(at).isFile()
+    files = [p for p in paths if is_file(p)]  # whatever their extension
+    folders = [p for p in paths if p not in files]
     raw = [spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folders)] if folders else []
     raw += [spark.read.format("binaryFile").load(files)] if files else []
     both = raw[0] if len(raw) == 1 else raw[0].unionByName(raw[1])
@@ -252,7 +255,8 @@ def tables(plays: DataFrame) -> dict[str, DataFrame]:
     out = {c: many(c) for c in ("characters", "relations", "units", "moves", "speeches")}
     heard = out["speeches"].select("play_id", F.explode("who").alias("char_id")).distinct().withColumn("_heard", F.lit(True))
     out["characters"] = out["characters"].join(heard, ["play_id", "char_id"], "left").withColumn("is_mute", F.col("_heard").isNull()).drop("_heard")
-    out["part_of"] = out["relations"].where("declared AND name = 'partOf'").select("play_id", "part", "whole")
+    related = good.select("play_id", F.posexplode("relations").alias("n", "x")).select("play_id", "n", "x.*")
+    out["part_of"] = related.where("declared AND name = 'partOf'").select("play_id", "part", "whole", "n")
     out["plays"] = good.drop("characters", "relations", "units", "moves", "speeches", "error")
     out["failed"] = plays.where("error IS NOT NULL").select("path", "error")
     return out
