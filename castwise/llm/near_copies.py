@@ -5,8 +5,8 @@ at least 0.8.  Words are SimHash's (operator 3): A-Z lowered, cut at white space
 five words are one shingle, none are the empty set, whose texts are linked with each other.
 
 Fingerprints are SimHashes of 128 bits over a set's shingles: at 0.8 two differ in 19 bits on
-average with a deviation of 4, so the radius of 42 misses a pair with a chance of 1e-8, while
-unrelated ones (64 and 5.7) are within it with one of 1e-4.  No blocks of bits can deal out such a radius, so
+average with a deviation of 4, so the radius of 38 misses a pair with a chance of 2e-6, while
+unrelated ones (64 and 5.7) are within it with one of 3e-6.  No blocks of bits can deal out such a radius, so
 the shards of the BK-trees are keyed by shingles instead: a set is in the shards of its least
 hashes, the first n - ceil(0.8 n) + 1 of n, of which two similar sets always share one, or the
 first LEAST where that is more; then a pair at 0.8 shares none with a chance of about
@@ -38,11 +38,11 @@ from .simhash import BKTree, one_each, search
 WORDS, SIMILARITY = 5, 0.8
 LEAST = 16
 #: Bits of two 128-bit fingerprints that may differ.
-RADIUS = 42
+RADIUS = 38
 #: Hashes in a piece of a large group.
 PIECE = 1 << 19
-#: Fingerprints in a piece of a large group.
-TREE = 1024
+#: Fingerprints in a piece of a large group; in a group that is searched point by point.
+TREE, SMALL = 1024, 24
 #: Rows of points that may be broadcast.
 FEW = 200_000
 
@@ -136,19 +136,31 @@ def unit_links(keys: np.ndarray, roots: np.ndarray, values: np.ndarray, ends: np
 def live_places(roots: np.ndarray, sizes: np.ndarray, prints: np.ndarray, similarity: float, radius: int = RADIUS) -> np.ndarray:
     """Which sets (with their fingerprints, two unsigned words a row) have a partner of another root that could be similar enough."""
     whole = [a | b << 64 for a, b in prints.tolist()]
+    _, of, often = np.unique(roots, return_inverse=True, return_counts=True)
+    asking = np.flatnonzero(of != often.argmax())  # of two roots one at least isn't the most frequent
     tree = BKTree(whole)
     at = {p: i for i, p in enumerate(tree.points)}
     place = np.array([at[w] for w in whole], np.int64)
     members = np.argsort(place, kind="stable")  # sets of equal fingerprints, one after another
     first = np.searchsorted(place[members], np.arange(len(tree.points) + 1))
-    flat, live = tree.flat(2), np.zeros(len(roots), bool)
-    for begin in range(0, len(roots), 64):
-        for q, t in search(flat, prints[begin : begin + 64], radius):
+    live = np.zeros(len(roots), bool)
+    if len(roots) <= SMALL:
+        for x in asking.tolist():
+            for t in tree.within(whole[x], radius):
+                for y in members[first[t] : first[t + 1]].tolist():
+                    if roots[x] != roots[y] and min(sizes[x], sizes[y]) >= similarity * max(sizes[x], sizes[y]) - 1e-9:
+                        live[x] = live[y] = True
+        return live
+    flat = tree.flat(2)
+    for begin in range(0, len(asking), 64):
+        part = asking[begin : begin + 64]
+        for q, t in search(flat, prints[part], radius):
             n = first[t + 1] - first[t]
-            q, end = np.repeat(q + begin, n), np.cumsum(n)
+            q, end = np.repeat(part[q], n), np.cumsum(n)
             t = members[np.arange(end[-1]) + np.repeat(first[t] - (end - n), n)]
             least, most = np.minimum(sizes[q], sizes[t]), np.maximum(sizes[q], sizes[t])
-            live[q[(roots[q] != roots[t]) & (least >= similarity * most - 1e-9)]] = True
+            could = (roots[q] != roots[t]) & (least >= similarity * most - 1e-9)
+            live[q[could]] = live[t[could]] = True
     return live
 
 
@@ -203,7 +215,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
     points = pinned(prints.groupBy("key").agg(first.alias("first"), *(F.first(c).alias(c) for c in ("n", "a", "b", "low"))))
     posting = points.select("key", "n", "a", "b", F.explode("low").alias("h"))
-    shared = posting.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
+    # shards with the same members (families of copies share most of their least hashes) are one
+    same = (F.bit_xor(F.xxhash64("key")).alias("s1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("s2"))
+    shared = posting.groupBy("h").agg(F.count("*").alias("members"), *same).where("members > 1")
+    shared = shared.groupBy("members", "s1", "s2").agg(F.min("h").alias("h")).select("h", "members")
     posted = pinned(posting.join(shared, "h"))
     led = _leader_links(posted, points, docs, similarity)
     rest = _group_links(posted, components(led), points, docs, similarity)

@@ -211,7 +211,8 @@ def disclosing_terms(rows: DataFrame, frequency: DataFrame) -> DataFrame:
     holds = private.select("th", F.explode(_entities(F.col("spans"))).alias("e")).select("th", "e.entity", "e.kind").join(label, "th")
     live = holds.groupBy("entity", "kind", "source").agg(F.count("*").alias("t")).groupBy("entity", "kind").agg(F.sum("t").alias("texts"), F.count("*").alias("sources"))
     live = pinned(live.where((F.col("sources") >= SUPPORT) & (F.col("texts") < n) & ((F.col("kind") >= 0) | (F.col("texts") <= PUBLIC * n))).select("entity", "kind", "texts"))
-    pair = private.select("th", F.explode("terms").alias("term")).join(holds.join(live.select("entity", "kind"), ["entity", "kind"], "left_semi"), "th")
+    own = holds.join(live.select("entity", "kind"), ["entity", "kind"], "left_semi").groupBy("th", "source").agg(F.collect_list(F.struct("entity", "kind")).alias("entities"))
+    pair = private.select("th", "terms").join(own, "th").select("source", "entities", F.explode("terms").alias("term")).select("source", "term", F.explode("entities").alias("e")).select("source", "term", "e.entity", "e.kind")
     pair = pair.groupBy("entity", "kind", "term", "source").agg(F.count("*").alias("t")).groupBy("entity", "kind", "term").agg(F.sum("t").alias("together"), F.count("*").alias("sources")).where(F.col("sources") >= SUPPORT)
     scored = pair.join(live, ["entity", "kind"]).join(frequency, "term")
     p = F.col("texts") / F.lit(float(max(n, 1)))
