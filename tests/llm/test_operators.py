@@ -69,9 +69,15 @@ PER_ROW = {"lines", "imatch", "simhash", "token_files", "quality", "sentencepiec
 def test_edges(spark, name):
     docs = edge_rows(spark)
     got = OPERATORS[name](spark, docs)
-    n = got.count()
+    rows = got.collect()  # all columns are made, not only counted
     if name in PER_ROW:
-        assert n == docs.count()
+        ids = [r["doc_id"] for r in rows]
+        assert Counter(ids) == Counter(r["doc_id"] for r in docs.collect())
+        told = {}
+        for r in rows:  # equal texts get equal results, whatever their other columns
+            if name in ("simhash", "quality", "sentencepiece", "pii") and r["doc_id"] in (4, None):
+                told.setdefault("a", set()).add(tuple(v for k, v in r.asDict().items() if k not in ("doc_id", "component_id", "held_out")))
+        assert all(len(v) == 1 for v in told.values())
     if name.endswith("stage"):
         assert got.columns == docs.columns
 
@@ -256,7 +262,8 @@ def test_packing(spark):
 def test_patterns_pack_exactly():
     rng = random.Random(8)
     demand = Counter(rng.choice([3, 5, 7, 20, 31, 64]) for _ in range(500))
-    made = packing.patterns(dict(demand), 64)
+    made, cuts = packing.patterns(dict(demand), 64)
+    assert not cuts
     got = Counter()
     for times, items in made:
         assert sum(s * a for s, a in items.items()) <= 64
@@ -266,6 +273,32 @@ def test_patterns_pack_exactly():
     assert sum(t for t, _ in made) <= sum(s * n for s, n in demand.items()) / 64 * 1.03 + 1
 
 
+def test_cuts_only_where_they_save():
+    fits, cuts = packing.patterns({32: 100, 64: 10}, 64, section=16)  # nothing to save
+    assert not cuts and sum(t for t, _ in fits) == 60
+    made, cuts = packing.patterns({40: 100}, 64, section=16)  # whole, each would leave 24
+    got = Counter({40: 100})
+    for times, size, where in cuts:
+        got.update({size: -times, where: times, size - where: times})
+    packed = Counter()
+    for times, items in made:
+        assert sum(s * a for s, a in items.items()) <= 64
+        for s, a in items.items():
+            packed[s] += times * a
+    assert +packed == +got and cuts and sum(t for t, _ in made) <= 4000 / 64 * 1.05 + 2
+
+
+def test_few_documents_are_cut(spark):
+    rng = random.Random(17)
+    docs = documents(spark, [prose(rng, rng.randint(1, 500)) for _ in range(400)])
+    rows = packing.pack(docs, tokenizer_path(WORD), 1, 2048).collect()
+    of = Counter(r["doc_id"] for r in rows)
+    short = {r["doc_id"] for r in rows if r["doc_tokens"] <= 2048}
+    assert sum(of[d] > 1 for d in short) < 0.25 * len(short)
+    used = sum(r["length"] for r in rows)
+    assert 1 + max(r["sequence_id"] for r in rows) <= used / 2048 * 1.02 + 1.5
+
+
 @pytest.mark.parametrize("high", [2, 40, 10**9])
 def test_threshold_algorithm(high):
     rng = np.random.default_rng(9)
