@@ -8,7 +8,6 @@ Row identity
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.pin import pinned, shared_dir
+
+__all__ = ["SLICE_BYTES", "by_document", "gather", "new_dir", "packed", "pinned", "shared_dir", "slices", "table", "text_hash", "texts", "unpacked"]
+
 #: Bytes of text that a Python worker works on at once (one longer text is taken alone).
 SLICE_BYTES = 4 << 20
 
@@ -51,29 +54,10 @@ def text_hash(column: str = "text"):
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one of our own only where it is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(sc, "_castwise_shared", None)
-        if base is None:
-            base = sc._castwise_shared = "file://" + tempfile.mkdtemp(prefix="castwise-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(base)
-    return base
-
-
 def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: the rows are in the shared folder and survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of at most ``limit`` bytes of text, or one row."""
     for batch in batches:

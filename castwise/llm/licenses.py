@@ -2,7 +2,7 @@
 
 Words that occur once in both sides are anchors; the longest increasing subsequence of
 their places is kept, and the gaps between anchors are aligned the same way, after common
-ends have been matched.  Coverage is the matched share of the template's words.
+ends have been matched; a gap without such a word gets its longest common subsequence.  Coverage is the matched share of the template's words.
 
 A text can reach the coverage only if it holds enough of the template's words, and then at
 least one of the template words that are rarest in it is matched; windows around those
@@ -101,7 +101,12 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         place = {w: j for j, w in enumerate(b[b0:b1], b0) if in_b[w] == 1}
         pairs = [(i, place[w]) for i, w in enumerate(a[a0:a1], a0) if in_a[w] == 1 and w in place]
         anchors = [pairs[i] for i in increasing([j for _, j in pairs])]
-        if not anchors:
+        if not anchors:  # no word is unique here: the longest common subsequence, by the same piles over all equal pairs
+            held: dict[str, list[int]] = {}
+            for j in range(b1 - 1, b0 - 1, -1):  # descending, so that a word of a is matched once
+                held.setdefault(b[j], []).append(j)
+            equal = [(i, j) for i in range(a0, a1) for j in held.get(a[i], ())]
+            found += [equal[k] for k in increasing([j for _, j in equal])]
             continue
         found += anchors
         ends = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
