@@ -90,7 +90,7 @@ def genre(own: Column, author: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions gini, effective_number and change_rate (SQL bodies, no Python at run time)."""
+    """SQL functions gini, effective_number and change_rate, and the table function pairs (SQL bodies, no Python at run time)."""
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION gini(v ARRAY<DOUBLE>) RETURNS DOUBLE RETURN
         coalesce((SELECT CASE WHEN sum(x) > 0 THEN 2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1) / count(*) ELSE 0 END
                   FROM (SELECT col AS x, pos + 1 AS i FROM posexplode(array_sort(filter(v, e -> e > 0))))), 0)""")
@@ -98,3 +98,5 @@ def register(spark: SparkSession) -> None:
         coalesce(pow(aggregate(filter(v, e -> e > 0), 0D, (a, e) -> a + e), 2) / nullif(aggregate(v, 0D, (a, e) -> a + e * e), 0), 0)""")
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION change_rate(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS DOUBLE RETURN
         coalesce(1 - size(array_intersect(a, b)) / nullif(size(array_union(a, b)), 0), 0)""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION pairs(members ARRAY<STRING>) RETURNS TABLE(src STRING, dst STRING) RETURN
+        SELECT a.col AS src, b.col AS dst FROM explode(array_distinct(members)) AS a JOIN explode(array_distinct(members)) AS b ON a.col < b.col""")

@@ -47,9 +47,9 @@ def shown_labels(plays: DataFrame, highlighted: Column, most: int = 20) -> DataF
     return plays.crossJoin(count).withColumn("labelled", (F.col("_n") <= most) | highlighted).drop("_n")
 
 
-def chorus_order(rows: DataFrame) -> DataFrame:
-    """By genre (none last), author, title and name."""
-    return rows.orderBy(F.coalesce("genre", F.lit("zz")), "author", "title", "name")
+def chorus_keys() -> list[Column]:
+    """orderBy of chorus rows: genre (none last), author, title and name."""
+    return [F.coalesce("genre", F.lit("zz")), F.col("author"), F.col("title"), F.col("name")]
 
 
 def authors(plays: DataFrame) -> DataFrame:

@@ -429,12 +429,45 @@ def speaking_fold(spark, d):
     return segment.speaking_fold(sets, segment.segment_speakers(stream))
 
 
-@query(B_SQL + "SELECT DISTINCT cst.play_id, cst.char_id FROM cst ANTI JOIN spk ON spk.play_id = cst.play_id AND spk.char_id = cst.char_id")
+@query(lattice_queries.D_SQL + "SELECT DISTINCT c.play_id, c.ch AS char_id FROM cast0 c ANTI JOIN said0 s ON s.sg = c.sg AND s.play_id = c.play_id AND s.ch = c.ch WHERE c.sg = 'sd'")
 def mute_characters(spark, d):
-    _, _, here, stream = b_stream(spark, d)
+    """Adapter D, where some are on stage and never speak."""
+    t = adapters.event_plays(spark, d)
+    here = pinned(presence.presence_intervals(t["moves"]))
+    stream = pinned(segment.assigned(t["moves"], t["speeches"], here))
     return variants.mutes(segment.sd_cast(stream, here), segment.segment_speakers(stream))
 
 
+@query(lattice_queries.D_SQL + "SELECT play_id, char_id, a AS start_pos, z AS end_pos FROM iv")
+def presence_with_splits(spark, d):
+    """Adapter D, whose moves split and merge as well."""
+    return presence.presence_intervals(adapters.event_plays(spark, d)["moves"])
+
+
+@query(lattice_queries.D_SQL + "SELECT play_id, ch AS char_id, sum(words)::BIGINT AS words FROM said0 WHERE sg = 'sd' AND words > 0 GROUP BY ALL")
+def joint_speech_totals(spark, d):
+    """Adapter D: every speaker of a joint speech gets its words."""
+    t = adapters.event_plays(spark, d)
+    here = pinned(presence.presence_intervals(t["moves"]))
+    said = segment.assigned(t["moves"], t["speeches"], here).where("type = 'speech'").select("play_id", F.explode("who").alias("char_id"), F.col("word_count").alias("words"))
+    return measures.speech_totals(said)
+
+
+@query(lattice_queries.D_SQL + ", av AS (SELECT 2 * count(DISTINCT src || '|' || dst) / any_value(nn) AS x FROM (SELECT sg, md, g, play_id, count(DISTINCT ch) AS nn FROM own GROUP BY ALL) LEFT JOIN ed USING (sg, md, g, play_id) GROUP BY sg, md, g, play_id) SELECT pow(2, round(log2(median(x)))) AS degree_anchor FROM (SELECT * FROM av)")
+def degree_anchor(spark, d):
+    """Over all plays, spines, models and aggregations."""
+    a = lattice_queries.d_lattice(spark, d)
+    return graph.network_size(a["nodes"], a["edges"]).agg(measures.degree_anchor(F.col("average_degree")).alias("degree_anchor"))
+
+
+@query(B_SQL + "SELECT play_id, pos, (SELECT max(pos) FROM m x WHERE x.play_id = m.play_id AND x.pos <= m.pos AND x.type = 'entrance') AS entrance_pos FROM m WHERE type = 'speech'")
+def latest_entrance(spark, d):
+    """As-of: each speech with the latest entrance at or before it."""
+    moves, speeches = adapters.event_stream(spark, d)
+    marks = moves.where("type = 'entrance'").select("play_id", F.col("pos").alias("at"))
+    return presence.nearest(speeches.select("play_id", "pos"), marks, "entrance_pos", "at", after=False)
+
+
 @query(B_SQL + "SELECT m.play_id, m.pos, m.ch AS char_id FROM m WHERE type = 'speech' AND NOT EXISTS (SELECT 1 FROM iv WHERE iv.play_id = m.play_id AND iv.char_id = m.ch AND start_pos <= m.pos AND (end_pos IS NULL OR end_pos > m.pos))")
 def offstage_speech_issues(spark, d):
     _, speeches, here, _ = b_stream(spark, d)
@@ -580,5 +613,126 @@ def play_summary(spark, d):
     return rows.select("play_id", told("word_count").alias("words"), told("size").alias("sizes"))
 
 
+# ---------------------------------------------------------------- choosing, sorting and naming plays
+
+A_SOME = "(SELECT * FROM sz WHERE play_id LIKE '%2%')"
+
+
+def some(plays: DataFrame) -> DataFrame:
+    return plays.where("play_id LIKE '%2%'").select("play_id").distinct()
+
+
+@query(A_SQL + f"SELECT median(\"order\") AS median_order, min(num_edges) AS least_edges, count(*) AS plays FROM {A_SOME}")
+def selected_medians(spark, d):
+    """Medians over the chosen plays only."""
+    _, _, nodes, edges = a_graph(spark, d)
+    x = graph.network_size(nodes, edges)
+    return views.active(x, edges.select("play_id"), some(x)).agg(F.median("order").alias("median_order"), F.min("num_edges").alias("least_edges"), F.count("*").alias("plays"))
+
+
+@query(A_SQL + "SELECT play_id, \"order\" FROM sz WHERE play_id NOT LIKE '%2%'")
+def inverted_selection(spark, d):
+    _, _, nodes, edges = a_graph(spark, d)
+    x = graph.network_size(nodes, edges)
+    return views.selected(x, some(x), invert=True).select("play_id", "order")
+
+
+@query(A_AGG + ", an AS (SELECT play_id, count(DISTINCT char_id) AS k FROM ag WHERE play_id LIKE '%2%' GROUP BY ALL) SELECT play_id, coalesce(k, \"order\") AS \"order\", k IS NOT NULL AS is_aggregated FROM sz LEFT JOIN an USING (play_id)")
+def aggregated_or_raw(spark, d):
+    """Each play's aggregated size where it has one, else its own."""
+    cast = adapters.order_cast(spark, d)
+    size = lambda rows: rows.groupBy("play_id").agg(F.count_distinct("char_id").alias("order"))
+    merged = size(aggregated_cast(spark, d))
+    return views.aggregated_or_raw(size(cast), views.selected(merged, some(merged)), ["play_id"])
+
+
+@query(A_SQL + ', es AS (SELECT play_id, src, dst, min(seg_id) AS a, max(seg_id) + 1 AS z FROM (SELECT *, seg_id - row_number() OVER (PARTITION BY play_id, src, dst ORDER BY seg_id) AS run FROM pr) GROUP BY play_id, src, dst, run) SELECT play_id, src, dst, sum(z - a)::BIGINT AS weight, string_agg(a::VARCHAR || \'-\' || z::VARCHAR, \',\' ORDER BY a) AS spells FROM es GROUP BY ALL')
+def edge_spell_weights(spark, d):
+    cast = adapters.order_cast(spark, d)
+    told = F.array_join(F.transform("spells", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return graph.spell_graph(cast, graph.pairs(cast))[1].withColumn("spells", told)
+
+
+@query(A_SQL + 'SELECT play_id, char_id, min("start") AS "start", max("end") AS "end", count(*) AS runs FROM sp GROUP BY ALL')
+def node_spell_ends(spark, d):
+    cast = adapters.order_cast(spark, d)
+    return graph.spell_graph(cast, graph.pairs(cast))[0].withColumn("runs", F.size("spells").cast("long")).drop("spells")
+
+
+@query(A_SQL + "SELECT play_id, seg_id, row_number() OVER (PARTITION BY play_id ORDER BY seg_id) AS from_no FROM cr")
+def transition_numbers(spark, d):
+    cast, segments, _, _ = a_graph(spark, d)
+    return measures.transitions(measures.change_rates(a_sets(cast, segments))).select("play_id", "seg_id", "from_no")
+
+
+@query("WITH p AS (SELECT p_partkey AS play_id, CASE WHEN length(p_name) > 16 THEN left(p_name, 15) || '…' ELSE p_name END AS base, p_brand FROM part), q AS (SELECT *, count(*) OVER (PARTITION BY base) > 1 AS collides FROM p) SELECT play_id, CASE WHEN collides AND p_brand <> '' THEN p_brand || ' ' || base ELSE base END AS label, collides FROM q")
+def play_labels(spark, d):
+    """Parts stand for plays: names cut to 16 characters, with the brand where two agree."""
+    x = adapters.table(spark, d, "part").withColumnRenamed("p_partkey", "play_id")
+    return variants.labels(x, F.col("p_name"), author=F.col("p_brand"))
+
+
+@query("SELECT c_custkey AS id, row_number() OVER (ORDER BY TRY_CAST(v AS DOUBLE) NULLS LAST, lower(v), v, c_custkey) AS place FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE round(c_acctbal)::BIGINT::VARCHAR END AS v FROM customer)")
+def table_order(spark, d):
+    """A sortable table: numbers by value and before text."""
+    from pyspark.sql import Window
+
+    x = adapters.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.round("c_acctbal").cast("long").cast("string")).alias("v"))
+    return x.select("id", F.row_number().over(Window.orderBy(*views.table_order("v"), "id")).cast("long").alias("place"))
+
+
+@query(A_SQL + "SELECT play_id, row_number() OVER (ORDER BY speakers + mutes DESC, play_id) AS place FROM dem")
+def composition_bars(spark, d):
+    """Plays by cast size, largest first."""
+    from pyspark.sql import Window
+
+    x = measures.demographics(adapters.order_characters(spark, d, adapters.order_cast(spark, d)))
+    return x.select("play_id", F.row_number().over(Window.orderBy((F.col("speakers") + F.col("mutes")).desc(), "play_id")).cast("long").alias("place"))
+
+
+@query(A_SQL + "SELECT play_id, (SELECT count(*) FROM sz) <= 20 OR \"order\" >= 30 AS labelled FROM sz")
+def labelled_plays(spark, d):
+    _, _, nodes, edges = a_graph(spark, d)
+    return views.shown_labels(graph.network_size(nodes, edges), F.col("order") >= 30).select("play_id", "labelled")
+
+
+@query(A_SQL + "SELECT play_id, char_id, sum(words)::BIGINT AS total_words FROM c GROUP BY ALL HAVING sum(words) >= 40")
+def speakers_shown(spark, d):
+    cast, segments, _, _ = a_graph(spark, d)
+    return views.heard_enough(measures.temporal_gini(cast, cast, segment.active_span(segments, cast))).select("play_id", "char_id", "total_words")
+
+
+@query(A_SQL + "SELECT ch.play_id, ch.char_id FROM ch SEMI JOIN e ON e.play_id = ch.play_id AND (e.src = ch.char_id OR e.dst = ch.char_id)")
+def visible_characters(spark, d):
+    cast, _, _, edges = a_graph(spark, d)
+    in_network = graph.directed(edges).select("play_id", "char_id")
+    return views.visible(adapters.order_characters(spark, d, cast), in_network).select("play_id", "char_id")
+
+
+@query("SELECT string_agg(r_name, '|' ORDER BY r_name) AS authors FROM region WHERE r_name <> ''")
+def corpus_authors(spark, d):
+    """Regions stand for authors of nations: distinct and sorted."""
+    nation, region = adapters.table(spark, d, "nation"), adapters.table(spark, d, "region")
+    plays = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("r_name").alias("author"))
+    return views.authors(plays).select(F.array_join("authors", "|").alias("authors"))
+
+
+@query(A_SQL + "SELECT dg.play_id, dg.char_id, round(3 + 2.8 * sqrt(degree), 6) AS node_radius, round(3 + 1.5 * log2(1 + w), 6) AS word_radius FROM dg JOIN (SELECT play_id, char_id, sum(words) AS w FROM c GROUP BY ALL) USING (play_id, char_id)")
+def drawing_radii(spark, d):
+    cast, _, nodes, edges = a_graph(spark, d)
+    words = cast.groupBy("play_id", "char_id").agg(F.sum("words").alias("total_words"))
+    return graph.radii(graph.degrees(nodes, edges).join(words, ["play_id", "char_id"])).select("play_id", "char_id", *r6("node_radius", "word_radius"))
+
+
+@query("SELECT s_suppkey AS id, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 4 = 0 THEN 'zz' ELSE r_name END, n_name, s_name) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def chorus_order(spark, d):
+    """Suppliers stand for choruses: by genre (none last), author and name."""
+    from pyspark.sql import Window
+
+    s, n, r = (adapters.table(spark, d, x) for x in ("supplier", "nation", "region"))
+    rows = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 4 != 0, F.col("r_name")).alias("genre"), F.col("n_name").alias("author"), F.lit("").alias("title"), F.col("s_name").alias("name"))
+    return rows.select("id", F.row_number().over(Window.orderBy(*views.chorus_keys())).cast("long").alias("place"))
+
+
 QUERIES |= lattice_queries.QUERIES
 ORACLE |= lattice_queries.ORACLE

@@ -43,3 +43,9 @@ def presence_changes(moves: DataFrame) -> DataFrame:
 def unit_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling units over event time: rows and words per unit, closed by the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+
+def sessions(events: DataFrame, key: str = "user_id", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Runs of a key's events with no longer gap between them: start, end, rows and words, closed by the watermark."""
+    rows = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), key).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return rows.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "value")
