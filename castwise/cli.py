@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--export-model", choices=["full", "p-speaking", "s-speaking"], default="full")
         c.add_argument("--weight", choices=["segments", "words"], default="segments")
         c.add_argument("--out", default="output")
+        c.add_argument("--no-dashboard", action="store_true", help="leave out the pages' data (payload.json, corpus.json)")
         c.add_argument("--pattern", default="*.xml")
         c.add_argument("--name", default=None)
     return top
@@ -45,8 +46,9 @@ def run(args: argparse.Namespace) -> int:
     """0, 1 if nothing was found or made, 2 if a file failed (the others are done)."""
     from pyspark.sql import SparkSession
 
+    from .operators.views import corpus_name
     from .plans.corpus import SPINES, analyse
-    from .sinks.exports import write
+    from .sinks.exports import corpus_payload, write
     from .sources.tei import read_plays, tables
 
     files = corpus_paths(args.paths, args.pattern)
@@ -59,18 +61,37 @@ def run(args: argparse.Namespace) -> int:
     for r in failed:
         print(f"failed: {r['path']}: {r['error']}", file=sys.stderr)
     a = analyse(t, tuple(SPINES) if args.seg == "all" else (args.seg,))
-    made = write(a, t["plays"], args.out, args.export_model, f"{args.weight}_shared")
-    a["comparison"].orderBy("id", "segmentation", "model", "aggregated").toPandas().to_csv(Path(args.out, f"{args.name or 'comparison'}.csv"), index=False) if made else None
+    made = write(a, t["plays"], args.out, args.export_model, f"{args.weight}_shared", payloads=not args.no_dashboard)
+    if made:
+        # one row for each variant of each play: what the command's user opens as one table
+        table = Path(args.out, f"{args.name or 'comparison'}.csv")
+        a["comparison"].orderBy("id", "segmentation", "model", "aggregated").toPandas().to_csv(table, index=False)
+        made.append(str(table))
+        if args.command == "corpus" and not args.no_dashboard:
+            name = corpus_name(args.paths, len(files) - len(failed), args.name)
+            made.append(str(Path(args.out, "corpus.json")))
+            Path(made[-1]).write_text(corpus_payload(a, t["plays"], name).first()["payload"], encoding="utf-8")
+    if args.verbose:
+        print("\n".join(made), file=sys.stderr)
     return 2 if failed and args.command == "corpus" else 1 if not made else 0
 
 
 def prompt() -> list[str]:
-    """Asks for a path; end of input cancels; pasted quotes are taken off."""
+    """Asks for a path, a model, a folder and (for a folder of plays) a name; end of input cancels; pasted quotes are taken off; no answer takes the default."""
+    ask = lambda text: input(text).strip().strip("'\"").strip()
     try:
-        path = input("Play or folder: ").strip().strip("'\"")
+        path = ask("Play or folder: ")
+        if not path:
+            return []
+        command = "corpus" if os.path.isdir(path) else "analyze"
+        out = [command, path]
+        for flag, text, among in (("--export-model", "Model to export (full, p-speaking, s-speaking): ", ("full", "p-speaking", "s-speaking")), ("--out", "Folder for the files: ", None), *([("--name", "Name of the corpus: ", None)] if command == "corpus" else [])):
+            while (given := ask(text)) and among and given not in among:
+                print(f"one of {', '.join(among)}", file=sys.stderr)
+            out += [flag, given] if given else []
+        return out
     except (EOFError, KeyboardInterrupt):
         return []
-    return ([] if not path else ["corpus", path]) if os.path.isdir(path) else ["analyze", path] if path else []
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -33,9 +33,9 @@ def chains(relations: DataFrame) -> DataFrame:
     return closure(relations.groupBy("play_id", "part").agg(F.max_by("whole", n).alias("whole")))
 
 
-def targets(relations: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """play_id, part, whole: the highest (selected) whole on each part's chain."""
-    rows = chains(relations)
+def targets(relations: DataFrame, groups: DataFrame | None = None, chained: DataFrame | None = None) -> DataFrame:
+    """play_id, part, whole: the highest (selected) whole on each part's chain (``chained``: chains(relations), if known)."""
+    rows = chains(relations) if chained is None else chained
     if groups is not None:
         rows = rows.join(groups.select("play_id", F.col("char_id").alias("whole")).distinct(), ["play_id", "whole"], "left_semi")
     w = Window.partitionBy("play_id", "part").orderBy(F.desc("depth"), "whole")

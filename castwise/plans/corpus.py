@@ -56,11 +56,11 @@ def _label(empty):
     return F.when(F.col("is_initial") & empty, F.concat(k, F.lit("-initial-empty"))).when(F.col("is_initial"), F.concat(k, F.lit("-initial"))).when(F.col("is_final"), F.concat(k, F.lit("-final"))).otherwise(k)
 
 
-def aggregations(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+def aggregations(t: dict[str, DataFrame], chained: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(play_id, groups): every non-empty subset of a play's groups, and ''; (play_id, groups, part, whole): what each rewrites."""
     own = hierarchy.groups(t["part_of"], t["characters"]).groupBy("play_id").agg(F.array_sort(F.collect_set("char_id")).alias("all"))
     chosen = masks(own, F.col("all"), keep=True).select("play_id", "groups", "chosen")
-    rows = hierarchy.chains(t["part_of"]).join(chosen, "play_id").where("array_contains(chosen, whole)")
+    rows = (hierarchy.chains(t["part_of"]) if chained is None else chained).join(chosen, "play_id").where("array_contains(chosen, whole)")
     w = Window.partitionBy("play_id", "groups", "part").orderBy(F.desc("depth"), "whole")
     maps = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("play_id", "groups", "part", "whole")
     keys = t["plays"].select("play_id", F.lit("").alias("groups")).unionByName(maps.select("play_id", "groups")).distinct()
@@ -79,9 +79,9 @@ def rewritten_characters(t: dict[str, DataFrame], keys: DataFrame, maps: DataFra
     return own
 
 
-def rewrites(t: dict[str, DataFrame], keys: DataFrame, maps: DataFrame, people: DataFrame) -> DataFrame:
+def rewrites(t: dict[str, DataFrame], keys: DataFrame, maps: DataFrame, people: DataFrame, chained: DataFrame | None = None) -> DataFrame:
     """model, play_id, groups, part, whole: aggregation, and for p-speaking the absorption of silent parts after it."""
-    top = hierarchy.targets(t["part_of"])
+    top = hierarchy.targets(t["part_of"], chained=chained)
     heard = people.where("NOT is_mute").select("play_id", "groups", F.col("char_id").alias("whole"))
     mute = people.where("is_mute").select("play_id", "groups", F.col("char_id").alias("part"))
     absorbed = mute.join(top, ["play_id", "part"]).join(heard, ["play_id", "groups", "whole"], "left_semi").select("play_id", "groups", "part", "whole")
@@ -97,9 +97,10 @@ def lattice(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFram
     here = pinned(presence_intervals(t["moves"]))
     parts = [spine(t, m, here) for m in spines]
     segs, cast, said = (pinned(reduce(DataFrame.unionByName, x)) for x in zip(*parts, strict=True))
-    keys, maps = map(pinned, aggregations(t))
+    chained = hierarchy.chains(t["part_of"])
+    keys, maps = map(pinned, aggregations(t, chained))
     people = pinned(rewritten_characters(t, keys, maps))
-    rules = pinned(rewrites(t, keys, maps, people))
+    rules = pinned(rewrites(t, keys, maps, people, chained))
     models = F.explode(F.array(*(F.lit(m) for m in MODELS)))
     lattice = keys.withColumn("model", models)
     vid = F.concat_ws("\u001f", "play_id", "segmentation", "model", "groups")

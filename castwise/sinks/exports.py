@@ -1,7 +1,7 @@
 """Exports of an analysis: CSV, JSON, GEXF and GraphML, one row or file content per variant.
 
 Contents are built on the executors as one string for each variant (a variant is one
-play's network); ``write`` puts them into a folder with one sub-folder per play.
+play's network), and ``write`` has the executors put them into a folder with one sub-folder per play.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +146,21 @@ def graphml(a: dict[str, DataFrame], weight: str = "segments_shared") -> DataFra
     return x.select("play_id", F.concat(F.lit(head), F.coalesce("n", nothing), F.lit("\n"), F.coalesce("e", nothing), F.lit("\n</graph></graphml>")).alias("graphml"))
 
 
+def corpus_payload(a: dict[str, DataFrame], plays: DataFrame, name: str) -> DataFrame:
+    """One row, payload: the corpus's name, its authors, and every play with its blocks (raw, and agg where there is one) and the counts behind its ratios."""
+    from ..operators.views import authors
+    from ..plans.corpus import play_blocks, ratio_source
+
+    blocks = play_blocks(a).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("segmentation", "model", "raw", "agg"))).alias("blocks"))
+    counts = ratio_source(a["demographics"])
+    told = counts.select(F.col("play_id").alias("id"), F.struct(*(c for c in counts.columns if c != "play_id")).alias("composition"))
+    about = plays.select(F.col("play_id").alias("id"), F.col("title_en").alias("title"), "author", "genre")
+    rows = about.join(blocks, "id", "left").join(told, "id", "left")
+    # one row is the page's whole data: a corpus's plays, each a bounded number of blocks
+    whole = rows.agg(F.array_sort(F.collect_list(F.struct("id", "title", "author", "genre", "composition", "blocks"))).alias("plays")).crossJoin(authors(plays))
+    return whole.select(script_safe(F.to_json(F.struct(F.lit(name).alias("name"), "authors", "plays"))).alias("payload"))
+
+
 def play_folders(plays: DataFrame) -> DataFrame:
     """play_id, path, folder: a name from the title; later files with a taken name add the file's stem."""
     from pyspark.sql import Window
@@ -157,39 +174,68 @@ def play_folders(plays: DataFrame) -> DataFrame:
     return first.select("play_id", "path", F.when(F.col("_r") == 1, F.col("folder")).otherwise(F.concat_ws("-", "folder", "stem")).alias("folder"))
 
 
-def write(a: dict[str, DataFrame], plays: DataFrame, out: str, model: str = "full", weight: str = "segments_shared") -> list[str]:
-    """The exports of one model without aggregation, as files under out/<play>/<segmentation>/.
+def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), str(Path(uri).resolve()))
+
+
+def recorded_source(folder: str) -> str | None:
+    """The file that a folder's exports come from; None without a marker, or with one that can't be read."""
+    fs, root = _open(folder)
+    try:
+        with fs.open_input_file(f"{root}/source.json") as f:
+            return json.loads(f.read()).get("source")
+    except (OSError, ValueError, AttributeError):
+        return None
+
+
+def _save(out: str, place: str, name: str, content: str) -> str:
+    fs, root = _open(out)
+    fs.create_dir(f"{root}/{place}")
+    with fs.open_output_stream(f"{root}/{place}/{name}") as f:
+        f.write(content.encode())
+    return f"{out}/{place}/{name}"
+
 
-    A folder that source.json gives to another file is refused.  One play's variants are
-    brought to the driver at a time of a bounded size: a play's cast and segments.
+def write(a: dict[str, DataFrame], plays: DataFrame, out: str, model: str = "full", weight: str = "segments_shared", payloads: bool = False) -> list[str]:
+    """The exports of one model without aggregation (full where the model has made nothing), as files under out/<play>/<segmentation>/.
+
+    ``out`` is a folder that driver and executors share.  Files are written by the executors, one variant's
+    at a time; the driver sees the plays' names and the files' paths.  A folder that source.json gives
+    to another file, or that two files would get, is refused.
     """
-    wanted = a["variants"].where((F.col("model") == model) & (F.col("groups") == ""))
-    folders = {r["play_id"]: (r["folder"], r["path"]) for r in play_folders(plays).collect()}
-    done = []
+    raw = a["variants"].where("groups = ''")
+    wanted = raw.where(F.col("model") == model)
+    if not wanted.join(a["nodes"], "play_id", "left_semi").take(1):
+        wanted = raw.where("model = 'full'")
+    folders = play_folders(plays)
+    taken: dict[str, str] = {}
+    for r in folders.collect():
+        key, root = r["folder"].lower(), f"{out}/{r['folder']}"
+        known = taken.setdefault(key, r["path"]) if key in taken else recorded_source(root)
+        if known not in (None, r["path"]):
+            raise FileExistsError(f"{root} holds the exports of another file")
+        taken[key] = r["path"]
+        _save(out, r["folder"], "source.json", json.dumps({"source": r["path"]}))
+    places = wanted.join(folders.select(F.col("play_id").alias("play"), "folder"), "play").select("play_id", F.concat_ws("/", "folder", "segmentation").alias("_place"))
     tables = {"characters.csv": characters_csv(a), "segments.csv": segments_csv(a), "networkdata.csv": network_csv(a, weight), "dynamic_metrics.csv": dynamic_csv(a)}
-    texts = {"metrics.json": metrics_json(a), "networkdata.gexf": gexf(a, weight=weight), "dynamic.gexf": gexf(a, dynamic=True, weight=weight), "networkdata.graphml": graphml(a, weight)}
-    at = {r["play_id"]: r for r in wanted.collect()}
-
-    def folder(vid: str) -> Path:
-        name, source = folders[at[vid]["play"]]
-        top = Path(out, name)
-        mark = top / "source.json"
-        if mark.exists() and json.loads(mark.read_text()).get("source") != source:
-            raise FileExistsError(f"{top} holds the exports of another file")
-        (top / at[vid]["segmentation"]).mkdir(parents=True, exist_ok=True)
-        mark.write_text(json.dumps({"source": source}))
-        return top / at[vid]["segmentation"]
-
-    places = {vid: folder(vid) for vid in at}
+    contents = {"metrics.json": metrics_json(a), "networkdata.gexf": gexf(a, weight=weight), "dynamic.gexf": gexf(a, dynamic=True, weight=weight), "networkdata.graphml": graphml(a, weight)}
+    if payloads:
+        contents["payload.json"] = payload_json(a)
+    done = []
     for name, df in tables.items():
-        rows = df.join(wanted.select("play_id"), "play_id", "left_semi").toPandas()
-        for vid, place in places.items():
-            own = rows[rows["play_id"] == vid].drop(columns="play_id")
-            own = own.sort_values(list(own.columns[:2])) if len(own) else own
-            own.to_csv(place / name, index=False)
-            done.append(str(place / name))
-    for name, df in texts.items():
-        for r in df.join(wanted.select("play_id"), "play_id", "left_semi").toLocalIterator():
-            (places[r["play_id"]] / name).write_text(r[1], encoding="utf-8")
-            done.append(str(places[r["play_id"]] / name))
+        columns = [c for c in df.columns if c != "play_id"]
+
+        def table(pdf: pd.DataFrame, name=name, columns=columns) -> pd.DataFrame:
+            own = pdf[pdf[columns[0]].notna()][columns].sort_values(columns[:2])
+            return pd.DataFrame({"path": [_save(out, pdf["_place"].iloc[0], name, own.to_csv(index=False))]})
+
+        done += [r["path"] for r in places.join(df, "play_id", "left").groupBy("play_id").applyInPandas(table, "path string").collect()]
+    for name, df in contents.items():
+
+        def text(frames, name=name):
+            for pdf in frames:
+                yield pd.DataFrame({"path": [_save(out, p, name, x) for p, x in zip(pdf["_place"], pdf["_text"], strict=True)]})
+
+        own = next(c for c in df.columns if c != "play_id")
+        done += [r["path"] for r in df.join(places, "play_id").select("_place", F.col(own).alias("_text")).mapInPandas(text, "path string").collect()]
     return done

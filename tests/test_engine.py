@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pytest
@@ -189,7 +190,7 @@ def test_hierarchy(spark):
     r = spark.createDataFrame([("p", "a", "b"), ("p", "b", "c")], "play_id string, part string, whole string")
     closed = hierarchy.closure(r)
     assert {(x["part"], x["whole"], x["depth"]) for x in closed.collect()} == {("a", "b", 1), ("b", "c", 1), ("a", "c", 2)}
-    only = lambda *g: {(x["part"], x["whole"]) for x in hierarchy.targets(closed, spark.createDataFrame([("p", i) for i in g], "play_id string, char_id string")).collect()}
+    only = lambda *g: {(x["part"], x["whole"]) for x in hierarchy.targets(r, spark.createDataFrame([("p", i) for i in g], "play_id string, char_id string")).collect()}
     assert only("b") == {("a", "b")} and only("c") == {("a", "c"), ("b", "c")} and only("b", "c") == {("a", "c"), ("b", "c")} and only("z") == set()
     loop = spark.createDataFrame([("p", "a", "b"), ("p", "b", "a")], "play_id string, part string, whole string")
     assert {(x["part"], x["whole"]) for x in hierarchy.closure(loop).collect()} == {("a", "b"), ("b", "a")}
@@ -233,7 +234,9 @@ def test_corpus(spark, tmp_path):
     for r in exports.payload_json(a).collect():
         assert "<" not in r["payload"] and {c["id"] for c in json.loads(r["payload"])["characters"]} <= {"a", "b", "g", "p1", "p2", "m"}
     made = exports.write(a, t["plays"], str(tmp_path / "out"))
-    assert len(made) == 3 * 8
+    assert len(made) == 3 * 8 and all(Path(m).exists() for m in made)
+    corpus = json.loads(exports.corpus_payload(a, t["plays"], "Demo").first()[0])
+    assert corpus["name"] == "Demo" and len(corpus["plays"]) == 1 and len(corpus["plays"][0]["blocks"]) == 9 and all(b["agg"]["aggregated"] == "g" for b in corpus["plays"][0]["blocks"])
     assert {r["id"] for r in exports.characters_csv(a).collect()} == {"a", "b", "g", "p1", "p2", "m"}
     told = {(r["code"], r["detail"]) for r in issues(t).collect()}
     assert told == set()
@@ -278,3 +281,48 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["pos"], r["char_id"], r["on"]) for r in spark.table("changes").collect()}
     want = {(r[p], r["char_id"], on) for r in presence_intervals(t["moves"]).collect() for p, on in (("start_pos", 1), ("end_pos", 0)) if r[p] is not None}
     assert got == want
+
+
+def test_long_chains_and_last_parents(spark):
+    chain = spark.createDataFrame([("p", f"{i:02d}", f"{i + 1:02d}") for i in range(12)] + [("q", "a", "b"), ("q", "b", "a"), ("q", "c", "a")], "play_id string, part string, whole string")
+    got = hierarchy.closure(chain)
+    assert got.where("play_id = 'p'").count() == 78 and {(r["part"], r["whole"]) for r in got.where("play_id = 'q'").collect()} == {("a", "b"), ("b", "a"), ("c", "a"), ("c", "b")}
+    two = spark.createDataFrame([("p", "x", "g", 0), ("p", "x", "h", 1), ("p", "g", "top", 2)], "play_id string, part string, whole string, n int")
+    assert {(r["part"], r["whole"]) for r in hierarchy.targets(two).collect()} == {("x", "h"), ("g", "top")}
+
+
+def test_too_many_groups_are_refused(spark):
+    from castwise.plans.variants import MAX_GROUPS, masks
+
+    plays = spark.createDataFrame([("p",)], "play_id string")
+    group = lambda n: F.array(*(F.lit(str(i)) for i in range(n)))
+    assert masks(plays, group(5)).count() == 31
+    with pytest.raises(Exception, match="has over"):
+        masks(plays, group(MAX_GROUPS + 1)).count()
+
+
+def test_files_of_any_extension(spark, tmp_path):
+    (tmp_path / "a.tei").write_text(PLAY)
+    assert read_plays(spark, str(tmp_path / "a.tei")).where("error is null").count() == 1
+
+
+def test_one_title_and_stem_are_refused(spark):
+    rows = spark.createDataFrame([("a", "/x/f.xml", "T"), ("b", "/y/g.xml", "T"), ("c", "/z/g.xml", "T")], "play_id string, path string, title_en string")
+    assert [r["folder"] for r in exports.play_folders(rows).orderBy("path").collect()] == ["T", "T-g", "T-g"]
+    assert exports.recorded_source("/nowhere") is None
+
+
+def test_pairs_and_sessions(spark, tmp_path):
+    from castwise.functions import register
+    from castwise.streaming.stage import sessions, unit_counts
+
+    register(spark)
+    assert {tuple(r) for r in spark.sql("SELECT * FROM pairs(array('b', 'a', 'c', 'a'))").collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+    rows = [(f"2024-01-01 00:{m:02d}:00", u, 1.0) for u, m in ((1, 0), (1, 20), (1, 59), (2, 5))] + [("2024-01-02 00:00:00", 3, 1.0)]
+    spark.createDataFrame(rows, "t string, user_id int, value double").selectExpr("to_timestamp(t) ts", "user_id", "value", "'x' event_type").write.parquet(str(tmp_path / "e"))
+    schema = spark.read.parquet(str(tmp_path / "e")).schema
+    for name, plan, want in (("s", sessions, {(1, 2), (1, 1), (2, 1)}), ("u", unit_counts, {(None, 4)})):
+        q = plan(spark.readStream.schema(schema).parquet(str(tmp_path / "e"))).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = {(r["user_id"] if name == "s" else None, r["n"]) for r in spark.table(name).collect()}
+        assert got == want
