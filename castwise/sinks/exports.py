@@ -196,6 +196,22 @@ def _save(out: str, place: str, name: str, content: str) -> str:
     return f"{out}/{place}/{name}"
 
 
+def _table_writer(out: str, name: str, columns: list[str]):
+    def write_one(pdf):
+        own = pdf[pdf[columns[0]].notna()][columns].sort_values(columns[:2])
+        return pd.DataFrame({"path": [_save(out, pdf["_place"].iloc[0], name, own.to_csv(index=False))]})
+
+    return write_one
+
+
+def _text_writer(out: str, name: str):
+    def write_all(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"path": [_save(out, p, name, x) for p, x in zip(pdf["_place"], pdf["_text"], strict=True)]})
+
+    return write_all
+
+
 def write(a: dict[str, DataFrame], plays: DataFrame, out: str, model: str = "full", weight: str = "segments_shared", payloads: bool = False) -> list[str]:
     """The exports of one model without aggregation (full where the model has made nothing), as files under out/<play>/<segmentation>/.
 
@@ -223,19 +239,10 @@ def write(a: dict[str, DataFrame], plays: DataFrame, out: str, model: str = "ful
         contents["payload.json"] = payload_json(a)
     done = []
     for name, df in tables.items():
-        columns = [c for c in df.columns if c != "play_id"]
-
-        def table(pdf: pd.DataFrame, name=name, columns=columns) -> pd.DataFrame:
-            own = pdf[pdf[columns[0]].notna()][columns].sort_values(columns[:2])
-            return pd.DataFrame({"path": [_save(out, pdf["_place"].iloc[0], name, own.to_csv(index=False))]})
-
-        done += [r["path"] for r in places.join(df, "play_id", "left").groupBy("play_id").applyInPandas(table, "path string").collect()]
+        rows = places.join(df, "play_id", "left").groupBy("play_id").applyInPandas(_table_writer(out, name, [c for c in df.columns if c != "play_id"]), "path string")
+        done += [r["path"] for r in rows.collect()]
     for name, df in contents.items():
-
-        def text(frames, name=name):
-            for pdf in frames:
-                yield pd.DataFrame({"path": [_save(out, p, name, x) for p, x in zip(pdf["_place"], pdf["_text"], strict=True)]})
-
         own = next(c for c in df.columns if c != "play_id")
-        done += [r["path"] for r in df.join(places, "play_id").select("_place", F.col(own).alias("_text")).mapInPandas(text, "path string").collect()]
+        rows = df.join(places, "play_id").select("_place", F.col(own).alias("_text")).mapInPandas(_text_writer(out, name), "path string")
+        done += [r["path"] for r in rows.collect()]
     return done
