@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import change_rate
+from .order import ranked
 
 PLAY = ("play_id",)
 
@@ -171,7 +172,7 @@ def bands(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 
     Rows are one per play of a corpus, sorted by group first, so runs are groups.
     """
-    return rows.withColumn("band", F.dense_rank().over(Window.orderBy(*group)).cast("long")).withColumn("shaded", F.col("band") % 2 == 1).orderBy(*order)
+    return ranked(rows, group, "band", dense=True).withColumn("shaded", F.col("band") % 2 == 1).orderBy(*order)
 
 
 def heatmap_edges(cast: DataFrame, speech: DataFrame, part_of: DataFrame | None = None, by=PLAY) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice_queries
-from .operators import graph, hierarchy, measures, presence, segment, views
+from .operators import graph, hierarchy, measures, order, presence, segment, views
 from .plans import variants
 from .plans.pin import pinned
 from .sources import adapters
@@ -675,19 +675,15 @@ def play_labels(spark, d):
 @query("SELECT c_custkey AS id, row_number() OVER (ORDER BY TRY_CAST(v AS DOUBLE) NULLS LAST, lower(v), v, c_custkey) AS place FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE round(c_acctbal)::BIGINT::VARCHAR END AS v FROM customer)")
 def table_order(spark, d):
     """A sortable table: numbers by value and before text."""
-    from pyspark.sql import Window
-
     x = adapters.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.round("c_acctbal").cast("long").cast("string")).alias("v"))
-    return x.select("id", F.row_number().over(Window.orderBy(*views.table_order("v"), "id")).cast("long").alias("place"))
+    return order.numbered(x, *views.table_order("v"), "id").select("id", "place")
 
 
 @query(A_SQL + "SELECT play_id, row_number() OVER (ORDER BY speakers + mutes DESC, play_id) AS place FROM dem")
 def composition_bars(spark, d):
     """Plays by cast size, largest first."""
-    from pyspark.sql import Window
-
     x = measures.demographics(adapters.order_characters(spark, d, adapters.order_cast(spark, d)))
-    return x.select("play_id", F.row_number().over(Window.orderBy((F.col("speakers") + F.col("mutes")).desc(), "play_id")).cast("long").alias("place"))
+    return order.numbered(x, (F.col("speakers") + F.col("mutes")).desc(), "play_id").select("play_id", "place")
 
 
 @query(A_SQL + "SELECT play_id, (SELECT count(*) FROM sz) <= 20 OR \"order\" >= 30 AS labelled FROM sz")
@@ -727,11 +723,9 @@ def drawing_radii(spark, d):
 @query("SELECT s_suppkey AS id, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 4 = 0 THEN 'zz' ELSE r_name END, n_name, s_name) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def chorus_order(spark, d):
     """Suppliers stand for choruses: by genre (none last), author and name."""
-    from pyspark.sql import Window
-
     s, n, r = (adapters.table(spark, d, x) for x in ("supplier", "nation", "region"))
     rows = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 4 != 0, F.col("r_name")).alias("genre"), F.col("n_name").alias("author"), F.lit("").alias("title"), F.col("s_name").alias("name"))
-    return rows.select("id", F.row_number().over(Window.orderBy(*views.chorus_keys())).cast("long").alias("place"))
+    return order.numbered(rows, *views.chorus_keys()).select("id", "place")
 
 
 QUERIES |= lattice_queries.QUERIES
