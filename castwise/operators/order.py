@@ -12,18 +12,18 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.pin import pinned
+from ..plans.pin import written
 
 _PART = "shiftright(_o_at, 33)"
 
 
 def _ranged(rows: DataFrame, order: list, spread: bool) -> DataFrame:
-    """The rows, pinned, with _o_at: partition << 33 | place within it, ascending with the order."""
+    """The rows, written, with _o_at: partition << 33 | place within it, ascending with the order."""
     if spread:
-        rows = pinned(rows.withColumn("_o_tie", F.lit(0).cast("long"))).withColumn("_o_tie", F.monotonically_increasing_id())
+        rows = written(rows.withColumn("_o_tie", F.lit(0).cast("long"))).withColumn("_o_tie", F.monotonically_increasing_id())
         order = [*order, "_o_tie"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_o_at", F.monotonically_increasing_id())
-    return pinned(ranged.drop("_o_tie"))
+    return written(ranged.drop("_o_tie"))
 
 
 def _before(ranged: DataFrame, sums: dict[str, Column]) -> DataFrame:
@@ -41,7 +41,7 @@ def numbered(rows: DataFrame, *order: str | Column, name: str = "place", spread:
     """Adds ``name``: each row's number from 1 in the whole table's order.
 
     Rows that tie are numbered in any order.  ``spread``: rows may tie in great numbers, so
-    they are pinned and dealt to several partitions by where they lie.
+    they are written and dealt to several partitions by where they lie.
     """
     ranged = _ranged(rows, list(order), spread)
     before = _before(ranged, {"_o_n": F.lit(1).cast("long")})

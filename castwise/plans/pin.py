@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,15 @@ def pinned(df: DataFrame) -> DataFrame:
     """The rows, checkpointed in the shared folder: they survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table written to the shared folder and read again.
+
+    For rounds of joins: the new plan knows the table's real size, whereas a checkpoint keeps the
+    estimate, which multiplies with every join.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
