@@ -12,6 +12,7 @@ from .line_dedup import LINE_DEDUP_SQL, line_dedup
 from .packing import pack
 from .pieces import sentencepiece_round_trip
 from .pii import pii_spans
+from .prefix_trie import TRIE_SQL, prefix_trie, rebuilt
 from .simhash import simhash_components
 from .token_files import token_files
 from .topk import TOP_K_SQL, top_k
@@ -64,6 +65,10 @@ def op10_pii(spark, sf_dir):
     return pii_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_imatch, op3_simhash, op4_license_scan, op5_token_files, op6_quality, op7_packing, op8_top_k, op9_sentencepiece, op10_pii)}
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations"), block=100, heads=6))
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op8_top_k": TOP_K_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_imatch, op3_simhash, op4_license_scan, op5_token_files, op6_quality, op7_packing, op8_top_k, op9_sentencepiece, op10_pii, op13_prefix_trie)}
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op8_top_k": TOP_K_SQL, "op13_prefix_trie": TRIE_SQL}
