@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .boosted_trees import quality_scores
 from .common import table
 from .imatch import imatch
+from .importance import IMPORTANCE_SQL, importance_scores
 from .licenses import license_scan
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
 from .packing import pack
@@ -14,6 +15,7 @@ from .pieces import sentencepiece_round_trip
 from .pii import pii_spans
 from .prefix_trie import TRIE_SQL, prefix_trie, rebuilt
 from .simhash import simhash_components
+from .substrings import SUBSTRING_SQL, substring_dedup
 from .token_files import token_files
 from .topk import TOP_K_SQL, top_k
 
@@ -65,10 +67,20 @@ def op10_pii(spark, sf_dir):
     return pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark, sf_dir):
+    out = importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_n=1, buckets=10_000, min_words=20, percent=10, seed="2024")
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_substrings(spark, sf_dir):
+    out = substring_dedup(table(spark, sf_dir, "documents"), words=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_prefix_trie(spark, sf_dir):
     return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations"), block=100, heads=6))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_imatch, op3_simhash, op4_license_scan, op5_token_files, op6_quality, op7_packing, op8_top_k, op9_sentencepiece, op10_pii, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_imatch, op3_simhash, op4_license_scan, op5_token_files, op6_quality, op7_packing, op8_top_k, op9_sentencepiece, op10_pii, op11_importance, op12_substrings, op13_prefix_trie)}
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op8_top_k": TOP_K_SQL, "op13_prefix_trie": TRIE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op8_top_k": TOP_K_SQL, "op11_importance": IMPORTANCE_SQL, "op12_substrings": SUBSTRING_SQL, "op13_prefix_trie": TRIE_SQL}
