@@ -78,7 +78,7 @@ def shifted(crc: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Each CRC shifted by its own length."""
     out, order = np.empty_like(crc), np.argsort(length, kind="stable")
     values, first = np.unique(length[order], return_index=True)
-    for n, rows in zip(values.tolist(), np.split(order, first[1:]), strict=True):
+    for n, rows in zip(values.tolist(), np.split(order, first[1:]), strict=False):  # no values: one empty part
         out[rows] = _apply(shift(n), crc[rows])
     return out
 
