@@ -1,4 +1,4 @@
-"""Row numbers, ranks and running sums over the order of a whole table, which no task sees whole.
+"""Row numbers, ranks, running sums and scans over the order of a whole table or of groups of any length, which no task sees whole.
 
 Rows are dealt out by ranges of their keys and sorted; what comes before a partition is the
 prefix sum of one row per partition, which the driver adds up.  Names beginning with _o_
@@ -72,3 +72,78 @@ def ranked(rows: DataFrame, keys: list[str], name: str = "rank", dense: bool = F
     same = [F.col(k).eqNullSafe(F.col(f"_o_k{i}")) for i, k in enumerate(keys)]
     joined = rows.join(known, same)
     return joined.withColumn(name, F.col("_o_rank").cast("long")).drop("_o_rank", *(f"_o_k{i}" for i in range(len(keys))))
+
+
+_BEFORE = (Window.unboundedPreceding, -1)
+
+
+def _local(kind: str, column, up, down) -> Column:
+    if kind == "sum":
+        return F.coalesce(F.sum(column).over(up.rowsBetween(*_BEFORE)), F.lit(0))
+    return F.last(column, ignorenulls=True).over((up if kind == "last" else down).rowsBetween(*_BEFORE))
+
+
+def scanned(rows: DataFrame, by: list[str], order: list[str], wanted: dict[str, tuple[str, str | Column]], long: bool = False) -> DataFrame:
+    """Adds, for each name, what its kind tells of a column over the rows of the same group in order.
+
+    sum: of the rows before; last, next: the last value before, the first after that isn't
+    null; lag, lead: the value of the row before, after.
+
+    ``long``: groups may be as long as the table.  Rows are then dealt out by ranges of (by, order) and
+    each chunk is scanned by itself.  Only a chunk's first and last group can reach beyond it, so
+    one row per chunk is folded by the driver and what comes in from other chunks is added.
+    """
+    wanted = {n: (k, F.col(c) if isinstance(c, str) else c) for n, (k, c) in wanted.items()}
+    if not long:
+        group = Window.partitionBy(*by)
+        up, down = group.orderBy(*order), group.orderBy(*(F.col(c).desc() for c in order))
+        beside = {"lag": lambda c: F.lag(c).over(up), "lead": lambda c: F.lead(c).over(up)}
+        return rows.select("*", *((beside[k](c) if k in beside else _local(k, c, up, down)).alias(n) for n, (k, c) in wanted.items()))
+    # a neighbour's value is the nearest struct, which is never null
+    beside = {"lag": "last", "lead": "next"}
+    told = {f"_o_v{i}": (beside.get(k, k), F.struct(c.alias("v")) if k in beside else c) for i, (k, c) in enumerate(wanted.values())}
+    chunks = _ranged(rows, [*by, *order], spread=False).withColumn("_o_part", F.expr(_PART))
+    group = Window.partitionBy("_o_part", *by)
+    up, down = group.orderBy("_o_at"), group.orderBy(F.desc("_o_at"))
+    known = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("_o_at"))), "next": lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("_o_at")))}
+    each = chunks.groupBy("_o_part", *by).agg(F.min("_o_at").alias("_o_a"), F.max("_o_at").alias("_o_b"), *(known[k](c).alias(n) for n, (k, c) in told.items()))
+    kept = F.struct(*(F.col(c).alias(f"_o_k{i}") for i, c in enumerate(by)), *told)
+    ends = sorted(each.groupBy("_o_part").agg(F.min_by(kept, "_o_a").alias("first"), F.max_by(kept, "_o_b").alias("final")).collect())
+    coming = _carried(ends, {n: k for n, (k, _) in told.items()}, len(by))
+    kinds = dict(each.select(*told).dtypes)
+    table = F.broadcast(rows.sparkSession.createDataFrame(coming, ", ".join(["_o_p long", "_o_forward boolean", *(f"_o_k{i} {dict(rows.dtypes)[c]}" for i, c in enumerate(by)), *(f"_c{n} {k}" for n, k in kinds.items())])))
+    out = chunks.select("*", *(_local(k, c, up, down).alias(n) for n, (k, c) in told.items()))
+    for forward in (True, False):
+        names = [n for n, (k, _) in told.items() if (k != "next") == forward]
+        if not names:
+            continue
+        some = table.where(F.col("_o_forward") == forward).select("_o_p", *(f"_o_k{i}" for i in range(len(by))), *(f"_c{n}" for n in names))
+        same = [F.col("_o_part") == F.col("_o_p"), *(F.col(c).eqNullSafe(F.col(f"_o_k{i}")) for i, c in enumerate(by))]
+        out = out.join(some, same, "left")
+        for n in names:
+            carried = F.col(f"_c{n}")
+            out = out.withColumn(n, F.col(n) + F.coalesce(carried, F.lit(0)) if told[n][0] == "sum" else F.coalesce(n, carried))
+        out = out.drop(*some.columns)
+    final = [(F.col(t)["v"] if k in beside else F.col(t)).alias(n) for t, (n, (k, _)) in zip(told, wanted.items(), strict=True)]
+    return out.select(*rows.columns, *final)
+
+
+def _carried(ends: list, kinds: dict[str, str], keys: int) -> list[tuple]:
+    """(part, forward, key, values that reach the part's first group from before, or its last group from after)."""
+    out = []
+    for forward in (True, False):
+        carry, key = {}, None
+        for part, first, final in ends if forward else reversed(ends):
+            near, far = (first, final) if forward else (final, first)
+            if key is not None and tuple(near)[:keys] == key:
+                out.append((part, forward, *key, *(carry.get(n) for n in kinds)))
+            through = key is not None and tuple(near)[:keys] == key and tuple(far)[:keys] == key
+            own = far.asDict()
+            new = {}
+            for n, kind in kinds.items():
+                if kind == "sum":
+                    new[n] = own[n] + (carry.get(n) or 0 if through else 0)
+                else:
+                    new[n] = own[n] if own[n] is not None else carry.get(n) if through else None
+            carry, key = new, tuple(far)[:keys]
+    return out

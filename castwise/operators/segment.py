@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import STRUCTURAL
+from .order import scanned
 from .presence import on_stage_within
 
 
@@ -25,35 +26,34 @@ def interleaved(moves: DataFrame, speeches: DataFrame) -> DataFrame:
     return m.unionByName(s)
 
 
-def assigned(moves: DataFrame, speeches: DataFrame, presence: DataFrame) -> DataFrame:
+def assigned(moves: DataFrame, speeches: DataFrame, presence: DataFrame, long: bool = False) -> DataFrame:
     """The stream with seg_id: a beat with a structural move opens a segment, or the first speech with none open.
 
     A leading empty onStage is segment 1 by itself; a closing one on an empty stage opens
-    nothing; rows before any segment belong nowhere and are left out.
+    nothing; rows before any segment belong nowhere and are left out.  ``long``: a play may be as long as the table.
     """
-    play = Window.partitionBy("play_id")
-    in_order = play.orderBy("pos")
-    m = moves.withColumn("first", F.min("pos").over(play)).withColumn("final", F.max("pos").over(play))
-    m = m.withColumn("marker", (F.col("pos") == F.col("first")) & _empty_on_stage())
-    m = m.withColumn("structural", F.max(F.col("type").isin(*STRUCTURAL)).over(Window.partitionBy("play_id", "stage_pos")) & (F.col("stage_pos").isNotNull() | F.col("type").isin(*STRUCTURAL)))
+    ends = moves.groupBy("play_id").agg(F.min("pos").alias("first"), F.max("pos").alias("final"))
+    m = moves.join(ends, "play_id").withColumn("marker", (F.col("pos") == F.col("first")) & _empty_on_stage())
+    beat = Window.partitionBy("play_id", F.coalesce("stage_pos", -1 - F.col("pos")))  # without a stage direction, a move is a beat by itself
+    m = m.withColumn("structural", F.max(F.col("type").isin(*STRUCTURAL)).over(beat))
     closing = m.where((F.col("pos") == F.col("final")) & _empty_on_stage() & ~F.col("marker")).select("play_id", "pos")
     p = presence.select(F.col("play_id").alias("_play"), "start_pos", "end_pos")
     full = closing.join(p, (F.col("play_id") == F.col("_play")) & (F.col("start_pos") < F.col("pos")) & (F.col("end_pos").isNull() | (F.col("end_pos") >= F.col("pos"))), "left_semi")
     bare = closing.join(full.select("play_id"), "play_id", "left_anti").select("play_id", F.col("pos").alias("bracket"))
-    lagged = F.lag("stage_pos").over(in_order)
-    opens = F.col("structural") & (lagged.isNull() | F.col("stage_pos").isNull() | (lagged != F.col("stage_pos")))
-    flags = m.where("NOT marker").withColumn("opens", opens.cast("int")).select("play_id", "pos", "opens")
+    lagged = scanned(m.where("NOT marker").select("play_id", "pos", "stage_pos", "structural"), ["play_id"], ["pos"], {"lagged": ("lag", "stage_pos")}, long)
+    opens = F.col("structural") & (F.col("lagged").isNull() | F.col("stage_pos").isNull() | (F.col("stage_pos") != F.col("lagged")))
+    flags = lagged.select("play_id", "pos", opens.cast("int").alias("opens"))
     stream = interleaved(moves, speeches).join(m.where("marker").select("play_id", F.col("pos").alias("marker_pos")), "play_id", "left")
     stream = stream.join(flags, ["play_id", "pos"], "left").join(bare, "play_id", "left").withColumn("opens", F.coalesce("opens", F.lit(0)))
     rest = stream.where("marker_pos IS NULL OR pos <> marker_pos")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    spoken = F.coalesce(F.sum((F.col("type") == "speech").cast("int")).over(before), F.lit(0))
-    open_before = (F.coalesce(F.sum("opens").over(before), F.lit(0)) > 0) | (spoken > 0)
-    rest = rest.withColumn("open_before", open_before)
-    first_speech = (F.col("type") == "speech") & ~F.col("open_before")
-    flag = F.when(F.col("bracket").isNotNull() & (F.col("pos") == F.col("bracket")) & F.col("open_before"), 0).when(first_speech, 1).otherwise(F.col("opens"))
+    begun = (F.col("type") == "speech") | (F.col("opens") > 0)
+    rest = scanned(rest, ["play_id"], ["pos"], {"begun": ("sum", begun.cast("int"))}, long)
+    open_before = F.col("begun") > 0
+    first_speech = (F.col("type") == "speech") & ~open_before
+    flag = F.when(F.col("bracket").isNotNull() & (F.col("pos") == F.col("bracket")) & open_before, 0).when(first_speech, 1).otherwise(F.col("opens"))
     shift = F.col("marker_pos").isNotNull().cast("int")
-    rest = rest.withColumn("flag", flag).withColumn("seg_id", F.sum("flag").over(in_order)).where("seg_id > 0").withColumn("seg_id", (F.col("seg_id") + shift).cast("long"))
+    rest = scanned(rest.withColumn("flag", flag), ["play_id"], ["pos"], {"so_far": ("sum", "flag")}, long)
+    rest = rest.withColumn("seg_id", F.col("so_far") + F.col("flag")).where("seg_id > 0").withColumn("seg_id", (F.col("seg_id") + shift).cast("long"))
     marker = stream.where("pos = marker_pos").withColumn("seg_id", F.lit(1).cast("long"))
     keep = ["play_id", "pos", "type", "who", "word_count", "seg_id", *(c for c in ("large_pos", "middle_pos") if c in stream.columns)]
     return rest.select(*keep).unionByName(marker.select(*keep))
@@ -75,11 +75,11 @@ def segment_speakers(stream: DataFrame) -> DataFrame:
     return s.select("play_id", "seg_id", F.explode("who").alias("char_id"), "word_count").groupBy("play_id", "seg_id", "char_id").agg(F.sum("word_count").alias("words"))
 
 
-def sd_cast(stream: DataFrame, presence: DataFrame) -> DataFrame:
+def sd_cast(stream: DataFrame, presence: DataFrame, long: bool = False) -> DataFrame:
     """play_id, seg_id, char_id: on stage after the segment's last row, or speaking in it."""
     ends = stream.groupBy("play_id", "seg_id").agg(F.max("pos").alias("last"))
     # after the last row: an end at that row is before it
-    here = on_stage_within(ends.withColumn("first", F.col("last") + 1), presence)
+    here = on_stage_within(ends.withColumn("first", F.col("last") + 1), presence, long)
     return here.unionByName(segment_speakers(stream).select("play_id", "seg_id", "char_id")).distinct()
 
 

@@ -505,6 +505,33 @@ def model_edges(spark, d):
     return graph.static_edges(graph.pairs(variants.model_casts(segment.sd_cast(stream, here), segment.segment_speakers(stream)), by=by), by=by).select(*by, "src", "dst", "segments_shared")
 
 
+#: All events as one play.
+L_SQL = B_SQL.replace("strftime(ts, '%Y-%m-%d')", "'all'")
+
+
+def long_stream(spark, d):
+    moves, speeches = adapters.one_long_play(spark, d)
+    here = pinned(presence.presence_intervals(moves, long=True))
+    return here, pinned(segment.assigned(moves, speeches, here, long=True))
+
+
+@query(L_SQL + "SELECT * FROM iv")
+def long_play_presence(spark, d):
+    """A play as long as the table, scanned in chunks."""
+    return presence.presence_intervals(adapters.one_long_play(spark, d)[0], long=True)
+
+
+@query(L_SQL + "SELECT * FROM seg")
+def long_play_segments(spark, d):
+    return segment.sd_segments(long_stream(spark, d)[1]).drop("large_pos", "middle_pos")
+
+
+@query(L_SQL + "SELECT * FROM cst")
+def long_play_cast(spark, d):
+    here, stream = long_stream(spark, d)
+    return segment.sd_cast(stream, here, long=True)
+
+
 # ---------------------------------------------------------------- what the pages compute
 
 

@@ -13,10 +13,11 @@ C  conversations: play = conversation, segment = turn, character = role.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import word_count
+from ..operators.order import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +70,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return event_tables(table(spark, sf_dir, "events"))
 
 
-def event_tables(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def one_long_play(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """B: all events as moves and speeches of one play."""
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "event_type", "user_id", "value", "props")
+    placed = numbered(events, "ts", "event_id", name="pos").withColumn("pos", F.col("pos").cast("int"))
+    return event_tables(placed, F.lit("all"), F.col("pos"))
+
+
+def event_tables(events: DataFrame, day: Column | None = None, pos: Column | None = None) -> tuple[DataFrame, DataFrame]:
     k = F.get_json_object("props", "$.k").cast("long")
     who = F.array((F.col("user_id") % 12).cast("string"))
-    day = F.date_format("ts", "yyyy-MM-dd")
+    day = F.date_format("ts", "yyyy-MM-dd") if day is None else day
+    pos = F.row_number().over(Window.partitionBy(day).orderBy("ts", "event_id")) if pos is None else pos
     rows = events.select(
-        day.alias("play_id"), F.row_number().over(Window.partitionBy(day).orderBy("ts", "event_id")).alias("pos"), "event_type", k.alias("k"), who.alias("who"),
+        day.alias("play_id"), pos.alias("pos"), "event_type", k.alias("k"), who.alias("who"),
         F.floor("value").cast("long").alias("word_count"), F.hour("ts").cast("long").alias("middle_pos"), F.floor(F.hour("ts") / 6).cast("long").alias("large_pos"),
     )
     kind = F.when(F.col("event_type") == "signup", "entrance").when(F.col("event_type") == "error", "exit").when(F.col("event_type") == "purchase", "onStage").otherwise(F.when(F.col("k") % 2 == 1, "crossing").otherwise("state-change"))

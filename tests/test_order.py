@@ -55,3 +55,38 @@ def test_no_task_sees_all_rows(rows, capsys):
     for out in (numbered(rows, "a", "id"), ranked(rows, ["a"], dense=True), running(rows, ["a", "id"], {"s": "w"})):
         out.explain("formatted")
         assert "SinglePartition" not in capsys.readouterr().out
+
+
+WANTED = {"s": ("sum", "w"), "l": ("last", "w"), "n": ("next", "w"), "p": ("lag", "w"), "q": ("lead", "w")}
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_scans_of_long_groups_equal_windows(spark, partitions):
+    from castwise.operators.order import scanned
+
+    rng = random.Random(5)
+    rows = [(None if g == 2 else "abcde"[g], i, rng.choice([None, None, i, 0])) for i, g in enumerate(rng.choices(range(5), [90, 5, 3, 1, 1], k=900))]
+    frame = spark.createDataFrame(rows, "g string, i long, w long").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got, want = (sorted(map(tuple, scanned(frame, ["g"], ["i"], WANTED, long).collect()), key=lambda r: r[1]) for long in (True, False))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+    own = [r for r in got if r[0] == "a"]
+    for k, (_, i, _, s, last, following, lag, lead) in enumerate(own):
+        ws = [r[2] for r in own]
+        assert s == sum(w or 0 for w in ws[:k]) and lag == (ws[k - 1] if k else None) and lead == (ws[k + 1] if k + 1 < len(ws) else None)
+        assert last == next((w for w in reversed(ws[:k]) if w is not None), None) and following == next((w for w in ws[k + 1 :] if w is not None), None)
+
+
+def test_scans_by_two_columns_and_of_nothing(spark):
+    from castwise.operators.order import scanned
+
+    frame = spark.createDataFrame([("a", i % 3, i, float(i)) for i in range(60)], "g string, h int, i int, w double").repartition(4)
+    got, want = (sorted(map(tuple, scanned(frame, ["g", "h"], ["i"], WANTED, long).collect())) for long in (True, False))
+    assert got == want
+    assert scanned(frame.where("false"), ["g"], ["i"], WANTED, True).count() == 0
