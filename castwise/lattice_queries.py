@@ -136,7 +136,7 @@ def d_lattice(spark, d):
 @query(D_COMPARE)
 def comparison_table(spark, d):
     """The flagship: every spine, model and aggregation of every play, one row and 26 columns each."""
-    c = corpus.analyse(adapters.event_plays(spark, d))["comparison"]
+    c = corpus.analyse(adapters.event_plays(spark, d), nodes_too=False)["comparison"]
     return c.select(*(F.round(x, 6).alias(x) if x in ROUNDED else x for x in c.columns))
 
 

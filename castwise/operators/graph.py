@@ -7,11 +7,8 @@ aggregate is partitioned by it.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PLAY = ("play_id",)
 
@@ -86,82 +83,6 @@ def ego(edges: DataFrame, focus: DataFrame, by=PLAY) -> DataFrame:
     return edges.join(focus.select(*by, F.col("char_id").alias("focus")), list(by)).where("src = focus OR dst = focus")
 
 
-def _adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    ids = np.array(sorted(set(pdf["char_id"]) | set(pdf["other"].dropna())))
-    place = {v: i for i, v in enumerate(ids.tolist())}
-    near: list[list[int]] = [[] for _ in ids]
-    w = np.zeros((len(ids), len(ids)))
-    for a, b, x in zip(pdf["char_id"], pdf["other"], pdf["weight"], strict=True):
-        if pd.notna(b):
-            near[place[a]].append(place[b])
-            w[place[a], place[b]] = x
-    return ids, [np.array(sorted(x), int) for x in near], w
-
-
-def path_measures(nodes: DataFrame, edges: DataFrame, by=PLAY) -> DataFrame:
-    """by, char_id, component (its smallest id), reach, distance_sum, eccentricity, betweenness, closeness, eigenvector.
-
-    A graph is one play's cast, so a task holds it whole: breadth-first distances, path
-    counts and Brandes' dependencies; the eigenvector is weighted and of unit norm in each component.
-    """
-    kind = nodes.schema["char_id"].dataType
-    rows = nodes.select(*by, "char_id").distinct().join(directed(edges, by), [*by, "char_id"], "left")
-    schema = T.StructType([*(nodes.schema[c] for c in by), T.StructField("char_id", kind), T.StructField("component", kind), *(T.StructField(c, T.LongType()) for c in ("reach", "distance_sum", "eccentricity")), *(T.StructField(c, T.DoubleType()) for c in ("betweenness", "closeness", "eigenvector"))])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, near, w = _adjacency(pdf)
-        n = len(ids)
-        between, out, part = np.zeros(n), [], np.full(n, -1)
-        for s in range(n):
-            dist, sigma = np.full(n, -1), np.zeros(n)
-            dist[s], sigma[s] = 0, 1
-            levels, front = [], [s]
-            while front:
-                levels.append(front)
-                following = []
-                for v in front:
-                    for u in near[v].tolist():
-                        if dist[u] < 0:
-                            dist[u] = dist[v] + 1
-                            following.append(u)
-                        if dist[u] == dist[v] + 1:
-                            sigma[u] += sigma[v]
-                front = following
-            depend = np.zeros(n)
-            for level in levels[:0:-1]:
-                for u in level:
-                    v = near[u][dist[near[u]] == dist[u] - 1]
-                    depend[v] += sigma[v] / sigma[u] * (1 + depend[u])
-                    between[u] += depend[u]
-            reached = dist >= 0
-            if part[s] < 0:
-                part[reached] = s
-            r, total = int(reached.sum()), int(dist[reached].sum())
-            out.append((r, total, int(dist.max()), (r - 1) / total * (r - 1) / (n - 1) if total and n > 1 else 0.0))
-        vector = np.zeros(n)
-        for c in set(part.tolist()):
-            own = np.flatnonzero(part == c)
-            if len(own) > 1:
-                _, vectors = np.linalg.eigh(w[np.ix_(own, own)])
-                v = vectors[:, -1]
-                vector[own] = v * np.sign(v[np.abs(v).argmax()])
-        reach, total, far, close = zip(*out, strict=True)
-        frame = {c: [pdf[c].iloc[0]] * n for c in by}
-        scale = (n - 1) * (n - 2)
-        return pd.DataFrame(frame | {"char_id": ids, "component": ids[part], "reach": reach, "distance_sum": total, "eccentricity": far, "betweenness": between / scale if scale > 0 else between * 0, "closeness": close, "eigenvector": vector})
-
-    return rows.groupBy(*by).applyInPandas(run, schema)
-
-
-def path_summary(measures: DataFrame, by=PLAY) -> DataFrame:
-    """by, components, isolates, and diameter and average path length of the largest component (ties: the smallest id)."""
-    c = measures.groupBy(*by, "component").agg(F.count("*").alias("n"), F.max("eccentricity").alias("diameter"), F.sum("distance_sum").alias("total"))
-    w = Window.partitionBy(*by).orderBy(F.desc("n"), "component")
-    all_of = Window.partitionBy(*by)
-    c = c.withColumn("_r", F.row_number().over(w)).withColumn("components", F.count("*").over(all_of)).withColumn("isolates", F.count_if(F.col("n") == 1).over(all_of))
-    return c.where("_r = 1").select(*by, "components", "isolates", "diameter", F.when(F.col("n") > 1, F.col("total") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0).alias("average_path_length"))
-
-
 def spells(rows: DataFrame, *what: str, by=PLAY) -> DataFrame:
     """by, what, start, end (half open): runs of consecutive segments."""
     w = Window.partitionBy(*by, *what).orderBy("seg_id")

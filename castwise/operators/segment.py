@@ -6,7 +6,6 @@ speeches: play_id, pos, who, word_count, large_pos, middle_pos
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,30 +129,30 @@ def speaking_fold(sets: DataFrame, speakers: DataFrame) -> DataFrame:
 
     Blocks of equal members are joined left to right while both sides of every boundary
     in the run are empty or both are not, and nobody who crosses a boundary of the run
-    speaks in it.  One play's blocks are bounded, so this fold is a function per play.
+    speaks in it.  The blocks of a play are folded by one aggregate over their sorted array, whose
+    state is the run so far.
     """
-    spoken = speakers.groupBy("play_id", "seg_id").agg(F.collect_set("char_id").alias("speakers"))
-    rows = equality_fold(sets).join(spoken, ["play_id", "seg_id"], "left").select("play_id", "seg_id", "fold_id", "members", "speakers")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg_id")
-        run, last = 0, None
-        crossers: set = set()
-        voices: set = set()
-        runs = []
-        for _, block in pdf.groupby("fold_id", sort=True):
-            members = set(block["members"].iloc[0])
-            said = {x for s in block["speakers"] if s is not None for x in s}
-            crossing = crossers | (members ^ last) if last is not None else set()
-            if last is None or bool(members) != bool(last) or crossing & (voices | said):
-                run, crossers, voices = run + 1, set(), said
-            else:
-                crossers, voices = crossing, voices | said
-            last = members
-            runs += [run] * len(block)
-        return pdf[["play_id", "seg_id"]].assign(fold_id=runs)
-
-    return rows.groupBy("play_id").applyInPandas(fold, rows.select("play_id", "seg_id", F.col("fold_id").cast("long")).schema)
+    folds = equality_fold(sets).select("play_id", "seg_id", "fold_id", "members")
+    said = speakers.groupBy("play_id", "seg_id").agg(F.collect_set("char_id").alias("said"))
+    none = F.array().cast(sets.schema["members"].dataType)
+    blocks = folds.join(said, ["play_id", "seg_id"], "left").groupBy("play_id", "fold_id").agg(F.first("members").alias("members"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("said", none)))).alias("said"))
+    sorted_blocks = F.array_sort(F.collect_list(F.struct("fold_id", "members", "said")))
+
+    def join(s: Column, b: Column) -> Column:
+        crossing = F.array_union(s["crossers"], F.array_union(F.array_except(b["members"], s["last"]), F.array_except(s["last"], b["members"])))
+        heard = F.array_union(s["voices"], b["said"])
+        cut = (F.size(s["runs"]) == 0) | ((F.size(b["members"]) > 0) != (F.size(s["last"]) > 0)) | F.arrays_overlap(crossing, heard)
+        step = F.struct(cut.alias("cut"), crossing.alias("crossing"), heard.alias("heard"))
+        # the step is told once and then taken apart
+        return F.element_at(F.transform(F.array(step), lambda x: F.struct(
+            (s["run"] + x["cut"].cast("long")).alias("run"), b["members"].alias("last"), F.when(x["cut"], none).otherwise(x["crossing"]).alias("crossers"),
+            F.when(x["cut"], b["said"]).otherwise(x["heard"]).alias("voices"), F.concat(s["runs"], F.array(s["run"] + x["cut"].cast("long"))).alias("runs"),
+        )), 1)
+
+    start = F.struct(F.lit(0).cast("long").alias("run"), none.alias("last"), none.alias("crossers"), none.alias("voices"), F.array().cast("array<bigint>").alias("runs"))
+    runs = blocks.groupBy("play_id").agg(F.aggregate(sorted_blocks, start, join, lambda s: s["runs"]).alias("runs"))
+    run_of = runs.select("play_id", F.posexplode("runs").alias("_i", "_run")).select("play_id", (F.col("_i") + 1).cast("long").alias("fold_id"), "_run")
+    return folds.join(run_of, ["play_id", "fold_id"]).select("play_id", "seg_id", F.col("_run").alias("fold_id"))
 
 
 def folded(rows: DataFrame, folds: DataFrame) -> DataFrame:

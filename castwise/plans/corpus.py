@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nature_class, sex_class
-from ..operators import graph, hierarchy, measures, segment
+from ..operators import graph, hierarchy, measures, paths, segment
 from ..operators.presence import presence_intervals
 from .pin import pinned
 from .variants import MODELS, masks
@@ -138,17 +138,23 @@ def lattice(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFram
     return {"variants": variants, "segments": segments, "cast": own, "stage_cast": stage, "speech": speech, "nodes": nodes, "pairs": pair_rows, "edges": edges, "people": people, "rules": rules}
 
 
-def analyse(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFrame]:
-    """lattice() with node_metrics, temporal_gini, indices, demographics and the comparison of all variants."""
+def node_metrics(a: dict[str, DataFrame]) -> DataFrame:
+    """play_id, char_id and the network measures of every character in every variant of a lattice()."""
+    nodes, edges, key = a["nodes"], a["edges"], ["play_id", "char_id"]
+    measured = paths.path_measures(nodes, edges).drop("component", "reach", "distance_sum", "eccentricity")
+    metrics = graph.degrees(nodes, edges).join(graph.clustering(nodes, edges).drop("degree"), key).join(measured, key)
+    rounded = ("clustering", "betweenness", "closeness", "eigenvector")
+    return metrics.select(*key, "degree", "weighted_degree", "triangles", *(F.round(c, 6).alias(c) for c in rounded))
+
+
+def analyse(t: dict[str, DataFrame], spines=tuple(SPINES), nodes_too: bool = True) -> dict[str, DataFrame]:
+    """lattice() with node_metrics (if asked for), temporal_gini, indices, demographics and the comparison of all variants."""
     a = lattice(t, spines)
     variants, segments, own, stage, speech, nodes, rules = (a[k] for k in ("variants", "segments", "cast", "stage_cast", "speech", "nodes", "rules"))
     edges = pinned(a["edges"])
-    paths = pinned(graph.path_measures(nodes, edges))
+    distances = pinned(paths.distance_measures(paths.levels(nodes, paths.neighbours(edges))))
     degree = graph.degrees(nodes, edges)
     cluster = pinned(graph.clustering(nodes, edges))
-    metrics = degree.join(cluster.drop("degree"), ["play_id", "char_id"]).join(paths.drop("component", "reach", "distance_sum", "eccentricity"), ["play_id", "char_id"])
-    rounded = ("clustering", "betweenness", "closeness", "eigenvector")
-    metrics = metrics.select("play_id", "char_id", "degree", "weighted_degree", "triangles", *(F.round(c, 6).alias(c) for c in rounded))
     gini = pinned(measures.temporal_gini(stage, speech, segment.active_span(segments, stage)))
     indices = pinned(measures.segment_indices(segments, own, speech))
     all_in = measures.scanned(segments, own).join(indices.select("play_id", F.col("all_in_segment").alias("at")), ["play_id", "at"]).join(segments.select("play_id", "seg_id", "label"), ["play_id", "seg_id"])
@@ -163,7 +169,7 @@ def analyse(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFram
     size = graph.network_size(nodes, edges)
     left = lambda a, b: a.join(b, "play_id", "left")
     count = segments.groupBy("play_id").agg(F.count("*").alias("segments"))
-    table = reduce(left, [variants, size, graph.max_degree(degree).drop("max_degree_ids"), graph.path_summary(paths).drop("isolates"), cluster.groupBy("play_id").agg(F.avg("clustering").alias("average_clustering")), count, indices, all_in, speeches.drop("total_words", "top_speakers"), top_gini, rates.drop("change_rate_sd", "transitions")])
+    table = reduce(left, [variants, size, graph.max_degree(degree).drop("max_degree_ids"), paths.path_summary(distances).drop("isolates"), cluster.groupBy("play_id").agg(F.avg("clustering").alias("average_clustering")), count, indices, all_in, speeches.drop("total_words", "top_speakers"), top_gini, rates.drop("change_rate_sd", "transitions")])
     about = t["plays"].select(F.col("play_id").alias("play"), F.col("title_en").alias("title"), "author")
     comparison = table.join(about, "play").select(
         F.col("play").alias("id"), F.col("title").alias("play"), "author", "segmentation", "model", F.col("groups").alias("aggregated"), F.coalesce("order", F.lit(0)).alias("order"), F.coalesce("num_edges", F.lit(0)).alias("edges"), "density",
@@ -171,7 +177,8 @@ def analyse(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFram
         F.col("final_cast_share").alias("final_segment_cast_share"), "max_simultaneous_speakers", F.coalesce("gini_words", F.lit(0.0)).alias("gini_words"), F.coalesce("effective_speakers", F.lit(0.0)).alias("effective_speakers"), "top_speaker",
         F.coalesce("top_share", F.lit(0.0)).alias("top_speaker_word_share"), "top_speaker_temporal_gini", "drama_change_rate",
     )
-    return a | {"edges": edges, "node_metrics": metrics, "temporal_gini": gini, "indices": indices, "demographics": demographics(a["people"]), "comparison": comparison}
+    a = a | {"edges": edges}
+    return a | ({"node_metrics": node_metrics(a)} if nodes_too else {}) | {"temporal_gini": gini, "indices": indices, "demographics": demographics(a["people"]), "comparison": comparison}
 
 
 def demographics(people: DataFrame, include_mutes: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice_queries
-from .operators import graph, hierarchy, measures, order, presence, segment, views
+from .operators import graph, hierarchy, measures, order, paths, presence, segment, views
 from .plans import variants
 from .plans.pin import pinned
 from .sources import adapters
@@ -18,11 +18,9 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str):
     def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
+        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
         return f
 
     return add
@@ -120,6 +118,11 @@ def a_graph(spark, d):
     return cast, segments, nodes, edges
 
 
+def a_distances(spark, d):
+    _, _, nodes, edges = a_graph(spark, d)
+    return paths.distance_measures(paths.levels(nodes, paths.neighbours(edges)))
+
+
 @query(A_SQL + "SELECT * FROM e")
 def static_edges(spark, d):
     return a_graph(spark, d)[3].withColumn("segment_ids", F.array_join(F.transform("segment_ids", lambda x: x.cast("string")), ","))
@@ -162,21 +165,45 @@ def average_clustering(spark, d):
 
 @query(A_PATHS + "SELECT play_id, char_id, component, reach, distance_sum, eccentricity, round(CASE WHEN distance_sum > 0 THEN (reach - 1) / distance_sum * (reach - 1) / (\"order\" - 1) ELSE 0 END, 6) AS closeness FROM nd JOIN sz USING (play_id)")
 def closeness(spark, d):
-    _, _, nodes, edges = a_graph(spark, d)
-    return graph.path_measures(nodes, edges).select("play_id", "char_id", "component", "reach", "distance_sum", "eccentricity", *r6("closeness"))
+    return a_distances(spark, d).select("play_id", "char_id", "component", "reach", "distance_sum", "eccentricity", *r6("closeness"))
 
 
 @query(A_PATHS + "SELECT play_id, components, isolates, diameter, round(CASE WHEN k > 1 THEN total / (k * (k - 1)) ELSE 0 END, 6) AS average_path_length FROM lc WHERE r = 1")
 def diameter_apl(spark, d):
+    return paths.path_summary(a_distances(spark, d)).select("play_id", "components", "isolates", "diameter", *r6("average_path_length"))
+
+
+@query(A_PATHS + "SELECT play_id, char_id, component, count(*) OVER (PARTITION BY play_id, component) AS members FROM nd")
+def components(spark, d):
+    """Star contraction, whatever the size of a component."""
     _, _, nodes, edges = a_graph(spark, d)
-    return graph.path_summary(graph.path_measures(nodes, edges)).select("play_id", "components", "isolates", "diameter", *r6("average_path_length"))
+    of = paths.components(nodes, edges)
+    return of.join(of.groupBy("play_id", "component").agg(F.count("*").alias("members")), ["play_id", "component"]).select("play_id", "char_id", "component", "members")
 
 
-@query()
+#: Shortest paths by levels and, for every pair and everyone between, the share of its paths that lead there.
+A_BETWEEN = A_PATHS + """,
+sg AS (SELECT play_id, s, t, d, 1.0::DOUBLE AS sigma FROM ds WHERE d = 0 UNION ALL SELECT sg.play_id, sg.s, ds.t, ds.d, sum(sigma) FROM sg JOIN de ON de.play_id = sg.play_id AND de.char_id = sg.t JOIN ds ON ds.play_id = sg.play_id AND ds.s = sg.s AND ds.t = de.other AND ds.d = sg.d + 1 GROUP BY sg.play_id, sg.s, ds.t, ds.d),
+si AS MATERIALIZED (SELECT * FROM sg),
+bt AS (SELECT a.play_id, a.t AS char_id, sum(a.sigma * b.sigma / c.sigma) AS b FROM si a JOIN si b ON b.play_id = a.play_id AND b.s = a.t AND a.d > 0 AND b.d > 0 JOIN si c ON c.play_id = a.play_id AND c.s = a.s AND c.t = b.t AND c.d = a.d + b.d GROUP BY ALL),
+"""
+#: Power iteration with a loop of the mean weighted degree, tested after every eight steps.
+A_EIGEN = A_BETWEEN + """
+el AS (SELECT de.play_id, component AS c, de.char_id, other, w::DOUBLE AS w FROM de JOIN nd ON nd.play_id = de.play_id AND nd.char_id = de.char_id),
+lo AS (SELECT play_id, c, sum(w) / count(DISTINCT char_id) AS w FROM el GROUP BY ALL),
+ea AS MATERIALIZED (SELECT * FROM el UNION ALL SELECT nd.play_id, c, nd.char_id, nd.char_id, w FROM lo JOIN nd ON nd.play_id = lo.play_id AND nd.component = lo.c),
+ev AS (SELECT play_id, c, char_id, 1 / sqrt(count(*) OVER (PARTITION BY play_id, c)) AS x, 1 / sqrt(count(*) OVER (PARTITION BY play_id, c)) AS was, 0 AS step, false AS done FROM (SELECT DISTINCT play_id, c, char_id FROM ea)
+  UNION ALL SELECT play_id, c, char_id, x, CASE WHEN step % 8 = 0 THEN x ELSE was END, step, step % 8 = 0 AND max(abs(x - was)) OVER (PARTITION BY play_id, c) < 1e-10
+  FROM (SELECT play_id, c, char_id, y / sqrt(sum(y * y) OVER (PARTITION BY play_id, c)) AS x, was, step FROM (SELECT ea.play_id, ea.c, ea.other AS char_id, sum(ea.w * x) AS y, sum(CASE WHEN ea.other = ea.char_id THEN was END) AS was, any_value(step) + 1 AS step FROM ev JOIN ea ON ea.play_id = ev.play_id AND ea.c = ev.c AND ea.char_id = ev.char_id WHERE NOT done GROUP BY ea.play_id, ea.c, ea.other)))
+"""
+
+
+@query(A_EIGEN + 'SELECT nd.play_id, nd.char_id, round(coalesce(b, 0) / CASE WHEN "order" > 2 THEN ("order" - 1) * ("order" - 2) ELSE 1 END, 6) AS betweenness, round(coalesce(x, 0), 6) AS eigenvector FROM nd JOIN sz USING (play_id) LEFT JOIN bt ON bt.play_id = nd.play_id AND bt.char_id = nd.char_id LEFT JOIN ev ON ev.play_id = nd.play_id AND ev.char_id = nd.char_id AND done')
 def betweenness_eigenvector(spark, d):
-    """No SQL: path counts and the eigenvector are tested against brute force."""
     _, _, nodes, edges = a_graph(spark, d)
-    return graph.path_measures(nodes, edges).select("play_id", "char_id", *r6("betweenness", "eigenvector"))
+    links = paths.neighbours(edges)
+    both = paths.betweenness(paths.levels(nodes, links), links).join(paths.eigenvector(nodes, edges), ["play_id", "char_id"])
+    return both.select("play_id", "char_id", *r6("betweenness", "eigenvector"))
 
 
 @query(A_SQL + ", sg AS (SELECT play_id, seg_id, count(*) AS size FROM c GROUP BY ALL) SELECT play_id, seg_id, word_count, is_initial, is_final, size, (size * (size - 1) // 2)::BIGINT AS num_edges FROM s JOIN sg USING (play_id, seg_id)")
@@ -421,9 +448,20 @@ def equality_fold(spark, d):
     return segment.equality_fold(sets).select("play_id", "seg_id", "fold_id")
 
 
-@query()
+#: The speaking fold as a recursion over blocks of equal casts.
+B_FOLD = B_SQL.replace("WITH e AS", "WITH RECURSIVE e AS").rstrip() + """,
+ml AS (SELECT seg.play_id, seg.seg_id, coalesce(list(char_id ORDER BY char_id) FILTER (char_id IS NOT NULL), []) AS mem FROM seg LEFT JOIN cst ON cst.play_id = seg.play_id AND cst.seg_id = seg.seg_id GROUP BY ALL),
+sl AS (SELECT play_id, seg_id, list(char_id) AS said FROM spk GROUP BY ALL),
+blk AS MATERIALIZED (SELECT fold.play_id, fold_id AS b, any_value(mem) AS mem, list_distinct(flatten(list(coalesce(said, [])))) AS said FROM fold JOIN ml ON ml.play_id = fold.play_id AND ml.seg_id = fold.seg_id LEFT JOIN sl ON sl.play_id = fold.play_id AND sl.seg_id = fold.seg_id GROUP BY ALL),
+sf AS (SELECT play_id, b, 1::BIGINT AS run, mem, []::VARCHAR[] AS cross_, said AS voices FROM blk WHERE b = 1
+  UNION ALL SELECT play_id, b, run + cut::INT, mem, CASE WHEN cut THEN [] ELSE crossing END, CASE WHEN cut THEN said ELSE list_distinct(list_concat(voices, said)) END
+  FROM (SELECT *, (len(mem) > 0) <> (len(last) > 0) OR len(list_intersect(crossing, list_concat(voices, said))) > 0 AS cut FROM (SELECT blk.*, sf.run, sf.mem AS last, sf.voices, list_distinct(list_concat(cross_, list_concat(list_filter(blk.mem, lambda x: NOT list_contains(sf.mem, x)), list_filter(sf.mem, lambda x: NOT list_contains(blk.mem, x))))) AS crossing FROM sf JOIN blk ON blk.play_id = sf.play_id AND blk.b = sf.b + 1)))
+"""
+
+
+@query(B_FOLD + "SELECT fold.play_id, seg_id, run AS fold_id FROM fold JOIN sf ON sf.play_id = fold.play_id AND sf.b = fold.fold_id")
 def speaking_fold(spark, d):
-    """No SQL: a fold whose state depends on its own decisions, tested against the rule in Python."""
+    """A fold whose state depends on its own decisions."""
     _, _, here, stream = b_stream(spark, d)
     sets = segment.cast_sets(segment.sd_segments(stream), segment.sd_cast(stream, here))
     return segment.speaking_fold(sets, segment.segment_speakers(stream))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from castwise.cli import corpus_paths, main
 from castwise.functions import effective_number, gini, nature_class, register, word_count
-from castwise.operators import graph, hierarchy, segment
+from castwise.operators import graph, hierarchy, paths, segment
 from castwise.operators.presence import presence_intervals
 from castwise.operators.validation import issues
 from castwise.plans.corpus import analyse
@@ -134,11 +134,11 @@ def test_graph_measures(spark):
     c = {r["char_id"]: r for r in graph.clustering(n, e).collect()}
     assert (c["d"]["clustering"], c["d"]["triangles"]) == (0, 0)
     assert c["a"]["clustering"] == pytest.approx(1 / 3) and c["b"]["clustering"] == 1
-    p = {r["char_id"]: r for r in graph.path_measures(n, e).collect()}
+    p = {r["char_id"]: r for r in paths.path_measures(n, e).collect()}
     assert p["a"]["betweenness"] == pytest.approx(2 / 10) and p["b"]["betweenness"] == 0
     assert p["a"]["closeness"] == pytest.approx(3 / 3 * 3 / 5) and p["y"]["component"] == "x"
     assert p["x"]["eigenvector"] == pytest.approx(0.5**0.5) and sum(p[k]["eigenvector"] ** 2 for k in "abcd") == pytest.approx(1)
-    s = graph.path_summary(graph.path_measures(n, e)).first()
+    s = paths.path_summary(paths.path_measures(n, e)).first()
     assert (s["components"], s["isolates"], s["diameter"]) == (2, 0, 2) and s["average_path_length"] == pytest.approx(16 / 12)
 
 
@@ -172,7 +172,7 @@ def test_betweenness_against_all_paths(spark):
     n, e = edges_of(spark, [(a, b, 1) for a, b in pairs])
     own = sorted({x for p in pairs for x in p})
     want = brute_betweenness(own, pairs)
-    for r in graph.path_measures(n, e).collect():
+    for r in paths.path_measures(n, e).collect():
         assert r["betweenness"] == pytest.approx(want[r["char_id"]])
 
 
