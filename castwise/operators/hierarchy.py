@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.pin import pinned
+from ..plans.pin import written
 
 
 def closure(relations: DataFrame) -> DataFrame:
@@ -16,12 +16,12 @@ def closure(relations: DataFrame) -> DataFrame:
 
     Each round joins ways to ways, so a chain of n steps takes about log2 n rounds; it ends when a round finds no new pair.
     """
-    ways = pinned(relations.where("part <> whole").select("play_id", "part", "whole").distinct().withColumn("depth", F.lit(1)))
+    ways = written(relations.where("part <> whole").select("play_id", "part", "whole").distinct().withColumn("depth", F.lit(1)))
     known = ways.count()
     while True:
         further = ways.select("play_id", F.col("part").alias("whole"), F.col("whole").alias("top"), F.col("depth").alias("more"))
         longer = ways.join(further, ["play_id", "whole"]).where("part <> top").select("play_id", "part", F.col("top").alias("whole"), (F.col("depth") + F.col("more")).alias("depth"))
-        ways = pinned(ways.unionByName(longer).groupBy("play_id", "part", "whole").agg(F.min("depth").alias("depth")))
+        ways = written(ways.unionByName(longer).groupBy("play_id", "part", "whole").agg(F.min("depth").alias("depth")))
         before, known = known, ways.count()
         if known == before:
             return ways

@@ -100,12 +100,14 @@ def temporal_gini(cast: DataFrame, speech: DataFrame, active: DataFrame, by=PLAY
     """
     key = [*by, "seg_id", "char_id"]
     words = speech.where("words > 0").groupBy(*key).agg(F.sum("words").alias("words"))
-    span = cast.select(*key).unionByName(words.select(*key)).distinct().join(active.select(*by, "seg_id"), [*by, "seg_id"], "left_semi")
-    rows = span.join(words, key, "left").fillna(0, ["words"])
-    own = rows.groupBy(*by, "char_id").agg(F.sum("words").alias("total_words"), F.count_if(F.col("words") > 0).alias("speaking_segments"), F.count("*").alias("n_onstage_segments")).where("total_words > 0")
+    span = cast.select(*key).distinct().join(words, key, "full").join(active.select(*by, "seg_id"), [*by, "seg_id"], "left_semi").fillna(0, ["words"])
+    # the rank and the sums share one shuffle by character
+    rank = F.row_number().over(Window.partitionBy(*by, "char_id").orderBy("words"))
+    own = span.withColumn("_i", rank).groupBy(*by, "char_id").agg(F.sum("words").alias("total_words"), F.count_if(F.col("words") > 0).alias("speaking_segments"), F.count("*").alias("n_onstage_segments"), F.sum(F.col("words") * F.col("_i")).alias("_q")).where("total_words > 0")
     n = active.groupBy(*by).agg(F.count("*").alias("n_active_segments"))
-    g = gini_of(rows, "words", [*by, "char_id"]).withColumn("temporal_gini", F.round("gini", 6)).drop("gini")
-    return own.join(n, list(by)).join(g, [*by, "char_id"])
+    k = F.col("n_onstage_segments")
+    gini = 2 * F.col("_q") / (k * F.col("total_words")) - (k + 1) / k
+    return own.withColumn("temporal_gini", F.round(gini, 6)).drop("_q").join(n, list(by))
 
 
 def word_bounds(segments: DataFrame, by=PLAY, words: str = "word_count") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import nature_class, sex_class
 from ..operators import graph, hierarchy, measures, paths, segment
 from ..operators.presence import presence_intervals
-from .pin import pinned
+from .pin import written
 from .variants import MODELS, masks
 
 SPINES = {"sd": None, "large-seq": "large", "middle-seq": "middle"}
@@ -27,7 +27,7 @@ def spine(t: dict[str, DataFrame], mode: str, here: DataFrame) -> tuple[DataFram
     w = Window.partitionBy("play_id").orderBy("seg_id")
     whole = Window.partitionBy("play_id")
     if level is None:
-        stream = segment.assigned(t["moves"], t["speeches"], here)
+        stream = written(segment.assigned(t["moves"], t["speeches"], here))  # read by segments, cast and speech
         cast = segment.sd_cast(stream, here)
         segs = segment.sd_segments(stream)
     else:
@@ -94,13 +94,13 @@ def rewrites(t: dict[str, DataFrame], keys: DataFrame, maps: DataFrame, people:
 
 def lattice(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFrame]:
     """variants, segments, cast (model's), stage_cast, speech, nodes, pairs, edges, people, rules by VARIANT."""
-    here = pinned(presence_intervals(t["moves"]))
+    here = written(presence_intervals(t["moves"]))
     parts = [spine(t, m, here) for m in spines]
-    segs, cast, said = (pinned(reduce(DataFrame.unionByName, x)) for x in zip(*parts, strict=True))
+    segs, cast, said = (written(reduce(DataFrame.unionByName, x)) for x in zip(*parts, strict=True))
     chained = hierarchy.chains(t["part_of"])
-    keys, maps = map(pinned, aggregations(t, chained))
-    people = pinned(rewritten_characters(t, keys, maps))
-    rules = pinned(rewrites(t, keys, maps, people, chained))
+    keys, maps = map(written, aggregations(t, chained))
+    people = written(rewritten_characters(t, keys, maps))
+    rules = written(rewrites(t, keys, maps, people, chained))
     models = F.explode(F.array(*(F.lit(m) for m in MODELS)))
     lattice = keys.withColumn("model", models)
     vid = F.concat_ws("\u001f", "play_id", "segmentation", "model", "groups")
@@ -109,9 +109,9 @@ def lattice(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFram
         wide = rows.join(lattice, "play_id").join(rules.withColumnRenamed("part", "char_id"), ["model", "play_id", "groups", "char_id"], "left")
         return wide.withColumn("char_id", F.coalesce("whole", "char_id")).withColumn("play", F.col("play_id")).withColumn("play_id", vid).drop("whole").distinct()
 
-    cast, said = pinned(project(cast)), pinned(project(said))
-    segs = pinned(segs.join(lattice, "play_id").withColumn("play", F.col("play_id")).withColumn("play_id", vid))
-    variants = pinned(segs.select("play_id", *VARIANT).distinct())
+    cast, said = written(project(cast)), written(project(said))
+    segs = written(segs.join(lattice, "play_id").withColumn("play", F.col("play_id")).withColumn("play_id", vid))
+    variants = written(segs.select("play_id", *VARIANT).distinct())
     voices = said.select("play_id", "char_id").distinct()
     stage = cast.select("play_id", "model", "segmentation", "seg_id", "char_id")
     spoken = said.groupBy("play_id", "model", "segmentation", "seg_id", "char_id").agg(F.sum("word_count").alias("words"))
@@ -122,17 +122,17 @@ def lattice(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFram
     sets = segment.cast_sets(segs.where(foldable), kept_stage.where(foldable))
     p_sets = sets.where(F.col("play_id").contains("\u001fp-speaking\u001f"))
     s_sets = sets.where(F.col("play_id").contains("\u001fs-speaking\u001f"))
-    folds = pinned(segment.equality_fold(p_sets).select("play_id", "seg_id", "fold_id").unionByName(segment.speaking_fold(s_sets, spoken.where("model = 's-speaking'"))))
+    folds = written(segment.equality_fold(p_sets).select("play_id", "seg_id", "fold_id").unionByName(segment.speaking_fold(s_sets, spoken.where("model = 's-speaking'"))))
     refold = lambda df: df.join(folds, ["play_id", "seg_id"], "left").withColumn("seg_id", F.coalesce("fold_id", "seg_id")).drop("fold_id", "model", "segmentation")
-    own, stage = pinned(refold(own).distinct()), pinned(refold(stage).distinct())
-    speech = pinned(refold(spoken).groupBy("play_id", "seg_id", "char_id").agg(F.sum("words").alias("words")))
+    own, stage = written(refold(own).distinct()), written(refold(stage).distinct())
+    speech = written(refold(spoken).groupBy("play_id", "seg_id", "char_id").agg(F.sum("words").alias("words")))
     merged = segs.join(folds, ["play_id", "seg_id"], "left").withColumn("_id", F.coalesce("fold_id", "seg_id"))
     segments = merged.groupBy("play_id", F.col("_id").alias("seg_id")).agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("word_count").alias("word_count"), F.sum("num_speeches").alias("num_speeches"), F.sum("num_crossings").alias("num_crossings"), F.min_by("is_initial", merged["seg_id"]).alias("is_initial"), F.max_by("is_final", merged["seg_id"]).alias("is_final"), F.min_by("label", merged["seg_id"]).alias("label"), F.max("fold_id").alias("_folded"))
     filled = stage.select("play_id", "seg_id").distinct().withColumn("_filled", F.lit(True))
     segments = segments.join(filled, ["play_id", "seg_id"], "left").withColumn("label", F.when(F.col("_folded").isNull(), F.col("label")).otherwise(_label(F.col("_filled").isNull()))).drop("_folded", "_filled")
-    segments = pinned(segments)
+    segments = written(segments)
     closed = hierarchy.closure(t["part_of"]).select(F.col("play_id").alias("play"), "part", "whole").join(variants.select("play", "play_id"), "play").drop("play")
-    pair_rows = pinned(graph.pairs(own, closed))
+    pair_rows = written(graph.pairs(own, closed))
     edges = graph.static_edges(pair_rows, segments.select("play_id", "seg_id", "word_count"))
     nodes = own.select("play_id", "char_id").distinct()
     return {"variants": variants, "segments": segments, "cast": own, "stage_cast": stage, "speech": speech, "nodes": nodes, "pairs": pair_rows, "edges": edges, "people": people, "rules": rules}
@@ -151,19 +151,19 @@ def analyse(t: dict[str, DataFrame], spines=tuple(SPINES), nodes_too: bool = Tru
     """lattice() with node_metrics (if asked for), temporal_gini, indices, demographics and the comparison of all variants."""
     a = lattice(t, spines)
     variants, segments, own, stage, speech, nodes, rules = (a[k] for k in ("variants", "segments", "cast", "stage_cast", "speech", "nodes", "rules"))
-    edges = pinned(a["edges"])
-    distances = pinned(paths.distance_measures(paths.levels(nodes, paths.neighbours(edges))))
+    edges = written(a["edges"])
+    distances = written(paths.distance_measures(paths.levels(nodes, paths.neighbours(edges))))
     degree = graph.degrees(nodes, edges)
-    cluster = pinned(graph.clustering(nodes, edges))
-    gini = pinned(measures.temporal_gini(stage, speech, segment.active_span(segments, stage)))
-    indices = pinned(measures.segment_indices(segments, own, speech))
+    cluster = written(graph.clustering(nodes, edges))
+    gini = written(measures.temporal_gini(stage, speech, segment.active_span(segments, stage)))
+    indices = written(measures.segment_indices(segments, own, speech))
     all_in = measures.scanned(segments, own).join(indices.select("play_id", F.col("all_in_segment").alias("at")), ["play_id", "at"]).join(segments.select("play_id", "seg_id", "label"), ["play_id", "seg_id"])
     short = F.regexp_extract("label", r"^(?:large-seq|middle-seq)-\d+-(.+)$", 1)
     all_in = all_in.select("play_id", F.when(short != "", short).otherwise(F.col("label")).alias("all_in_segment_label"))
     # words of the whole play under the variant's rewriting, units or not
     talk = t["speeches"].select("play_id", "pos", F.explode("who").alias("char_id"), "word_count").join(variants.withColumnRenamed("play_id", "vid"), F.col("play_id") == F.col("play")).drop("play_id")
     talk = talk.join(rules.select("model", F.col("play_id").alias("play"), "groups", F.col("part").alias("char_id"), "whole"), ["model", "play", "groups", "char_id"], "left").select(F.col("vid").alias("play_id"), "pos", F.coalesce("whole", "char_id").alias("char_id"), F.col("word_count").alias("words")).distinct()
-    speeches = pinned(measures.speech_distribution(talk))
+    speeches = written(measures.speech_distribution(talk))
     rates = measures.drama_change_rate(measures.change_rates(segment.cast_sets(segments, own).join(segments.select("play_id", "seg_id", "is_initial", "is_final"), ["play_id", "seg_id"])))
     top_gini = speeches.select("play_id", F.col("top_speaker").alias("char_id")).join(gini, ["play_id", "char_id"]).select("play_id", F.col("temporal_gini").alias("top_speaker_temporal_gini"))
     size = graph.network_size(nodes, edges)

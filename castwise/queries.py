@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import lattice_queries
 from .operators import graph, hierarchy, measures, order, paths, presence, segment, views
 from .plans import variants
-from .plans.pin import pinned
+from .plans.pin import pinned, written
 from .sources import adapters
 
 QUERIES: dict = {}
@@ -110,16 +110,17 @@ lc AS (SELECT *, row_number() OVER (PARTITION BY play_id ORDER BY k DESC, compon
 """
 
 
-def a_graph(spark, d):
-    cast = pinned(adapters.order_cast(spark, d))  # read several times below
+def a_graph(spark, d, keep: bool = False):
+    """cast, segments, nodes and edges; ``keep``: the edges are read several times."""
+    cast = written(adapters.order_cast(spark, d))  # read several times below
     segments = adapters.order_segments(cast)
     nodes = cast.select("play_id", "char_id").distinct()
-    edges = graph.static_edges(graph.pairs(cast), segments.select("play_id", "seg_id", "word_count"))
-    return cast, segments, nodes, edges
+    edges = graph.static_edges(graph.pairs(cast), segments.select("play_id", "seg_id", "word_count"), ids=not keep)
+    return cast, segments, nodes, written(edges) if keep else edges
 
 
 def a_distances(spark, d):
-    _, _, nodes, edges = a_graph(spark, d)
+    _, _, nodes, edges = a_graph(spark, d, keep=True)
     return paths.distance_measures(paths.levels(nodes, paths.neighbours(edges)))
 
 
@@ -135,31 +136,31 @@ def network_data(spark, d):
 
 @query(A_SQL + "SELECT * FROM dg")
 def node_degrees(spark, d):
-    _, _, nodes, edges = a_graph(spark, d)
+    _, _, nodes, edges = a_graph(spark, d, keep=True)
     return graph.degrees(nodes, edges)
 
 
 @query(A_SQL + 'SELECT *, round(CASE WHEN "order" > 1 THEN 2 * num_edges / ("order" * ("order" - 1)) ELSE 0 END, 6) AS density, round(2 * num_edges / "order", 6) AS average_degree FROM sz')
 def network_density(spark, d):
-    _, _, nodes, edges = a_graph(spark, d)
+    _, _, nodes, edges = a_graph(spark, d, keep=True)
     return graph.network_size(nodes, edges).select("play_id", "order", "num_edges", *r6("density", "average_degree"))
 
 
 @query(A_SQL + "SELECT play_id, degree AS max_degree, string_agg(char_id::VARCHAR, '|' ORDER BY char_id) AS max_degree_ids FROM (SELECT *, rank() OVER (PARTITION BY play_id ORDER BY degree DESC) AS r FROM dg) WHERE r = 1 GROUP BY ALL")
 def max_degree_ids(spark, d):
-    _, _, nodes, edges = a_graph(spark, d)
+    _, _, nodes, edges = a_graph(spark, d, keep=True)
     return graph.max_degree(graph.degrees(nodes, edges)).withColumn("max_degree_ids", F.array_join(F.transform("max_degree_ids", lambda x: x.cast("string")), "|"))
 
 
 @query(A_SQL + "SELECT play_id, char_id, degree, triangles, round(clustering, 6) AS clustering FROM cl")
 def local_clustering(spark, d):
-    _, _, nodes, edges = a_graph(spark, d)
+    _, _, nodes, edges = a_graph(spark, d, keep=True)
     return graph.clustering(nodes, edges).select("play_id", "char_id", "degree", "triangles", *r6("clustering"))
 
 
 @query(A_SQL + "SELECT play_id, round(avg(clustering), 6) AS average_clustering, (sum(triangles) // 3)::BIGINT AS triangles FROM cl GROUP BY play_id")
 def average_clustering(spark, d):
-    _, _, nodes, edges = a_graph(spark, d)
+    _, _, nodes, edges = a_graph(spark, d, keep=True)
     return graph.clustering(nodes, edges).groupBy("play_id").agg(F.round(F.avg("clustering"), 6).alias("average_clustering"), F.floor(F.sum("triangles") / 3).alias("triangles"))
 
 
@@ -176,7 +177,7 @@ def diameter_apl(spark, d):
 @query(A_PATHS + "SELECT play_id, char_id, component, count(*) OVER (PARTITION BY play_id, component) AS members FROM nd")
 def components(spark, d):
     """Star contraction, whatever the size of a component."""
-    _, _, nodes, edges = a_graph(spark, d)
+    _, _, nodes, edges = a_graph(spark, d, keep=True)
     of = paths.components(nodes, edges)
     return of.join(of.groupBy("play_id", "component").agg(F.count("*").alias("members")), ["play_id", "component"]).select("play_id", "char_id", "component", "members")
 
@@ -200,7 +201,7 @@ ev AS (SELECT play_id, c, char_id, 1 / sqrt(count(*) OVER (PARTITION BY play_id,
 
 @query(A_EIGEN + 'SELECT nd.play_id, nd.char_id, round(coalesce(b, 0) / CASE WHEN "order" > 2 THEN ("order" - 1) * ("order" - 2) ELSE 1 END, 6) AS betweenness, round(coalesce(x, 0), 6) AS eigenvector FROM nd JOIN sz USING (play_id) LEFT JOIN bt ON bt.play_id = nd.play_id AND bt.char_id = nd.char_id LEFT JOIN ev ON ev.play_id = nd.play_id AND ev.char_id = nd.char_id AND done')
 def betweenness_eigenvector(spark, d):
-    _, _, nodes, edges = a_graph(spark, d)
+    _, _, nodes, edges = a_graph(spark, d, keep=True)
     links = paths.neighbours(edges)
     both = paths.betweenness(paths.levels(nodes, links), links).join(paths.eigenvector(nodes, edges), ["play_id", "char_id"])
     return both.select("play_id", "char_id", *r6("betweenness", "eigenvector"))
@@ -610,7 +611,7 @@ def heatmap_orders(spark, d):
 
 @query(A_SQL + ", fo AS (SELECT play_id, min(char_id) AS focus FROM n GROUP BY ALL) SELECT play_id, focus, src, dst, segments_shared FROM e JOIN fo USING (play_id) WHERE src = focus OR dst = focus")
 def ego_network(spark, d):
-    _, _, nodes, edges = a_graph(spark, d)
+    _, _, nodes, edges = a_graph(spark, d, keep=True)
     focus = nodes.groupBy("play_id").agg(F.min("char_id").alias("char_id"))
     return graph.ego(edges, focus).select("play_id", "focus", "src", "dst", "segments_shared")
 
@@ -661,7 +662,7 @@ def character_roster(spark, d):
 
     from .functions import role
 
-    cast, _, nodes, edges = a_graph(spark, d)
+    cast, _, nodes, edges = a_graph(spark, d, keep=True)
     people = adapters.order_characters(spark, d, cast)
     x = people.join(graph.degrees(nodes, edges), ["play_id", "char_id"], "left").fillna(0, ["degree"])
     w = Window.partitionBy("play_id").orderBy(F.desc("degree"), "char_id")
