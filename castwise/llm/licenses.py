@@ -10,10 +10,11 @@ words are aligned, a narrow one where the template would lie (statements that fo
 other repeat all words) and a wide one, so long texts and repeated statements are scanned whole.
 
 Defined results: one row for each statement found (none for empty or null texts); a match
-spreads over at most twice as many words as it matches; of overlapping finds of one
-template the one with most words stays, then the first, and of overlapping finds of different
-texts or notices (which share most words) the one with most coverage, then most matched words; repeated rows give repeated rows;
-other columns are ignored.
+spreads over at most twice as many words as it matches, holds the words that tell its license from others (TELLING) and
+has none between that name another one; of overlapping finds of one template the most compact stays (least words missed or
+between), then the first; of overlapping finds of different
+texts or notices (which share most words) the one with most coverage, then most matched words, and a statement within a text
+that is found is no find of its own; repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,6 +56,28 @@ TEXTS = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY.format(holders="OR COPYRIGHT HOLDERS "),
     "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _WARRANTY.format(holders=""),
 }
+_CC = "noncommercial sharealike noderivatives noderivs non commercial share alike nc sa nd"
+# Words that a find must match, and words that it must not have between.
+TELLING = {
+    "AGPL-3.0-notice": ("affero 3", "lesser"),
+    "Apache-2.0": ("apache 2", "1"),
+    "Apache-2.0-notice": ("apache 2", "1"),
+    "BSD-2-Clause-text": ("", "endorse promote"),
+    "BSD-3-Clause": ("redistribution source binary", ""),
+    "BSD-3-Clause-text": ("", "advertising"),
+    "CC-BY-4.0": ("creative commons attribution 4", _CC),
+    "CC-BY-NC-4.0": ("cc by nc 4", "sa nd"),
+    "GPL-2.0-notice": ("gnu general 2", "lesser affero library 3"),
+    "GPL-3.0": ("gnu general public 3", "lesser affero library 2"),
+    "GPL-3.0-notice": ("gnu general 3", "lesser affero library 2"),
+    "ISC-text": ("", "sublicense"),
+    "LGPL-2.1-notice": ("lesser 2 1", "affero"),
+    "LGPL-3.0-notice": ("lesser 3", "affero 2"),
+    "MIT": ("mit", "bsd apache gnu"),
+    "MIT-text": ("", ""),
+    "MPL-2.0": ("mozilla public 2", "1"),
+    "Unlicense-text": ("", ""),
+}
 COVERAGE = 0.8
 _WORD = re.compile(r"[^\W_]+")
 
@@ -114,12 +137,12 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def scan(text: list[str], template: list[str], coverage: float = COVERAGE) -> list[tuple[int, int, float]]:
-    """(first word, end word, coverage) of each find of the template."""
+def scan(text: list[str], template: list[str], coverage: float = COVERAGE, must: frozenset = frozenset(), never: frozenset = frozenset()) -> list[tuple[int, int, float]]:
+    """(first word, end word, coverage) of each find of the template: it matches all words of ``must`` and has none of ``never`` between."""
     need = math.ceil(coverage * len(template) - 1e-9)
     there = Counter(w for w in text if w in set(template)) if template else Counter()
     wanted = Counter(template)
-    if not template or sum(min(n, there[w]) for w, n in wanted.items()) < need:
+    if not template or sum(min(n, there[w]) for w, n in wanted.items()) < need or not all(there[w] for w in must):
         return []
     rare, left = [], len(template) - need + 1
     for w in sorted(wanted, key=lambda w: (there[w], w)):
@@ -127,37 +150,43 @@ def scan(text: list[str], template: list[str], coverage: float = COVERAGE) -> li
             break
         rare.append(w)
         left -= wanted[w]
-    n, finds = len(template), []
+    n, finds = len(template), set()
     place = {w: [j for j, x in enumerate(template) if x == w] for w in rare}
-    stretches = ((max(0, p - j - slack), p - j + n + slack) for p, w in enumerate(text) if w in place for j in place[w] for slack in (n // 2, 2 * n))
+    # exactly where the template would lie, somewhat around it, and far around it
+    stretches = ((max(0, p - j - slack), p - j + n + slack) for p, w in enumerate(text) if w in place for j in place[w] for slack in (0, n // 2, 2 * n))
     for low, high in dict.fromkeys(stretches):
         match = align(text[low:high], template)
         if len(match) < need:
             continue
         first, last = low + match[0][0], low + match[-1][0] + 1
-        if last - first <= 2 * len(match):
-            finds.append((-len(match), first, last))
+        if last - first > 2 * len(match) or not must <= {template[j] for _, j in match}:
+            continue
+        own = {low + i for i, _ in match}
+        if not any(text[k] in never and k not in own for k in range(first, last)):
+            finds.add((last - first - 2 * len(match), -len(match), first, last))
     out: list[tuple[int, int, float]] = []
-    for less, first, last in sorted(set(finds)):
+    for _, less, first, last in sorted(finds):
         if all(last <= a or first >= b for a, b, _ in out):
             out.append((first, last, -less / n))
     return sorted(out)
 
 
 def best(finds: list[tuple]) -> list[tuple]:
-    """(name, first, end, coverage) without those of TEXTS that a better one of TEXTS overlaps: more coverage, then more matched words, then the name."""
+    """(name, first, end, coverage) without those of TEXTS that a better one of TEXTS overlaps (more coverage, then more matched words, then the name) and without statements that lie in one."""
     size = {f[0]: len(words(TEXTS[f[0]])) for f in finds if f[0] in TEXTS}
     out: list[tuple] = []
+    apart = lambda f: all(f[2] <= a or f[1] >= b for _, a, b, _ in out)
     for f in sorted((f for f in finds if f[0] in TEXTS), key=lambda f: (-f[3], -f[3] * size[f[0]], f[0])):
-        if all(f[2] <= a or f[1] >= b for _, a, b, _ in out):
+        if apart(f):
             out.append(f)
-    return [f for f in finds if f[0] not in TEXTS] + sorted(out)
+    return [f for f in finds if f[0] not in TEXTS and apart(f)] + sorted(out)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, first_word, end_word, coverage."""
     known = {k: words(v) for k, v in (TEMPLATES | TEXTS if templates is None else templates).items()}
     need = {k: (set(t), coverage * len(t), Counter(t)) for k, t in known.items()}
+    telling = {k: tuple(frozenset(w.split()) for w in (TELLING.get(k, ("", "")) if templates is None else ("", ""))) for k in known}
 
     def run(batches):
         for batch in slices(batches):
@@ -168,7 +197,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
                 for name, template in known.items():
                     distinct, least, count = need[name]
                     if sum(count[w] for w in distinct & there) >= least - 1e-9:
-                        finds += [(name, *found) for found in scan(own, template, coverage)]
+                        finds += [(name, *found) for found in scan(own, template, coverage, *telling[name])]
                 rows += [(doc, *found) for found in (best(finds) if templates is None else finds)]
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "license", "first_word", "end_word", "coverage"])
