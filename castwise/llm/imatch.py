@@ -135,6 +135,8 @@ def imatch(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     after = pinned(following(docs))
     own = pinned(prints(docs.select(*_key(), "text"), "text", words))
     rows = docs.select(*_key(), "text").repartition("k", "th")
+    if docs.count() > after.count():  # repeated rows: one of each, or two documents that follow each other would multiply
+        rows = rows.dropDuplicates(["k", "th"])
     wanted = after.select(F.col("k").alias("of_k"), F.col("th").alias("of_th"), F.col("next_k").alias("k"), F.col("next_th").alias("th"), F.floor(F.col("n") / 3).cast("int").alias("take"))
     given = rows.join(wanted, ["k", "th"]).select(F.col("of_k").alias("k"), F.col("of_th").alias("th"), F.expr("substring(text, 1, take)").alias("head"))
     kept = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))")

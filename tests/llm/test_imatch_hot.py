@@ -39,3 +39,15 @@ def test_copies_change_no_lexicon(spark):
     keyed = lambda t: plain(documents(spark, t)).withColumn("th", text_hash())
     once, often = ({r["term"] for r in im.lexicon(keyed(t), 0.002, 0.2).collect()} for t in (texts, texts + texts[:1] * 60))
     assert once and once == often
+
+
+def test_repeated_neighbours_do_not_multiply(spark):
+    """Two documents that follow each other, both repeated, give what they give once."""
+    rng = random.Random(12)
+    texts = [prose(rng, 60) for _ in range(12)]
+    rows_once = documents(spark, texts)
+    hot_rows = rows_once.where("doc_id < 10").unionByName(rows_once.where("doc_id >= 10").join(spark.range(400).select(), how="cross"))
+    once = {r["doc_id"]: r for r in im.imatch(rows_once, low=0.0, high=1.0).collect()}
+    rows = im.imatch(hot_rows, low=0.0, high=1.0).collect()
+    assert len(rows) == 10 + 800
+    assert all(r == once[r["doc_id"]] for r in rows)
