@@ -13,7 +13,8 @@ texts discloses an entity e by
 with p(e | t) smoothed by PRIOR texts that hold e as often as any text does.  Texts of
 one source are one piece of evidence: near copies (which agree in a band of three of 24
 least hashes of five-word shingles, over two steps) are one source, and a term needs SUPPORT
-sources that hold both.  A value in over PUBLIC of all texts protects nobody.  A term
+sources that hold both.  A value with more sources than a share PUBLIC of all texts, and than COMMON, protects
+nobody.  A term
 that discloses by at least GENERALISE is a span: that of a value wherever it stands in any text, that
 of a kind in texts with a span of that kind.  In sanitised text it is generalised to
 <TERM>, from REMOVE on it is removed; other spans become <EMAIL>, <IP>, <CARD>, <PHONE>, <SECRET>.
@@ -44,7 +45,7 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "secret", "term"]
 SECRET, TERM = 4, 5
-SUPPORT, PRIOR, PUBLIC, GENERALISE, REMOVE = 3, 4.0, 0.1, 0.8, 0.95
+SUPPORT, PRIOR, PUBLIC, COMMON, GENERALISE, REMOVE = 3, 4.0, 0.1, 10, 0.8, 0.95
 BANDS, ROWS, SHINGLE = 8, 3, 5
 #: Flagged terms that may be broadcast.
 FEW = 200_000
@@ -203,21 +204,21 @@ def frequencies(docs: DataFrame) -> DataFrame:
     return once.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def disclosing_terms(rows: DataFrame, frequency: DataFrame) -> DataFrame:
-    """entity, kind (-1: a value), term, disclosure of the terms from GENERALISE on; rows as scanned() gives them."""
+def disclosing_terms(rows: DataFrame, frequency: DataFrame, support: int = SUPPORT, prior: float = PRIOR, public: float = PUBLIC, common: int = COMMON, generalise: float = GENERALISE) -> DataFrame:
+    """entity, kind (-1: a value), term, disclosure of the terms from ``generalise`` on; rows as scanned() gives them."""
     n = rows.select("th").distinct().count()
     private = pinned(rows.where(F.size("spans") > 0).dropDuplicates(["th"]))
     label = sources(private)
     holds = private.select("th", F.explode(_entities(F.col("spans"))).alias("e")).select("th", "e.entity", "e.kind").join(label, "th")
     live = holds.groupBy("entity", "kind", "source").agg(F.count("*").alias("t")).groupBy("entity", "kind").agg(F.sum("t").alias("texts"), F.count("*").alias("sources"))
-    live = pinned(live.where((F.col("sources") >= SUPPORT) & (F.col("texts") < n) & ((F.col("kind") >= 0) | (F.col("texts") <= PUBLIC * n))).select("entity", "kind", "texts"))
+    live = pinned(live.where((F.col("sources") >= support) & (F.col("texts") < n) & ((F.col("kind") >= 0) | (F.col("sources") <= max(public * n, common)))).select("entity", "kind", "texts"))
     own = holds.join(live.select("entity", "kind"), ["entity", "kind"], "left_semi").groupBy("th", "source").agg(F.collect_list(F.struct("entity", "kind")).alias("entities"))
     pair = private.select("th", "terms").join(own, "th").select("source", "entities", F.explode("terms").alias("term")).select("source", "term", F.explode("entities").alias("e")).select("source", "term", "e.entity", "e.kind")
-    pair = pair.groupBy("entity", "kind", "term", "source").agg(F.count("*").alias("t")).groupBy("entity", "kind", "term").agg(F.sum("t").alias("together"), F.count("*").alias("sources")).where(F.col("sources") >= SUPPORT)
+    pair = pair.groupBy("entity", "kind", "term", "source").agg(F.count("*").alias("t")).groupBy("entity", "kind", "term").agg(F.sum("t").alias("together"), F.count("*").alias("sources")).where(F.col("sources") >= support)
     scored = pair.join(live, ["entity", "kind"]).join(frequency, "term")
     p = F.col("texts") / F.lit(float(max(n, 1)))
-    given = (F.col("together") + PRIOR * p) / (F.col("df") + PRIOR)
-    return scored.select("entity", "kind", "term", (1 + F.log(given) / -F.log(p)).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    given = (F.col("together") + prior * p) / (F.col("df") + prior)
+    return scored.select("entity", "kind", "term", (1 + F.log(given) / -F.log(p)).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
 def term_places(docs: DataFrame, rows: DataFrame, telling: DataFrame) -> DataFrame:
@@ -243,11 +244,11 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _places(docs: DataFrame, **rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, spans) of every row; (th, terms) of each text with term spans."""
     rows = pinned(scanned(docs))
     # pinned, so that the join with rows reads two exchanges and the copies of one text are split
-    return rows, pinned(term_places(docs, rows, disclosing_terms(rows, frequencies(docs))))
+    return rows, pinned(term_places(docs, rows, disclosing_terms(rows, frequencies(docs), **rule)))
 
 
 def _with_terms(rows: DataFrame, places: DataFrame, *columns: str) -> DataFrame:
@@ -256,9 +257,9 @@ def _with_terms(rows: DataFrame, places: DataFrame, *columns: str) -> DataFrame:
     return both.select(*columns, "spans", apart(F.coalesce("_terms", none), F.col("spans")).alias("terms"))
 
 
-def pii_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term, n_spans."""
-    rows, places = _places(docs)
+def pii_spans(docs: DataFrame, **rule) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term, n_spans; rule: as disclosing_terms() takes it."""
+    rows, places = _places(docs, **rule)
     out = _with_terms(rows.select("doc_id", "th", "spans"), places, "doc_id")
     count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < SECRET)
@@ -286,13 +287,13 @@ def _replaced(text: Column, spans: Column) -> Column:
     return bound(F.struct(running(F.transform(spans, lambda s: s["end"]), F.greatest).alias("ends"), blocks.alias("blocks")), cut)
 
 
-def sanitised(docs: DataFrame) -> DataFrame:
-    """The rows and columns of docs with spans generalised or removed in text, and n_chars as it is then."""
-    _, places = _places(docs)
+def sanitised(docs: DataFrame, remove: float = REMOVE, **rule) -> DataFrame:
+    """The rows and columns of docs with spans generalised or removed (terms from ``remove`` on) in text, and n_chars as it is then."""
+    _, places = _places(docs, **rule)
     rows = packed(docs).withColumn("th", F.md5("text")).withColumn("spans", all_spans(F.col("text")))
     out = _with_terms(rows, places, "_row", "text")
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("as")))
-    more = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= REMOVE, F.lit("")).otherwise(F.lit("<TERM>")).alias("as")))
+    more = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= remove, F.lit("")).otherwise(F.lit("<TERM>")).alias("as")))
     clean = bound(F.sort_array(F.concat(base, more)), lambda spans: _replaced(F.col("text"), spans))
     return unpacked(out.withColumn("_clean", F.when(F.size("spans") + F.size("terms") > 0, clean)), docs.columns, F.col("_clean"))

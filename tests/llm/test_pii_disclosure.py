@@ -97,3 +97,25 @@ def test_running_totals(spark):
     x = spark.createDataFrame([(list(range(1, n + 1)),) for n in (0, 1, 255, 256, 257, 1000)], "x array<int>")
     for r in x.select("x", pii.running(F.col("x"), lambda a, b: a + b).alias("s"), pii.running(F.reverse("x"), F.least).alias("m")).collect():
         assert r["s"] == [i * (i + 1) // 2 for i in r["x"]] and r["m"] == r["x"][::-1]
+
+
+def test_small_tables_and_copies_switch_nothing_off(spark):
+    """A value of a few texts is protected in a table of a dozen, and a group of copies of one of them changes nothing."""
+    rng = random.Random(40)
+    held = [f"{prose(rng, 25)} zanzibar {prose(rng, 5)} write to ann.lee@mail.example {prose(rng, 25)}" for _ in range(4)]
+    other = [prose(rng, 60) for _ in range(8)]
+    for copies in (1, 40):
+        texts = [*held, *[held[0] + f" no{i}" for i in range(copies - 1)], *other]
+        rows = pii.pii_spans(documents(spark, texts), prior=0.1).collect()
+        told = {r["doc_id"]: r["spans"] for r in rows}
+        for i in range(4):
+            at = texts[i].index("zanzibar")
+            assert f"term:{at}:{at + 8}" in told[i], copies
+        assert all("term" not in told[i] for i in range(len(texts) - 8, len(texts)))
+
+
+def test_the_rule_is_a_parameter(spark):
+    rng = random.Random(41)
+    texts = [f"{prose(rng, 25)} zanzibar write to ann.lee@mail.example {prose(rng, 25)}" for _ in range(4)] + [prose(rng, 60) for _ in range(8)]
+    count = lambda **rule: sum(r["n_term"] for r in pii.pii_spans(documents(spark, texts), **rule).collect())
+    assert count(prior=0.1) >= 4 and count(prior=0.1, support=5) == 0 and count(prior=0.1, generalise=1.1) == 0
