@@ -5,6 +5,7 @@ import random
 from pathlib import Path
 from xml.etree import ElementTree
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,18 +270,43 @@ def test_script_safe(spark):
     assert spark.range(1).select(exports.script_safe(F.lit(text))).first()[0] == "a b\\u003cc\\u003e\\u0026\\u2028\\u2029"
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def streamed(spark, moves, files, where, **how):
+    """What comes out when the rows of each file are one batch, in this order, and a far move of another play ends the day."""
     from castwise.streaming.stage import presence_changes
 
-    t = load(spark, tmp_path, PLAY)
-    t["moves"].select("play_id", "pos", "type", "who", "corresp").write.parquet(str(tmp_path / "moves"))
-    moves = spark.readStream.schema(spark.read.parquet(str(tmp_path / "moves")).schema).parquet(str(tmp_path / "moves"))
-    q = presence_changes(moves).writeStream.format("memory").queryName("changes").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    got = {(r["pos"], r["char_id"], r["on"]) for r in spark.table("changes").collect()}
-    want = {(r[p], r["char_id"], on) for r in presence_intervals(t["moves"]).collect() for p, on in (("start_pos", 1), ("end_pos", 0)) if r[p] is not None}
-    assert got == want
+    timed = moves.select("play_id", F.col("pos").cast("long").alias("pos"), "type", "who", "corresp").withColumn("ts", F.timestamp_seconds(F.col("pos") + 1_700_000_000)).toPandas()
+    schema = "play_id string, pos long, type string, who array<string>, corresp array<string>, ts timestamp"
+    Path(where).mkdir()
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(where)
+    q = presence_changes(source, **how).writeStream.format("memory").queryName("changes").outputMode("append").option("checkpointLocation", where + "-state").start()
+    try:
+        for rows in (*files, None):
+            part = timed.iloc[rows] if rows is not None else timed.iloc[:1].assign(play_id="~", ts=timed["ts"].max() + pd.Timedelta(days=9))
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(where)
+            q.processAllAvailable()
+        state = q.lastProgress
+    finally:
+        q.stop()
+    return [(r["play_id"], r["pos"], r["char_id"], r["on"]) for r in spark.table("changes").where("play_id <> '~'").collect()], state
+
+
+def batch_changes(moves):
+    return {(r["play_id"], r[p], r["char_id"], on) for r in presence_intervals(moves).collect() for p, on in (("start_pos", 1), ("end_pos", 0)) if r[p] is not None}
+
+
+def test_shuffled_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for play_id in ("a", "b"):
+        for pos in range(1, 60):
+            kind = rng.choice(["entrance", "entrance", "exit", "onStage", "split", "merge", "crossing", "clear"])
+            who = [] if kind == "clear" else rng.sample("uvwxyz", rng.randint(1, 2))
+            rows.append((play_id, pos, "onStage" if kind == "clear" else kind, who, rng.sample("uvwxyz", 1) if kind in ("split", "merge") else []))
+    moves = spark.createDataFrame(rows, "play_id string, pos long, type string, who array<string>, corresp array<string>").coalesce(1)
+    order = rng.sample(range(len(rows)), len(rows))
+    got, state = streamed(spark, moves, [order[i::4] for i in range(4)], str(tmp_path / "moves"))
+    assert len(got) == len(set(got)) and set(got) == batch_changes(moves)
+    assert sum(s["numRowsTotal"] for s in state["stateOperators"]) < 20  # the plays' states are gone
 
 
 def test_long_chains_and_last_parents(spark):
