@@ -7,13 +7,14 @@ play's network), and ``write`` has the executors put them into a folder with one
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.pin import written
+from .files import SCHEMA, open_uri, register
+
 CHARACTER_COLUMNS = ["id", "name_english", "name_greek", "is_mute", "is_collective", "is_chorus", "sex", "in_network", "degree", "weightedDegree", "betweenness", "closeness", "eigenvector", "clustering", "triangles", "total_words", "speaking_segments", "n_onstage_segments", "temporal_gini"]
 
 
@@ -174,13 +175,9 @@ def play_folders(plays: DataFrame) -> DataFrame:
     return first.select("play_id", "path", F.when(F.col("_r") == 1, F.col("folder")).otherwise(F.concat_ws("-", "folder", "stem")).alias("folder"))
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), str(Path(uri).resolve()))
-
-
 def recorded_source(folder: str) -> str | None:
     """The file that a folder's exports come from; None without a marker, or with one that can't be read."""
-    fs, root = _open(folder)
+    fs, root = open_uri(folder)
     try:
         with fs.open_input_file(f"{root}/source.json") as f:
             return json.loads(f.read()).get("source")
@@ -188,35 +185,19 @@ def recorded_source(folder: str) -> str | None:
         return None
 
 
-def _save(out: str, place: str, name: str, content: str) -> str:
-    fs, root = _open(out)
-    fs.create_dir(f"{root}/{place}")
-    with fs.open_output_stream(f"{root}/{place}/{name}") as f:
-        f.write(content.encode())
-    return f"{out}/{place}/{name}"
-
-
-def _table_writer(out: str, name: str, columns: list[str]):
-    def write_one(pdf):
+def _csv_of(name: str, columns: list[str]):
+    def one(pdf):
         own = pdf[pdf[columns[0]].notna()][columns].sort_values(columns[:2])
-        return pd.DataFrame({"path": [_save(out, pdf["_place"].iloc[0], name, own.to_csv(index=False))]})
+        return pd.DataFrame({"place": [pdf["_place"].iloc[0]], "name": [name], "content": [own.to_csv(index=False)]})
 
-    return write_one
-
-
-def _text_writer(out: str, name: str):
-    def write_all(frames):
-        for pdf in frames:
-            yield pd.DataFrame({"path": [_save(out, p, name, x) for p, x in zip(pdf["_place"], pdf["_text"], strict=True)]})
-
-    return write_all
+    return one
 
 
 def write(a: dict[str, DataFrame], plays: DataFrame, out: str, model: str = "full", weight: str = "segments_shared", payloads: bool = False) -> list[str]:
     """The exports of one model without aggregation (full where the model has made nothing), as files under out/<play>/<segmentation>/.
 
     ``out`` is a folder that driver and executors share.  Files are written by the executors, one variant's
-    at a time; the driver sees the plays' names and the files' paths.  A folder that source.json gives
+    at a time, and get their names when all of one kind are done; the driver sees the plays' names and the files' paths.  A folder that source.json gives
     to another file, or that two files would get, is refused.
     """
     raw = a["variants"].where("groups = ''")
@@ -231,18 +212,24 @@ def write(a: dict[str, DataFrame], plays: DataFrame, out: str, model: str = "ful
         if known not in (None, r["path"]):
             raise FileExistsError(f"{root} holds the exports of another file")
         taken[key] = r["path"]
-        _save(out, r["folder"], "source.json", json.dumps({"source": r["path"]}))
+    marker = F.to_json(F.struct(F.col("path").alias("source")))
+    _put(folders.select(F.col("folder").alias("place"), F.lit("source.json").alias("name"), marker.alias("content")), out)
     places = wanted.join(folders.select(F.col("play_id").alias("play"), "folder"), "play").select("play_id", F.concat_ws("/", "folder", "segmentation").alias("_place"))
     tables = {"characters.csv": characters_csv(a), "segments.csv": segments_csv(a), "networkdata.csv": network_csv(a, weight), "dynamic_metrics.csv": dynamic_csv(a)}
     contents = {"metrics.json": metrics_json(a), "networkdata.gexf": gexf(a, weight=weight), "dynamic.gexf": gexf(a, dynamic=True, weight=weight), "networkdata.graphml": graphml(a, weight)}
     if payloads:
         contents["payload.json"] = payload_json(a)
-    done = []
+    wanted_places = written(places)
     for name, df in tables.items():
-        rows = places.join(df, "play_id", "left").groupBy("play_id").applyInPandas(_table_writer(out, name, [c for c in df.columns if c != "play_id"]), "path string")
-        done += [r["path"] for r in rows.collect()]
+        rows = wanted_places.join(df, "play_id", "left").groupBy("play_id")
+        _put(rows.applyInPandas(_csv_of(name, [c for c in df.columns if c != "play_id"]), SCHEMA), out)
     for name, df in contents.items():
         own = next(c for c in df.columns if c != "play_id")
-        rows = df.join(places, "play_id").select("_place", F.col(own).alias("_text")).mapInPandas(_text_writer(out, name), "path string")
-        done += [r["path"] for r in rows.collect()]
-    return done
+        _put(df.join(wanted_places, "play_id").select(F.col("_place").alias("place"), F.lit(name).alias("name"), F.col(own).alias("content")), out)
+    found = sorted(r["_place"] for r in wanted_places.select("_place").collect())
+    return [f"{out}/{place}/{name}" for name in (*tables, *contents) for place in found]
+
+
+def _put(rows: DataFrame, out: str) -> None:
+    register(rows.sparkSession)
+    rows.write.format("play_files").mode("append").option("path", out).save()

@@ -39,10 +39,13 @@ class Node:
         return (x for x in self.inside if isinstance(x, Node))
 
     def all(self, *names: str):
-        for x in self.nodes():
+        """Nodes of these names below, in document order; however deep, without recursion."""
+        todo = [*self.nodes()][::-1]
+        while todo:
+            x = todo.pop()
             if x.name in names:
                 yield x
-            yield from x.all(*names)
+            todo.extend([*x.nodes()][::-1])
 
     def under(self, parent: str, *names: str):
         return [x for p in self.all(parent) for x in p.nodes() if x.name in names]
@@ -52,11 +55,18 @@ class Node:
         return (self.inside[0] if self.inside and isinstance(self.inside[0], str) else "").strip()
 
     def text(self, skip=frozenset()) -> str:
-        return "".join(x if isinstance(x, str) else "" if x.name in skip else x.text(skip) for x in self.inside)
-
-
-def parse_xml(data: bytes) -> Node:
-    """Local names only; comments, instructions and external entities leave nothing behind."""
+        todo, out = self.inside[::-1], []
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+            elif x.name not in skip:
+                todo.extend(x.inside[::-1])
+        return "".join(out)
+
+
+def parse_xml(data) -> Node:
+    """Bytes, or a file that is read in pieces.  Local names only; comments, instructions and external entities leave nothing behind."""
     parser = expat.ParserCreate()
     parser.buffer_text = True
     root = Node("", {}, 0)
@@ -77,7 +87,10 @@ def parse_xml(data: bytes) -> Node:
     parser.StartElementHandler, parser.CharacterDataHandler = start, characters
     parser.EndElementHandler = lambda name: stack.pop()
     parser.ExternalEntityRefHandler = lambda *_: 1
-    parser.Parse(data, True)
+    if hasattr(data, "read"):
+        parser.ParseFile(data)
+    else:
+        parser.Parse(data, True)
     return root
 
 
@@ -90,14 +103,13 @@ def words(text: str) -> int:
 
 
 def spoken_words(speech: Node) -> int:
-    def blocks(node: Node):
-        for x in node.nodes():
-            if x.name in BLOCKS:
-                yield x
-            elif x.name not in UNSPOKEN:
-                yield from blocks(x)
-
-    own = list(blocks(speech))
+    own, todo = [], [*speech.nodes()][::-1]
+    while todo:
+        x = todo.pop()
+        if x.name in BLOCKS:
+            own.append(x)
+        elif x.name not in UNSPOKEN:
+            todo.extend([*x.nodes()][::-1])
     return sum(words(b.text(UNSPOKEN)) for b in own) if own else words(speech.text(UNSPOKEN))
 
 
@@ -158,50 +170,68 @@ def characters(root: Node) -> dict[str, dict]:
     return out
 
 
+def _milestone(x: Node, now: dict, unit: dict, out: dict) -> None:
+    """A unit of the edition itself begins."""
+    if x.at.get("source") or x.at.get("resp") or x.at.get("unit") not in ("large-seq", "middle-seq"):
+        return
+    now["pos"] += 1
+    level, key = x.at["unit"].removesuffix("-seq"), x.at.get("xml:id")
+    kind = x.at.get("type") if level == "large" else None
+    parent = (None, None) if level == "large" else (unit["large_id"], unit["large_type"])
+    unit.update({f"{level}_pos": now["pos"], f"{level}_id": key} | ({"large_type": kind} if level == "large" else {}))
+    out["units"].append({"level": level, "pos": now["pos"], "xml_id": key, "type": kind, "parent_id": parent[0], "parent_type": parent[1]})
+
+
+def _move(x: Node, here: tuple | None, now: dict, unit: dict, out: dict) -> None:
+    """A move in a stage direction, or a bare one: neighbours without one make up a beat."""
+    now["pos"] += 1
+    if here is None and now["bare"] is None:
+        now["stages"] += 1
+        now["bare"] = (now["stages"], x.line)
+    at, kinds = here or now["bare"], refs(x.at.get("subtype"))
+    out["moves"].append({"pos": now["pos"], "type": (x.at.get("type") or "").strip(), "who": refs(x.at.get("who")), "corresp": refs(x.at.get("corresp")), "ana": sorted({*refs(x.at.get("ana")), *kinds}), "legacy": bool(kinds), "stage_pos": at[0], "stage_line": at[1], "source_line": x.line, "bare": here is None, **unit})
+
+
 def body(root: Node) -> dict[str, list[dict]]:
     """Moves, speeches and unit starts with one running pos, in document order."""
     out: dict[str, list[dict]] = {"moves": [], "speeches": [], "units": []}
     unit = {"large_pos": None, "large_id": None, "large_type": None, "middle_pos": None, "middle_id": None}
     now = {"pos": 0, "stages": 0, "bare": None}
 
-    def walk(node: Node, stage: tuple | None, in_speech: bool) -> None:
-        for x in node.nodes():
-            here, speaking = stage, in_speech
-            if x.name == "milestone" and not (x.at.get("source") or x.at.get("resp")) and x.at.get("unit") in ("large-seq", "middle-seq"):
-                now["pos"] += 1
-                level = x.at["unit"].removesuffix("-seq")
-                key, kind = x.at.get("xml:id"), x.at.get("type") if level == "large" else None
-                parent = (None, None) if level == "large" else (unit["large_id"], unit["large_type"])
-                unit.update({f"{level}_pos": now["pos"], f"{level}_id": key} | ({"large_type": kind} if level == "large" else {}))
-                out["units"].append({"level": level, "pos": now["pos"], "xml_id": key, "type": kind, "parent_id": parent[0], "parent_type": parent[1]})
+    # an open element: what is left of it, the stage direction it stands in, and whether it is within a speech
+    todo = [[iter(b.inside), None, False] for b in list(root.all("body"))[:1]]
+    while todo:
+        frame = todo[-1]
+        x = next(frame[0], None)
+        if x is None:
+            todo.pop()
+        elif isinstance(x, Node):
+            here, speaking = frame[1], frame[2]
+            if x.name == "milestone":
+                _milestone(x, now, unit, out)
             elif x.name == "stage":
                 now["stages"] += 1
                 now["bare"] = None
                 here = (now["stages"], x.line)
+                frame[1] = None  # a stage inside a stage ends the outer one's beat as well
             elif x.name == "move":
-                now["pos"] += 1
-                bare = here is None
-                if bare and now["bare"] is None:
-                    now["stages"] += 1
-                    now["bare"] = (now["stages"], x.line)
-                at = now["bare"] if bare else here
-                out["moves"].append({"pos": now["pos"], "type": (x.at.get("type") or "").strip(), "who": refs(x.at.get("who")), "corresp": refs(x.at.get("corresp")), "ana": sorted({*refs(x.at.get("ana")), *refs(x.at.get("subtype"))}), "legacy": bool(refs(x.at.get("subtype"))), "stage_pos": at[0], "stage_line": at[1], "source_line": x.line, "bare": bare, **unit})
+                _move(x, here, now, unit, out)
             elif x.name == "sp":
-                if not in_speech:
+                if not speaking:
                     now["pos"] += 1
                     now["bare"] = None
                     out["speeches"].append({"pos": now["pos"], "who": refs(x.at.get("who")), "to_whom": refs(x.at.get("toWhom")), "word_count": spoken_words(x), "source_line": x.line, **unit})
                 speaking = True
-            walk(x, here, speaking)
-            if x.name == "stage":
-                stage = None  # a stage inside a stage ends the outer one's beat as well
-
-    for b in list(root.all("body"))[:1]:
-        walk(b, None, False)
+            todo.append([iter(x.inside), here, speaking])
     return out
 
 
-def play(data: bytes, path: str) -> dict:
+def failed_row(path: str, error: Exception) -> dict:
+    """One file's failure is its own row."""
+    return {"path": path, "error": str(error), "play_id": Path(path).stem, "has_work_id": False}
+
+
+def play(data, path: str) -> dict:
     """One row of SCHEMA."""
     root = parse_xml(data)
     titles, authors = root.under("titleStmt", "title"), root.under("titleStmt", "author")
@@ -233,8 +263,8 @@ def read_plays(spark: SparkSession, *paths: str, pattern: str = "*.xml") -> Data
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     rows.append(play(bytes(data), path))
-                except Exception as error:  # one file's failure is its own row
-                    rows.append({"path": path, "error": str(error), "play_id": Path(path).stem, "has_work_id": False})
+                except Exception as error:
+                    rows.append(failed_row(path, error))
             yield pd.DataFrame(rows, columns=_COLUMNS).astype(object).where(lambda x: x.notna(), None)
 
     spark_paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
