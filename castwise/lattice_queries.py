@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .plans import corpus
+from .plans.pin import written
 from .sources import adapters
 
 D_SQL = r"""
@@ -140,6 +141,37 @@ def comparison_table(spark, d):
     return c.select(*(F.round(x, 6).alias(x) if x in ROUNDED else x for x in c.columns))
 
 
+D_NODES = D_COMPARE[: D_COMPARE.index("\nSELECT ct.play_id")] + r""",
+wd AS (SELECT sg, md, g, play_id, ch, sum(n)::BIGINT AS w FROM (SELECT sg, md, g, play_id, src AS ch, n FROM ed UNION ALL SELECT sg, md, g, play_id, dst, n FROM ed) GROUP BY ALL),
+tn AS (SELECT sg, md, g, play_id, ch, count(*) AS t FROM tr GROUP BY ALL),
+sx AS (SELECT sg, md, g, play_id, s, t, d, 1.0::DOUBLE AS sigma FROM ds WHERE d = 0 UNION ALL SELECT x.sg, x.md, x.g, x.play_id, x.s, ds.t, ds.d, sum(sigma) FROM sx x JOIN de ON de.sg = x.sg AND de.md = x.md AND de.g = x.g AND de.play_id = x.play_id AND de.ch = x.t
+  JOIN ds ON ds.sg = x.sg AND ds.md = x.md AND ds.g = x.g AND ds.play_id = x.play_id AND ds.s = x.s AND ds.t = de.o AND ds.d = x.d + 1 GROUP BY x.sg, x.md, x.g, x.play_id, x.s, ds.t, ds.d),
+si AS MATERIALIZED (SELECT * FROM sx),
+bw AS (SELECT a.sg, a.md, a.g, a.play_id, a.t AS ch, sum(a.sigma * b.sigma / c.sigma) AS b FROM si a JOIN si b ON b.sg = a.sg AND b.md = a.md AND b.g = a.g AND b.play_id = a.play_id AND b.s = a.t AND a.d > 0 AND b.d > 0
+  JOIN si c ON c.sg = a.sg AND c.md = a.md AND c.g = a.g AND c.play_id = a.play_id AND c.s = a.s AND c.t = b.t AND c.d = a.d + b.d GROUP BY ALL),
+oc AS (SELECT sg, md, g, play_id, count(*) AS n FROM nd GROUP BY ALL),
+cs AS (SELECT sg, md, g, play_id, s AS ch, count(*) AS reach, sum(d) AS total FROM ds GROUP BY ALL)
+"""
+
+
+@query(D_NODES + f"SELECT sg AS segmentation, md AS model, g AS groups, play_id, ch AS char_id, cl.d AS degree, coalesce(w, 0) AS weighted_degree, coalesce(tn.t, 0) AS triangles, round(c, 6) AS clustering, round(CASE WHEN total > 0 AND oc.n > 1 THEN (reach - 1) / total * (reach - 1) / (oc.n - 1) ELSE 0 END, 6) AS closeness, "
+    "round(coalesce(b, 0) / CASE WHEN oc.n > 2 THEN (oc.n - 1) * (oc.n - 2) ELSE 1 END, 6) AS betweenness FROM cl JOIN oc USING (sg, md, g, play_id) JOIN cs USING (sg, md, g, play_id, ch) LEFT JOIN wd USING (sg, md, g, play_id, ch) LEFT JOIN tn USING (sg, md, g, play_id, ch) LEFT JOIN bw USING (sg, md, g, play_id, ch)")
+def lattice_node_metrics(spark, d):
+    """Every character's network measures in every variant."""
+    a = d_lattice(spark, d)
+    rows = keyed(a | {"node_metrics": corpus.node_metrics(a | {"edges": written(a["edges"])})}, "node_metrics")
+    return rows.select("segmentation", "model", "groups", "play_id", "char_id", "degree", "weighted_degree", "triangles", "clustering", "closeness", "betweenness")
+
+
+@query("WITH c AS (" + D_COMPARE + """) SELECT r.id, r.segmentation, r.model, r."order" AS raw_order, r.edges AS raw_edges, r.top_speaker AS raw_top_speaker, a."order" AS agg_order, a.edges AS agg_edges, a.avg_clustering AS agg_clustering, a.top_speaker AS agg_top_speaker
+FROM c r LEFT JOIN c a ON a.id = r.id AND a.segmentation = r.segmentation AND a.model = r.model AND a.aggregated = 'chorus,women' WHERE r.aggregated = ''""")
+def play_blocks(spark, d):
+    """A play's block of each segmentation and model, with its fully aggregated counterpart nested in it."""
+    b = corpus.play_blocks(corpus.analyse(adapters.event_plays(spark, d), nodes_too=False))
+    told = lambda k, c, name: F.col(f"{k}.{c}").alias(f"{k}_{name}")
+    return b.select("id", "segmentation", "model", told("raw", "order", "order"), told("raw", "edges", "edges"), told("raw", "top_speaker", "top_speaker"), told("agg", "order", "order"), told("agg", "edges", "edges"), F.round("agg.avg_clustering", 6).alias("agg_clustering"), told("agg", "top_speaker", "top_speaker"))
+
+
 @query(D_SQL + f"SELECT {V}, seg AS seg_id, label, a AS start_pos, z AS end_pos, wc AS word_count, ns AS num_speeches, nc AS num_crossings, ini AS is_initial, fin AS is_final FROM seg")
 def lattice_segments(spark, d):
     return keyed(d_lattice(spark, d), "segments").select("segmentation", "model", "groups", "play_id", "seg_id", "label", "start_pos", "end_pos", "word_count", "num_speeches", "num_crossings", "is_initial", "is_final")
@@ -159,7 +191,7 @@ def lattice_edges(spark, d):
 def aggregated_characters(spark, d):
     """Declared characters as each aggregation leaves them: groups collective, flags inherited, mutes told anew."""
     t = adapters.event_plays(spark, d)
-    return corpus.rewritten_characters(t, *corpus.aggregations(t)).select("play_id", "groups", "char_id", "is_mute", "is_collective", "is_chorus", F.col("name_en").alias("name"))
+    return corpus.all_characters(t).select("play_id", "groups", "char_id", "is_mute", "is_collective", "is_chorus", F.col("name_en").alias("name"))
 
 
 D_PEOPLE = D_SQL + """, dm AS (SELECT play_id, g, count(*) FILTER (NOT mute) AS speakers, count(*) FILTER (mute) AS mutes, count(*) FILTER (coll AND NOT mute) AS collective_speakers, count(*) FILTER (own IN ('0', '1', '2', 'women')) AS female,
@@ -169,21 +201,21 @@ D_PEOPLE = D_SQL + """, dm AS (SELECT play_id, g, count(*) FILTER (NOT mute) AS
 @query(D_PEOPLE + "SELECT play_id, g AS groups, speakers, mutes, collective_speakers, female, male, unspecified, divine FROM dm")
 def demographics_by_variant(spark, d):
     t = adapters.event_plays(spark, d)
-    x = corpus.demographics(corpus.rewritten_characters(t, *corpus.aggregations(t)))
+    x = corpus.demographics(corpus.all_characters(t))
     return x.select("play_id", "groups", "speakers", "mutes", "collective_speakers", "female", "male", "unspecified", "divine")
 
 
 @query(D_SQL + "SELECT play_id, g AS groups, count(*) AS speakers, count(*) FILTER (coll) AS collectives FROM ppl WHERE NOT mute GROUP BY ALL")
 def demographics_of_speakers(spark, d):
     t = adapters.event_plays(spark, d)
-    return corpus.demographics(corpus.rewritten_characters(t, *corpus.aggregations(t)), include_mutes=False).select("play_id", "groups", "speakers", "collectives")
+    return corpus.demographics(corpus.all_characters(t), include_mutes=False).select("play_id", "groups", "speakers", "collectives")
 
 
 @query(D_PEOPLE + "SELECT play_id, g AS source, round(speakers / nullif(speakers + mutes, 0), 6) AS speakers_share, round(female / nullif(female + male, 0), 6) AS female_share FROM dm WHERE g = 'chorus,women'")
 def composition_source(spark, d):
     """Ratios of a play are told from its fullest aggregation."""
     t = adapters.event_plays(spark, d)
-    x = corpus.ratio_source(corpus.demographics(corpus.rewritten_characters(t, *corpus.aggregations(t))))
+    x = corpus.ratio_source(corpus.demographics(corpus.all_characters(t)))
     return x.select("play_id", "source", F.round("speakers_share", 6).alias("speakers_share"), F.round("female_share", 6).alias("female_share"))
 
 

@@ -59,6 +59,23 @@ def projected(rows: DataFrame, target: DataFrame, distinct: bool = True) -> Data
     return out.distinct() if distinct else out
 
 
+def aggregated_characters(characters: DataFrame, target: DataFrame, heard: DataFrame) -> DataFrame:
+    """play_id, char_id, is_mute, is_collective, is_chorus, made_up after everyone's parts have become their wholes.
+
+    Parts go; a whole is collective, and a chorus if it or any part is; a whole that nobody declares is made up
+    as a chorus.  Mute is who has no speech (heard: play_id, char_id) of its own or of a part.
+    """
+    to = target.select("play_id", F.col("part").alias("char_id"), "whole")
+    named = F.coalesce("whole", "char_id").alias("char_id")
+    one = characters.join(to, ["play_id", "char_id"], "left").select("play_id", named, "is_collective", "is_chorus", F.col("whole").isNotNull().alias("_part"))
+    wholes = target.select("play_id", F.col("whole").alias("char_id")).distinct().withColumn("_whole", F.lit(True))
+    voices = heard.join(to, ["play_id", "char_id"], "left").select("play_id", named).distinct().withColumn("_heard", F.lit(True))
+    own = one.groupBy("play_id", "char_id").agg(F.max("is_collective").alias("is_collective"), F.max("is_chorus").alias("is_chorus"), F.min("_part").alias("_none"))
+    rows = own.join(wholes, ["play_id", "char_id"], "full").join(voices, ["play_id", "char_id"], "left")
+    whole, made_up = F.col("_whole").isNotNull(), F.coalesce("_none", F.lit(True))
+    return rows.select("play_id", "char_id", F.col("_heard").isNull().alias("is_mute"), (whole | F.col("is_collective")).alias("is_collective"), (made_up | F.col("is_chorus")).alias("is_chorus"), made_up.alias("made_up"))
+
+
 def silent_parts(characters: DataFrame, target: DataFrame) -> DataFrame:
     """play_id, part, whole: mute parts whose top whole is declared and speaks."""
     mute = characters.where("is_mute").select("play_id", F.col("char_id").alias("part"))

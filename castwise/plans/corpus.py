@@ -56,15 +56,39 @@ def _label(empty):
     return F.when(F.col("is_initial") & empty, F.concat(k, F.lit("-initial-empty"))).when(F.col("is_initial"), F.concat(k, F.lit("-initial"))).when(F.col("is_final"), F.concat(k, F.lit("-final"))).otherwise(k)
 
 
-def aggregations(t: dict[str, DataFrame], chained: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(play_id, groups): every non-empty subset of a play's groups, and ''; (play_id, groups, part, whole): what each rewrites."""
+def aggregations(t: dict[str, DataFrame], chained: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What aggregation makes of every non-empty subset of a play's groups.
+
+    (play_id, groups) of those to compute, '' among them: subsets that rewrite everyone alike are one, told by the
+    smallest; (play_id, groups, part, whole): what each of these rewrites; (play_id, groups, rep): every subset that rewrites
+    anyone, with the one it is computed as.  A subset's map is made in its row from the play's chains, so nothing is
+    exploded before alike ones are one.
+    """
     own = hierarchy.groups(t["part_of"], t["characters"]).groupBy("play_id").agg(F.array_sort(F.collect_set("char_id")).alias("all"))
     chosen = masks(own, F.col("all"), keep=True).select("play_id", "groups", "chosen")
-    rows = (hierarchy.chains(t["part_of"]) if chained is None else chained).join(chosen, "play_id").where("array_contains(chosen, whole)")
-    w = Window.partitionBy("play_id", "groups", "part").orderBy(F.desc("depth"), "whole")
-    maps = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("play_id", "groups", "part", "whole")
-    keys = t["plays"].select("play_id", F.lit("").alias("groups")).unionByName(maps.select("play_id", "groups")).distinct()
-    return keys, maps
+    steps = hierarchy.chains(t["part_of"]) if chained is None else chained
+    up = steps.groupBy("play_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "whole"))), lambda x: x["whole"]).alias("up"))
+    ways = up.groupBy("play_id").agg(F.array_sort(F.collect_list(F.struct("part", "up"))).alias("ways"))
+    highest = lambda w: F.get(F.filter(w["up"], lambda x: F.array_contains("chosen", x)), 0)
+    rewritten = F.filter(F.transform("ways", lambda w: F.struct(w["part"].alias("part"), highest(w).alias("whole"))), lambda m: m["whole"].isNotNull())
+    rows = chosen.join(ways, "play_id").select("play_id", "groups", F.size("chosen").alias("k"), rewritten.alias("map")).where("size(map) > 0")
+    reps = rows.groupBy("play_id", "map").agg(F.min(F.struct("k", "groups"))["groups"].alias("rep"))
+    shared = rows.join(reps, ["play_id", "map"]).select("play_id", "groups", "rep")
+    maps = reps.select("play_id", F.col("rep").alias("groups"), F.explode("map").alias("m")).select("play_id", "groups", "m.part", "m.whole")
+    plain = t["plays"].select("play_id", F.lit("").alias("groups"))
+    return plain.unionByName(reps.select("play_id", F.col("rep").alias("groups"))), maps, plain.withColumn("rep", F.lit("")).unionByName(shared)
+
+
+def told(rows: DataFrame, shared: DataFrame, play: str = "play_id") -> DataFrame:
+    """Rows by play and groups as computed, for every subset that is computed as them."""
+    s = shared.select(F.col("play_id").alias(play), F.col("groups").alias("_groups"), F.col("rep").alias("groups"))
+    return rows.join(s, [play, "groups"]).drop("groups").withColumnRenamed("_groups", "groups").select(*rows.columns)
+
+
+def all_characters(t: dict[str, DataFrame]) -> DataFrame:
+    """rewritten_characters() of every subset of every play's groups."""
+    keys, maps, shared = aggregations(t)
+    return told(rewritten_characters(t, keys, maps), shared)
 
 
 def rewritten_characters(t: dict[str, DataFrame], keys: DataFrame, maps: DataFrame) -> DataFrame:
@@ -93,12 +117,16 @@ def rewrites(t: dict[str, DataFrame], keys: DataFrame, maps: DataFrame, people:
 
 
 def lattice(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFrame]:
-    """variants, segments, cast (model's), stage_cast, speech, nodes, pairs, edges, people, rules by VARIANT."""
+    """variants, segments, cast (model's), stage_cast, speech, nodes, pairs, edges, people, rules by VARIANT.
+
+    play_id is a key of what is computed; variants tells which segmentation, model and groups it stands for (several, if
+    they rewrite alike), computed has one row for each.
+    """
     here = written(presence_intervals(t["moves"]))
     parts = [spine(t, m, here) for m in spines]
     segs, cast, said = (written(reduce(DataFrame.unionByName, x)) for x in zip(*parts, strict=True))
     chained = hierarchy.chains(t["part_of"])
-    keys, maps = map(written, aggregations(t, chained))
+    keys, maps, shared = map(written, aggregations(t, chained))
     people = written(rewritten_characters(t, keys, maps))
     rules = written(rewrites(t, keys, maps, people, chained))
     models = F.explode(F.array(*(F.lit(m) for m in MODELS)))
@@ -111,7 +139,8 @@ def lattice(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFram
 
     cast, said = written(project(cast)), written(project(said))
     segs = written(segs.join(lattice, "play_id").withColumn("play", F.col("play_id")).withColumn("play_id", vid))
-    variants = written(segs.select("play_id", *VARIANT).distinct())
+    computed = written(segs.select("play_id", *VARIANT).distinct())
+    variants = written(told(computed, shared, "play"))  # several may share a play_id
     voices = said.select("play_id", "char_id").distinct()
     stage = cast.select("play_id", "model", "segmentation", "seg_id", "char_id")
     spoken = said.groupBy("play_id", "model", "segmentation", "seg_id", "char_id").agg(F.sum("word_count").alias("words"))
@@ -131,11 +160,11 @@ def lattice(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFram
     filled = stage.select("play_id", "seg_id").distinct().withColumn("_filled", F.lit(True))
     segments = segments.join(filled, ["play_id", "seg_id"], "left").withColumn("label", F.when(F.col("_folded").isNull(), F.col("label")).otherwise(_label(F.col("_filled").isNull()))).drop("_folded", "_filled")
     segments = written(segments)
-    closed = hierarchy.closure(t["part_of"]).select(F.col("play_id").alias("play"), "part", "whole").join(variants.select("play", "play_id"), "play").drop("play")
+    closed = hierarchy.closure(t["part_of"]).select(F.col("play_id").alias("play"), "part", "whole").join(computed.select("play", "play_id"), "play").drop("play")
     pair_rows = written(graph.pairs(own, closed))
     edges = graph.static_edges(pair_rows, segments.select("play_id", "seg_id", "word_count"))
     nodes = own.select("play_id", "char_id").distinct()
-    return {"variants": variants, "segments": segments, "cast": own, "stage_cast": stage, "speech": speech, "nodes": nodes, "pairs": pair_rows, "edges": edges, "people": people, "rules": rules}
+    return {"variants": variants, "segments": segments, "cast": own, "stage_cast": stage, "speech": speech, "nodes": nodes, "pairs": pair_rows, "edges": edges, "people": told(people, shared), "rules": rules, "computed": computed}
 
 
 def node_metrics(a: dict[str, DataFrame]) -> DataFrame:
@@ -161,7 +190,7 @@ def analyse(t: dict[str, DataFrame], spines=tuple(SPINES), nodes_too: bool = Tru
     short = F.regexp_extract("label", r"^(?:large-seq|middle-seq)-\d+-(.+)$", 1)
     all_in = all_in.select("play_id", F.when(short != "", short).otherwise(F.col("label")).alias("all_in_segment_label"))
     # words of the whole play under the variant's rewriting, units or not
-    talk = t["speeches"].select("play_id", "pos", F.explode("who").alias("char_id"), "word_count").join(variants.withColumnRenamed("play_id", "vid"), F.col("play_id") == F.col("play")).drop("play_id")
+    talk = t["speeches"].select("play_id", "pos", F.explode("who").alias("char_id"), "word_count").join(a["computed"].withColumnRenamed("play_id", "vid"), F.col("play_id") == F.col("play")).drop("play_id")
     talk = talk.join(rules.select("model", F.col("play_id").alias("play"), "groups", F.col("part").alias("char_id"), "whole"), ["model", "play", "groups", "char_id"], "left").select(F.col("vid").alias("play_id"), "pos", F.coalesce("whole", "char_id").alias("char_id"), F.col("word_count").alias("words")).distinct()
     speeches = written(measures.speech_distribution(talk))
     rates = measures.drama_change_rate(measures.change_rates(segment.cast_sets(segments, own).join(segments.select("play_id", "seg_id", "is_initial", "is_final"), ["play_id", "seg_id"])))

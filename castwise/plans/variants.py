@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups of a play of which all subsets are made (2 ** 16 - 1).
-MAX_GROUPS = 16
+#: Groups of a play of which all subsets are told (2 ** 20 - 1); those that rewrite alike are computed once.
+MAX_GROUPS = 20
 MODELS = {"full": (True, "stage"), "p-speaking": (False, "stage"), "s-speaking": (False, "speaking")}
 
 

@@ -259,6 +259,22 @@ def aggregated_cast(spark, d):
     return hierarchy.projected(cast.select("play_id", "seg_id", "char_id"), hierarchy.targets(direct))
 
 
+@query(A_SQL + """, cw AS (SELECT play_id, char_id, NOT is_mute AS heard, char_id % 7 = 0 AS coll, char_id % 10 = 0 AS cho FROM ch WHERE char_id % 3 > 0 OR char_id % 2 = 0 UNION ALL SELECT DISTINCT play_id, 100000 + s_nationkey::BIGINT, false, true, false FROM c JOIN supplier ON s_suppkey = char_id WHERE s_nationkey % 2 = 0),
+tp AS (SELECT DISTINCT c.play_id, char_id AS part, 100000 + s_nationkey::BIGINT AS whole FROM c JOIN supplier ON s_suppkey = char_id WHERE char_id % 3 > 0),
+hd AS (SELECT DISTINCT n.play_id, coalesce(whole, char_id) AS char_id FROM n LEFT JOIN tp ON tp.play_id = n.play_id AND part = char_id WHERE NOT is_mute),
+ax AS (SELECT cw.play_id, coalesce(whole, char_id) AS char_id, bool_or(coll) AS coll, bool_or(cho) AS cho, bool_and(whole IS NOT NULL) AS made FROM cw LEFT JOIN tp ON tp.play_id = cw.play_id AND part = char_id GROUP BY ALL)
+SELECT ax.play_id, ax.char_id, hd.char_id IS NULL AS is_mute, coll OR ax.char_id >= 100000 AS is_collective, cho OR made AS is_chorus, made AS made_up FROM ax LEFT JOIN hd ON hd.play_id = ax.play_id AND hd.char_id = ax.char_id""")
+def fabricated_groups(spark, d):
+    """Two of three suppliers become their nation; only nations of even number are declared, the others are made up."""
+    cast = adapters.order_cast(spark, d)
+    people = adapters.order_characters(spark, d, cast)
+    related = adapters.order_relations(spark, d, cast).where("whole < 200000 AND part % 3 > 0")
+    nations = adapters.order_relations(spark, d, cast).where("whole < 200000 AND (whole - 100000) % 2 = 0").select("play_id", F.col("whole").alias("char_id"), F.lit(True).alias("is_collective"), F.lit(False).alias("is_chorus")).distinct()
+    declared = people.where("char_id % 3 > 0 OR char_id % 2 = 0").select("play_id", "char_id", "is_collective", "is_chorus").unionByName(nations)
+    heard = people.where("NOT is_mute").select("play_id", "char_id")
+    return hierarchy.aggregated_characters(declared, hierarchy.targets(related), heard)
+
+
 @query(A_AGG + "SELECT x.play_id, x.char_id AS src, y.char_id AS dst, count(*) AS segments_shared, 0::BIGINT AS words_shared FROM ag x JOIN ag y ON x.play_id = y.play_id AND x.seg_id = y.seg_id AND x.char_id < y.char_id GROUP BY ALL")
 def aggregated_edges(spark, d):
     return graph.static_edges(graph.pairs(aggregated_cast(spark, d))).drop("segment_ids")
