@@ -215,6 +215,9 @@ def disclosing_terms(rows: DataFrame, frequency: DataFrame, support: int = SUPPO
     own = holds.join(live.select("entity", "kind"), ["entity", "kind"], "left_semi").groupBy("th", "source").agg(F.collect_list(F.struct("entity", "kind")).alias("entities"))
     pair = private.select("th", "terms").join(own, "th").select("source", "entities", F.explode("terms").alias("term")).select("source", "term", F.explode("entities").alias("e")).select("source", "term", "e.entity", "e.kind")
     pair = pair.groupBy("entity", "kind", "term", "source").agg(F.count("*").alias("t")).groupBy("entity", "kind", "term").agg(F.sum("t").alias("together"), F.count("*").alias("sources")).where(F.col("sources") >= support)
+    pair = pinned(pair)
+    asked = pinned(pair.select("term").distinct())  # only their frequencies are counted: the semi-join goes below the count
+    frequency = frequency.join(F.broadcast(asked) if asked.count() <= FEW else asked, "term", "left_semi")
     scored = pair.join(live, ["entity", "kind"]).join(frequency, "term")
     p = F.col("texts") / F.lit(float(max(n, 1)))
     given = (F.col("together") + prior * p) / (F.col("df") + prior)
