@@ -48,7 +48,7 @@ def run(args: argparse.Namespace) -> int:
 
     from .operators.views import corpus_name
     from .plans.corpus import SPINES, analyse
-    from .sinks.exports import corpus_payload, write
+    from .sinks.exports import write, write_corpus, write_table
     from .sources.tei import read_plays, tables
 
     files = corpus_paths(args.paths, args.pattern)
@@ -63,14 +63,11 @@ def run(args: argparse.Namespace) -> int:
     a = analyse(t, tuple(SPINES) if args.seg == "all" else (args.seg,))
     made = write(a, t["plays"], args.out, args.export_model, f"{args.weight}_shared", payloads=not args.no_dashboard)
     if made:
-        # one row for each variant of each play: what the command's user opens as one table
-        table = Path(args.out, f"{args.name or 'comparison'}.csv")
-        a["comparison"].orderBy("id", "segmentation", "model", "aggregated").toPandas().to_csv(table, index=False)
-        made.append(str(table))
+        made.append(str(Path(args.out, f"{args.name or 'comparison'}.csv")))
+        write_table(a["comparison"], ["id", "segmentation", "model", "aggregated"], made[-1])
         if args.command == "corpus" and not args.no_dashboard:
-            name = corpus_name(args.paths, len(files) - len(failed), args.name)
             made.append(str(Path(args.out, "corpus.json")))
-            Path(made[-1]).write_text(corpus_payload(a, t["plays"], name).first()["payload"], encoding="utf-8")
+            write_corpus(a, t["plays"], corpus_name(args.paths, len(files) - len(failed), args.name), made[-1])
     if args.verbose:
         print("\n".join(made), file=sys.stderr)
     return 2 if failed and args.command == "corpus" else 1 if not made else 0

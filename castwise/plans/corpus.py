@@ -234,5 +234,5 @@ def play_blocks(a: dict[str, DataFrame]) -> DataFrame:
 
 def chorus_rows(a: dict[str, DataFrame]) -> DataFrame:
     """play_id, char_id and arrays over the active span: words, present and speaks of every chorus character, zeros and all."""
-    chorus = a["people"].where("is_chorus").withColumnRenamed("play_id", "play").join(a["variants"].select("play_id", "play", "groups"), ["play", "groups"]).select("play_id", "char_id")
+    chorus = a["people"].where("is_chorus").withColumnRenamed("play_id", "play").join(a["computed"].select("play_id", "play", "groups"), ["play", "groups"]).select("play_id", "char_id")
     return measures.dense_rows(a["segments"], a["stage_cast"], a["speech"], chorus)

@@ -6,6 +6,8 @@ play's network), and ``write`` has the executors put them into a folder with one
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 
 import pandas as pd
@@ -40,7 +42,7 @@ def payload_json(a: dict[str, DataFrame]) -> DataFrame:
         rest = [c for c in df.columns if c != "play_id" and c not in order]
         return df.groupBy("play_id").agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
 
-    line = a["comparison"].join(a["variants"].withColumnsRenamed({"play": "id", "groups": "aggregated"}), ["id", "segmentation", "model", "aggregated"])
+    line = a["comparison"].join(a["computed"].withColumnsRenamed({"play": "id", "groups": "aggregated"}), ["id", "segmentation", "model", "aggregated"])
     head = line.select("play_id", F.struct(*(c for c in line.columns if c != "play_id")).alias("comparison"))
     words = a["speech"].where("words > 0").groupBy("play_id", "seg_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("char_id", "words")))).alias("words_by_speaker"))
     segments = segments_csv(a).join(words.withColumnRenamed("seg_id", "segment_id"), ["play_id", "segment_id"], "left")
@@ -52,7 +54,7 @@ def payload_json(a: dict[str, DataFrame]) -> DataFrame:
 
 def characters_csv(a: dict[str, DataFrame]) -> DataFrame:
     """Every declared character of each variant's play, blank where it isn't in the network."""
-    v = a["variants"]
+    v = a["computed"]
     base = a["people"].withColumnRenamed("play_id", "play").join(v, ["play", "groups"])
     full = base.join(a["node_metrics"], ["play_id", "char_id"], "left").join(a["temporal_gini"], ["play_id", "char_id"], "left")
     c = F.col
@@ -83,7 +85,7 @@ def dynamic_csv(a: dict[str, DataFrame]) -> DataFrame:
 def metrics_json(a: dict[str, DataFrame]) -> DataFrame:
     """play_id, json: the comparison row with its nodes, keys sorted."""
     nodes = a["node_metrics"].groupBy("play_id").agg(F.array_sort(F.collect_list(F.struct("char_id", "betweenness", "closeness", "clustering", "degree", "eigenvector", "triangles", "weighted_degree"))).alias("nodes"))
-    c = a["comparison"].join(a["variants"].withColumnsRenamed({"play": "id", "groups": "aggregated"}), ["id", "segmentation", "model", "aggregated"]).join(nodes, "play_id", "left")
+    c = a["comparison"].join(a["computed"].withColumnsRenamed({"play": "id", "groups": "aggregated"}), ["id", "segmentation", "model", "aggregated"]).join(nodes, "play_id", "left")
     return c.select("play_id", F.to_json(F.struct(*sorted(x for x in c.columns if x != "play_id"))).alias("json"))
 
 
@@ -100,7 +102,7 @@ _NODE = {"name": "string", "name_grc": "string", "is_mute": "boolean", "is_colle
 
 
 def _nodes(a: dict[str, DataFrame]) -> DataFrame:
-    v = a["variants"].select("play_id", "play", "groups")
+    v = a["computed"].select("play_id", "play", "groups")
     people = a["people"].withColumnRenamed("play_id", "play")
     x = a["nodes"].join(v, "play_id").join(people, ["play", "groups", "char_id"], "left")
     name = F.coalesce(F.when(F.col("name_en") != "", F.col("name_en")), F.when(F.col("name_grc") != "", F.col("name_grc")), F.col("char_id"))
@@ -131,7 +133,7 @@ def gexf(a: dict[str, DataFrame], dynamic: bool = False, weight: str = "segments
     version = "1.3" if dynamic else "1.2draft"
     mode = 'mode="dynamic" timeformat="double" timerepresentation="timestamp"' if dynamic else 'mode="static"'
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://gexf.net/{version}" version="{version[:3]}"><graph defaultedgetype="undirected" {mode}>{_attributes("node", _NODE)}{_attributes("edge", {"weight": "double"})}'
-    x = a["variants"].select("play_id").join(_joined(nodes, node, ["char_id"], "n"), "play_id", "left").join(_joined(edges, edge, ["src", "dst"], "e"), "play_id", "left")
+    x = a["computed"].select("play_id").join(_joined(nodes, node, ["char_id"], "n"), "play_id", "left").join(_joined(edges, edge, ["src", "dst"], "e"), "play_id", "left")
     return x.select("play_id", F.concat(F.lit(head + "<nodes>\n"), F.coalesce("n", nothing), F.lit("\n</nodes><edges>\n"), F.coalesce("e", nothing), F.lit("\n</edges></graph></gexf>")).alias("gexf"))
 
 
@@ -143,13 +145,12 @@ def graphml(a: dict[str, DataFrame], weight: str = "segments_shared") -> DataFra
     ids = F.array_join(F.transform("segment_ids", lambda s: s.cast("string")), ",")
     edge = F.concat(F.lit('<edge source="'), escape(F.col("src")), F.lit('" target="'), escape(F.col("dst")), F.lit('"><data key="weight">'), F.col(weight).cast("string"), F.lit('</data><data key="segment_ids">'), ids, F.lit("</data></edge>"))
     nothing = F.lit("")
-    x = a["variants"].select("play_id").join(_joined(_nodes(a), node, ["char_id"], "n"), "play_id", "left").join(_joined(a["edges"], edge, ["src", "dst"], "e"), "play_id", "left")
+    x = a["computed"].select("play_id").join(_joined(_nodes(a), node, ["char_id"], "n"), "play_id", "left").join(_joined(a["edges"], edge, ["src", "dst"], "e"), "play_id", "left")
     return x.select("play_id", F.concat(F.lit(head), F.coalesce("n", nothing), F.lit("\n"), F.coalesce("e", nothing), F.lit("\n</graph></graphml>")).alias("graphml"))
 
 
-def corpus_payload(a: dict[str, DataFrame], plays: DataFrame, name: str) -> DataFrame:
-    """One row, payload: the corpus's name, its authors, and every play with its blocks (raw, and agg where there is one) and the counts behind its ratios."""
-    from ..operators.views import authors
+def corpus_payload(a: dict[str, DataFrame], plays: DataFrame) -> DataFrame:
+    """id, payload: each play with its blocks (raw, and agg where there is one) and the counts behind its ratios, as script-safe JSON."""
     from ..plans.corpus import play_blocks, ratio_source
 
     blocks = play_blocks(a).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("segmentation", "model", "raw", "agg"))).alias("blocks"))
@@ -157,9 +158,31 @@ def corpus_payload(a: dict[str, DataFrame], plays: DataFrame, name: str) -> Data
     told = counts.select(F.col("play_id").alias("id"), F.struct(*(c for c in counts.columns if c != "play_id")).alias("composition"))
     about = plays.select(F.col("play_id").alias("id"), F.col("title_en").alias("title"), "author", "genre")
     rows = about.join(blocks, "id", "left").join(told, "id", "left")
-    # one row is the page's whole data: a corpus's plays, each a bounded number of blocks
-    whole = rows.agg(F.array_sort(F.collect_list(F.struct("id", "title", "author", "genre", "composition", "blocks"))).alias("plays")).crossJoin(authors(plays))
-    return whole.select(script_safe(F.to_json(F.struct(F.lit(name).alias("name"), "authors", "plays"))).alias("payload"))
+    return rows.select("id", script_safe(F.to_json(F.struct("id", "title", "author", "genre", "composition", "blocks"))).alias("payload"))
+
+
+def write_corpus(a: dict[str, DataFrame], plays: DataFrame, name: str, path: str) -> None:
+    """The corpus's page data: its name, its authors and its plays in order of id, one play after another as they come (the driver holds one partition)."""
+    from ..operators.views import authors
+
+    session = plays.sparkSession
+    head = session.createDataFrame([(name,)], "name string").crossJoin(authors(plays))
+    start = head.select(script_safe(F.to_json(F.struct("name", "authors"))).alias("payload")).first()["payload"]
+    fs, root = open_uri(path)
+    with fs.open_output_stream(root) as f:
+        f.write(start.removesuffix("}").encode() + b',"plays":[')
+        for i, r in enumerate(corpus_payload(a, plays).orderBy("id").toLocalIterator()):
+            f.write((b"," if i else b"") + r["payload"].encode())
+        f.write(b"]}")
+
+
+def write_table(rows: DataFrame, order: list[str], path: str) -> None:
+    """One CSV file of a sorted table, row after row (the driver holds one partition)."""
+    fs, root = open_uri(path)
+    with fs.open_output_stream(root) as raw, io.TextIOWrapper(raw, encoding="utf-8", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(rows.columns)
+        out.writerows(rows.orderBy(*order).toLocalIterator())
 
 
 def play_folders(plays: DataFrame) -> DataFrame:
@@ -200,7 +223,7 @@ def write(a: dict[str, DataFrame], plays: DataFrame, out: str, model: str = "ful
     at a time, and get their names when all of one kind are done; the driver sees the plays' names and the files' paths.  A folder that source.json gives
     to another file, or that two files would get, is refused.
     """
-    raw = a["variants"].where("groups = ''")
+    raw = a["computed"].where("groups = ''")
     wanted = raw.where(F.col("model") == model)
     if not wanted.join(a["nodes"], "play_id", "left_semi").take(1):
         wanted = raw.where("model = 'full'")

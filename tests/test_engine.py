@@ -236,7 +236,8 @@ def test_corpus(spark, tmp_path):
         assert "<" not in r["payload"] and {c["id"] for c in json.loads(r["payload"])["characters"]} <= {"a", "b", "g", "p1", "p2", "m"}
     made = exports.write(a, t["plays"], str(tmp_path / "out"))
     assert len(made) == 3 * 8 and all(Path(m).exists() for m in made)
-    corpus = json.loads(exports.corpus_payload(a, t["plays"], "Demo").first()[0])
+    exports.write_corpus(a, t["plays"], "Demo", str(tmp_path / "corpus.json"))
+    corpus = json.loads((tmp_path / "corpus.json").read_text())
     assert corpus["name"] == "Demo" and len(corpus["plays"]) == 1 and len(corpus["plays"][0]["blocks"]) == 9 and all(b["agg"]["aggregated"] == "g" for b in corpus["plays"][0]["blocks"])
     assert {r["id"] for r in exports.characters_csv(a).collect()} == {"a", "b", "g", "p1", "p2", "m"}
     told = {(r["code"], r["detail"]) for r in issues(t).collect()}
