@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice_queries
-from .operators import graph, hierarchy, measures, order, paths, presence, segment, views
+from .operators import graph, hierarchy, measures, order, paths, presence, segment, validation, views
 from .plans import variants
 from .plans.pin import pinned, written
 from .sources import adapters
@@ -544,6 +544,41 @@ def undeclared_ids(spark, d):
     return used.join(declared, "char_id", "left_anti").select("play_id", "pos", "char_id")
 
 
+#: Adapter E: every check over plays of events.
+E_SQL = B_SQL.rstrip() + """,
+tk AS (SELECT ['stage', 'voice-only', 'unhidden', 'hidden', 'awake', 'asleep', 'alive', 'dead', 'aware', 'unaware', 'fetch-prop', 'signal-off'] AS t),
+em AS MATERIALIZED (SELECT play_id, pos, type, ch, words, k, clears, 10 * pos AS line, CASE WHEN middle >= 6 THEN middle // 6 END AS lg, CASE WHEN middle >= 4 THEN middle // 4 END AS md,
+  CASE k % 4 WHEN 0 THEN [t[k % 12 + 1]] WHEN 1 THEN [t[k % 12 + 1], t[(k + 1) % 12 + 1]] WHEN 2 THEN ['odd'] ELSE []::VARCHAR[] END AS ana FROM m, tk),
+mv AS MATERIALIZED (SELECT *, list_filter(ana, lambda x: x IN ('fetch-prop', 'signal-off')) AS cross_, list_filter(ana, lambda x: x NOT IN ('fetch-prop', 'signal-off')) AS state FROM em WHERE type <> 'speech'),
+mi AS (SELECT play_id, 'legacy-subtype' AS code, line, type, ana AS tokens FROM mv WHERE k % 9 = 0 UNION ALL SELECT play_id, 'unknown-token', line, type, ana FROM mv WHERE k % 4 = 2
+  UNION ALL SELECT play_id, 'state-on-crossing', line, type, state FROM mv WHERE type = 'crossing' AND len(state) > 0 UNION ALL SELECT play_id, 'crossing-token', line, type, cross_ FROM mv WHERE type <> 'crossing' AND len(cross_) > 0
+  UNION ALL SELECT play_id, 'tokens-forbidden', line, type, ana FROM mv WHERE type IN ('exit', 'merge', 'split') AND len(ana) > 0 UNION ALL SELECT play_id, 'tokens-missing', line, type, ana FROM mv WHERE type IN ('state-change', 'crossing') AND len(ana) = 0
+  UNION ALL SELECT play_id, 'axis-conflict-' || ['location', 'visibility', 'capacity', 'vitality', 'engagement', 'crossing'][(k % 12) // 2 + 1], line, type, ana FROM mv WHERE k % 4 = 1 AND k % 2 = 0),
+us_ AS (SELECT play_id, line, ch FROM mv WHERE type IN ('entrance', 'exit', 'onStage', 'crossing', 'state-change') AND NOT clears UNION ALL SELECT play_id, line, ch FROM em WHERE type = 'speech' UNION ALL SELECT play_id, line, ((ch::INT + 1) % 12)::VARCHAR FROM em WHERE type = 'speech' AND k % 3 = 0),
+bf AS (SELECT play_id, 'large' AS level, count(*) AS n, sum(CASE WHEN type = 'speech' THEN words ELSE 0 END) AS w, lg FROM em GROUP BY play_id, lg UNION ALL SELECT play_id, 'middle', count(*), sum(CASE WHEN type = 'speech' THEN words ELSE 0 END), md FROM em GROUP BY play_id, md),
+iss AS (SELECT play_id, code, line AS source_line, type || ' ' || coalesce(array_to_string(list_sort(tokens), ' '), '') AS detail FROM mi
+  UNION ALL SELECT play_id, 'undeclared-id', line, ch FROM us_ WHERE ch::INT >= 9
+  UNION ALL SELECT play_id, 'state-change-absent', line, ch FROM em WHERE type = 'state-change' AND NOT EXISTS (SELECT 1 FROM iv WHERE iv.play_id = em.play_id AND iv.char_id = em.ch AND start_pos < em.pos AND (end_pos IS NULL OR end_pos >= em.pos))
+  UNION ALL SELECT play_id, 'speech-off-stage', line, ch FROM em WHERE type = 'speech' AND NOT EXISTS (SELECT 1 FROM iv WHERE iv.play_id = em.play_id AND iv.char_id = em.ch AND start_pos <= em.pos AND (end_pos IS NULL OR end_pos > em.pos))
+  UNION ALL SELECT play_id, 'before-first-' || level, NULL, n::VARCHAR || ' items, ' || w::BIGINT::VARCHAR || ' words' FROM bf WHERE lg IS NULL AND EXISTS (SELECT 1 FROM bf y WHERE y.play_id = bf.play_id AND y.level = bf.level AND y.lg IS NOT NULL)
+  UNION ALL SELECT play_id, 'unit-straddles', NULL, md::VARCHAR FROM em WHERE md IS NOT NULL GROUP BY play_id, md HAVING count(DISTINCT coalesce(lg, -1)) > 1
+  UNION ALL SELECT play_id, 'bare-moves', min(line), count(*)::VARCHAR FROM mv WHERE k % 5 = 0 GROUP BY play_id
+  UNION ALL SELECT DISTINCT play_id, 'relation-dropped', NULL, 'partOf 9 nobody' FROM em UNION ALL SELECT DISTINCT play_id, 'no-work-id', NULL, play_id || '.xml' FROM em WHERE right(play_id, 1)::INT % 2 = 1)
+"""
+
+
+@query(E_SQL + "SELECT play_id, code, source_line::BIGINT AS source_line, detail, count(*) AS times FROM iss GROUP BY ALL")
+def validation_issues(spark, d):
+    """Every check; equal issues are counted."""
+    return validation.issues(adapters.event_checks(spark, d)).groupBy("play_id", "code", "source_line", "detail").agg(F.count("*").alias("times"))
+
+
+@query(E_SQL + "SELECT code, count(*) AS issues, count(DISTINCT play_id) AS plays FROM iss GROUP BY code")
+def validation_summary(spark, d):
+    found = validation.issues(adapters.event_checks(spark, d))
+    return found.groupBy("code").agg(F.count("*").alias("issues"), F.count_distinct("play_id").alias("plays"))
+
+
 B_MODEL = B_SQL + """, mo AS (SELECT 'full' AS model, play_id, seg_id, char_id FROM cst UNION ALL SELECT 'p-speaking', play_id, seg_id, char_id FROM cst SEMI JOIN spk ON spk.play_id = cst.play_id AND spk.char_id = cst.char_id UNION ALL SELECT 's-speaking', play_id, seg_id, char_id FROM spk) """
 
 

@@ -92,6 +92,35 @@ def event_tables(events: DataFrame, day: Column | None = None, pos: Column | Non
     return moves, rows.where("event_type = 'click'").select("play_id", "pos", "who", "word_count", "large_pos", "middle_pos")
 
 
+def event_checks(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """E: B with what the checks look at: a line per row, state tokens, bare and legacy moves (from k), large units from six o'clock on
+    and middle ones of four hours from four on, characters under 9 declared, one dropped relation, and no work id on odd days.
+    """
+    from ..operators.validation import AXES
+
+    k, hour = F.get_json_object("props", "$.k").cast("long"), F.hour("ts")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    at = F.row_number().over(Window.partitionBy(day).orderBy("ts", "event_id"))
+    told = table(spark, sf_dir, "events").select(day.alias("play_id"), at.alias("pos"), k.alias("k"), F.when(hour >= 6, F.floor(hour / 6)).cast("long").alias("large_pos"), F.when(hour >= 4, F.floor(hour / 4)).cast("long").alias("middle_pos"))
+    told = told.withColumn("source_line", (10 * F.col("pos")).cast("long"))
+    moves, speeches = (x.drop("large_pos", "middle_pos").join(told, ["play_id", "pos"]) for x in event_stream(spark, sf_dir))
+    tokens = F.array(*(F.lit(t) for axis in AXES.values() for t in axis))
+    one = lambda i: F.get(tokens, (F.col("k") + i) % 12)
+    kind = F.col("k") % 4
+    ana = F.when(kind == 0, F.array(one(0))).when(kind == 1, F.array(one(0), one(1))).when(kind == 2, F.array(F.lit("odd"))).otherwise(F.array().cast("array<string>"))
+    moves = moves.withColumn("ana", ana).withColumn("legacy", F.col("k") % 9 == 0).withColumn("bare", F.col("k") % 5 == 0)
+    other = F.array(((F.element_at("who", 1).cast("int") + 1) % 12).cast("string"))
+    speeches = speeches.withColumn("to_whom", F.when(F.col("k") % 3 == 0, other).otherwise(F.array().cast("array<string>")))
+    plays = told.select("play_id").distinct()
+    units = [told.where(F.col(f"{level}_pos").isNotNull()).select("play_id", F.lit(level).alias("level"), F.col(f"{level}_pos").alias("pos")).distinct() for level in ("large", "middle")]
+    related = F.array(*(F.struct(F.lit("partOf").alias("name"), F.lit(a).alias("part"), F.lit(b).alias("whole"), F.lit(d).alias("declared")) for a, b, d in (("0", "1", True), ("9", "nobody", False))))
+    return {
+        "moves": moves, "speeches": speeches, "units": units[0].unionByName(units[1]),
+        "characters": plays.select("play_id", F.explode(_ids(*range(9))).alias("char_id")), "relations": plays.select("play_id", F.explode(related).alias("r")).select("play_id", "r.*"),
+        "plays": plays.select("play_id", (F.substring("play_id", -1, 1).cast("int") % 2 == 0).alias("has_work_id"), F.concat("play_id", F.lit(".xml")).alias("path")),
+    }
+
+
 def event_units(moves: DataFrame, speeches: DataFrame, unit: str) -> DataFrame:
     return moves.select("play_id", F.col(unit).alias("pos")).unionByName(speeches.select("play_id", F.col(unit).alias("pos"))).distinct()
 
