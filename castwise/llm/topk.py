@@ -1,7 +1,7 @@
 """Operator 8: exact top-k inner products by the threshold algorithm over sorted lists.
 
-Candidates are dealt into shards and queries into blocks by a hash of their id; a unit is
-one block against one shard.  A unit sorts its shard once per dimension.  Reading goes on
+Equal rows are made one first; candidates are dealt into shards and queries into blocks by a hash
+of id and vector, so that many vectors of one id are spread; a unit is one block against one shard.  A unit sorts its shard once per dimension.  Reading goes on
 from both ends of every list in steps of growing depth; vectors first seen in a step get
 their whole score.  An unseen vector lies between the last values read in each list, so
 its score is at most the sum of the better of both products; a query stops when its k-th
@@ -79,11 +79,11 @@ def top_k(embeddings: DataFrame, k: int = 20, query_every: int = 20, factor: int
     whole = F.transform("embedding", lambda x: F.floor(factor * x.cast("double")))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
-    rows = rows.withColumn("dims", F.size("v"))
+    rows = rows.distinct().withColumn("dims", F.size("v"))
     is_query = F.col("vec_id") % query_every == 0
     n, m = embeddings.agg(F.count("*"), F.count_if(is_query)).first()
     shards, blocks = -(-n // SHARD) or 1, -(-m // BLOCK) or 1
-    deal = lambda of: F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int")
+    deal = lambda of: F.pmod(F.xxhash64("vec_id", "v"), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     candidates = rows.select(F.lit(False).alias("query"), deal(shards).alias("shard"), every(blocks).alias("block"), "dims", "vec_id", "v")
     queries = rows.where(is_query).select(F.lit(True).alias("query"), every(shards).alias("shard"), deal(blocks).alias("block"), "dims", "vec_id", "v")
