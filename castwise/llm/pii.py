@@ -232,14 +232,15 @@ def term_places(docs: DataFrame, rows: DataFrame, telling: DataFrame) -> DataFra
     held = rows.select("th", F.explode(F.array_distinct(F.transform("spans", lambda s: s["kind"]))).alias("kind")).distinct()
     all_texts = texts(docs).select(F.md5("text").alias("th"), "text")
     hits = all_texts.select("th", F.explode(terms(F.col("text"))).alias("term")).join(mark(telling), "term")
-    told = hits.where("kind < 0").unionByName(hits.where("kind >= 0").join(held, ["th", "kind"], "left_semi"))
+    told = hits.join(held.withColumn("_held", F.lit(True)), ["th", "kind"], "left").where("kind < 0 OR _held")
     told = pinned(told.groupBy("th", "term").agg(F.max("disclosure").alias("disclosure")))
-    wanted = told.select("th").distinct()
-    if wanted.count() <= FEW:
-        wanted = F.broadcast(wanted)
-    words = all_texts.join(wanted, "th", "left_semi").dropDuplicates(["th"]).select("th", F.explode(found(F.col("text"), TERM, _TERM)).alias("w"))
-    words = words.select("th", F.xxhash64(F.lower("w.value")).alias("term"), "w.start", "w.end").join(told, ["th", "term"])
-    return words.groupBy("th").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    # a text's own telling terms are a small map beside it, so its words are looked up where they are
+    own = told.groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_told"))
+    if told.count() <= FEW:
+        own = F.broadcast(own)
+    once = all_texts.join(own, "th").dropDuplicates(["th"])
+    placed = F.transform(found(F.col("text"), TERM, _TERM), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.try_element_at("_told", F.xxhash64(F.lower(w["value"]))).alias("disclosure")))
+    return once.select("th", F.filter(placed, lambda w: w["disclosure"].isNotNull()).alias("terms"))
 
 
 def _joined(spans: Column) -> Column:
