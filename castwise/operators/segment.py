@@ -124,35 +124,55 @@ def equality_fold(sets: DataFrame) -> DataFrame:
     return sets.withColumn("_new", new).withColumn("fold_id", F.sum("_new").over(w).cast("long")).drop("_new")
 
 
+#: Run starts that the fold's state holds in one array before it is set aside: adding one never copies all.
+STARTS = 256
+
+
 def speaking_fold(sets: DataFrame, speakers: DataFrame) -> DataFrame:
     """play_id, seg_id, fold_id under the speaking model.
 
     Blocks of equal members are joined left to right while both sides of every boundary
     in the run are empty or both are not, and nobody who crosses a boundary of the run
-    speaks in it.  The blocks of a play are folded by one aggregate over their sorted array, whose
-    state is the run so far.
+    speaks in it.
     """
     folds = equality_fold(sets).select("play_id", "seg_id", "fold_id", "members")
     said = speakers.groupBy("play_id", "seg_id").agg(F.collect_set("char_id").alias("said"))
-    none = F.array().cast(sets.schema["members"].dataType)
-    blocks = folds.join(said, ["play_id", "seg_id"], "left").groupBy("play_id", "fold_id").agg(F.first("members").alias("members"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("said", none)))).alias("said"))
-    sorted_blocks = F.array_sort(F.collect_list(F.struct("fold_id", "members", "said")))
+    return speaking_runs(folds.join(said, ["play_id", "seg_id"], "left"))
+
+
+def speaking_runs(folds: DataFrame) -> DataFrame:
+    """speaking_fold() of segments with fold_id (their block), members and said (null: nobody).
+
+    Two neighbours that can't be joined by themselves are never in one run, so a play falls into sections at
+    such boundaries, wherever its runs begin.  The blocks of a section are folded by one aggregate, whose
+    state is the run so far.
+    """
+    none = F.array().cast(folds.schema["members"].dataType)
+    blocks = folds.groupBy("play_id", "fold_id").agg(F.first("members").alias("members"), F.array_distinct(F.flatten(F.collect_set(F.coalesce("said", none)))).alias("said"))
+    w = Window.partitionBy("play_id").orderBy("fold_id")
+    told = blocks.withColumn("last", F.lag("members").over(w)).withColumn("before", F.lag("said").over(w))
+    told = told.withColumn("moved", F.coalesce(F.array_union(F.array_except("members", "last"), F.array_except("last", "members")), none))
+    apart = F.col("last").isNull() | ((F.size("members") > 0) != (F.size("last") > 0)) | F.arrays_overlap("moved", "said") | F.arrays_overlap("moved", "before")
+    told = told.withColumn("section", F.sum(apart.cast("long")).over(w)).select("play_id", "section", F.struct("fold_id", "moved", "said").alias("block"))
 
     def join(s: Column, b: Column) -> Column:
-        crossing = F.array_union(s["crossers"], F.array_union(F.array_except(b["members"], s["last"]), F.array_except(s["last"], b["members"])))
-        heard = F.array_union(s["voices"], b["said"])
-        cut = (F.size(s["runs"]) == 0) | ((F.size(b["members"]) > 0) != (F.size(s["last"]) > 0)) | F.arrays_overlap(crossing, heard)
-        step = F.struct(cut.alias("cut"), crossing.alias("crossing"), heard.alias("heard"))
-        # the step is told once and then taken apart
-        return F.element_at(F.transform(F.array(step), lambda x: F.struct(
-            (s["run"] + x["cut"].cast("long")).alias("run"), b["members"].alias("last"), F.when(x["cut"], none).otherwise(x["crossing"]).alias("crossers"),
-            F.when(x["cut"], b["said"]).otherwise(x["heard"]).alias("voices"), F.concat(s["runs"], F.array(s["run"] + x["cut"].cast("long"))).alias("runs"),
-        )), 1)
-
-    start = F.struct(F.lit(0).cast("long").alias("run"), none.alias("last"), none.alias("crossers"), none.alias("voices"), F.array().cast("array<bigint>").alias("runs"))
-    runs = blocks.groupBy("play_id").agg(F.aggregate(sorted_blocks, start, join, lambda s: s["runs"]).alias("runs"))
-    run_of = runs.select("play_id", F.posexplode("runs").alias("_i", "_run")).select("play_id", (F.col("_i") + 1).cast("long").alias("fold_id"), "_run")
-    return folds.join(run_of, ["play_id", "fold_id"]).select("play_id", "seg_id", F.col("_run").alias("fold_id"))
+        crossing, heard = F.array_union(s["crossers"], b["moved"]), F.array_union(s["voices"], b["said"])
+        cut = (F.size(s["now"]) == 0) | F.arrays_overlap(crossing, heard)
+        full = F.size(s["now"]) >= STARTS
+        own = F.array(b["fold_id"])
+        return F.struct(
+            F.when(cut, none).otherwise(crossing).alias("crossers"), F.when(cut, b["said"]).otherwise(heard).alias("voices"),
+            F.when(full & cut, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
+            F.when(~cut, s["now"]).when(full, own).otherwise(F.concat(s["now"], own)).alias("now"),
+        )
+
+    start = F.struct(none.alias("crossers"), none.alias("voices"), F.array().cast("array<array<bigint>>").alias("done"), F.array().cast("array<bigint>").alias("now"))
+    sections = told.groupBy("play_id", "section").agg(F.array_sort(F.collect_list("block")).alias("_b"))
+    folded = F.aggregate("_b", start, join, lambda s: F.flatten(F.concat(s["done"], F.array(s["now"]))))
+    # a section of one block starts one run, and nothing need be folded
+    starts = sections.select("play_id", F.explode(F.when(F.size("_b") == 1, F.array(F.get("_b", F.lit(0))["fold_id"])).otherwise(folded)).alias("fold_id"), F.lit(1).alias("_starts"))
+    runs = blocks.select("play_id", "fold_id").join(starts, ["play_id", "fold_id"], "left").select("play_id", "fold_id", F.count("_starts").over(w).cast("long").alias("_run"))
+    return folds.join(runs, ["play_id", "fold_id"]).select("play_id", "seg_id", F.col("_run").alias("fold_id"))
 
 
 def folded(rows: DataFrame, folds: DataFrame) -> DataFrame:
