@@ -184,7 +184,7 @@ def lattice_casts(spark, d):
 
 @query(D_SQL + f"SELECT {V}, src, dst, n AS segments_shared, w AS words_shared FROM ed")
 def lattice_edges(spark, d):
-    return keyed(d_lattice(spark, d), "edges").select("segmentation", "model", "groups", "play_id", "src", "dst", "segments_shared", "words_shared")
+    return keyed(d_lattice(spark, d), "links").select("segmentation", "model", "groups", "play_id", "src", "dst", "segments_shared", "words_shared")
 
 
 @query(D_SQL + "SELECT play_id, g AS groups, ch AS char_id, mute AS is_mute, coll AS is_collective, cho AS is_chorus, CASE WHEN own IS NULL THEN NULL ELSE 'No. ' || own END AS name FROM ppl")

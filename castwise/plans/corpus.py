@@ -22,7 +22,7 @@ VARIANT = ["play", "segmentation", "model", "groups"]
 
 
 def spine(t: dict[str, DataFrame], mode: str, here: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(segments, cast, spoken) of one segmentation; spoken has a row per speech and speaker."""
+    """(segments, cast, spoken) of one segmentation; spoken has a row for each set of speakers of a segment and the words they say together."""
     level = SPINES[mode]
     w = Window.partitionBy("play_id").orderBy("seg_id")
     whole = Window.partitionBy("play_id")
@@ -44,10 +44,10 @@ def spine(t: dict[str, DataFrame], mode: str, here: DataFrame) -> tuple[DataFram
         named = F.concat_ws("/", F.when(F.col("type") != "", F.col("type")), F.when(F.col("xml_id") != "", F.col("xml_id")))
         own = F.when(named != "", named).otherwise(F.concat(F.lit("<unit-"), F.col(f"{level}_pos").cast("string"), F.lit(">")))
         segs = segs.withColumn("is_final", last).withColumn("label", F.concat_ws("-", F.lit(mode), "seg_id", own))
-    said = stream.where("type = 'speech'").select("play_id", "seg_id", "pos", F.explode("who").alias("char_id"), "word_count")
+    said = stream.where("type = 'speech' AND size(who) > 0").groupBy("play_id", "seg_id", "who").agg(F.sum("word_count").alias("words"))
     keep = ["play_id", "seg_id", "label", "start_pos", "end_pos", "word_count", "num_speeches", "num_crossings", "is_initial", "is_final"]
     tag = lambda df, *c: df.select(F.lit(mode).alias("segmentation"), *c)
-    return tag(segs, *keep), tag(cast, "play_id", "seg_id", "char_id"), tag(said, "play_id", "seg_id", "pos", "char_id", "word_count")
+    return tag(segs, *keep), tag(cast, "play_id", "seg_id", "char_id"), tag(said, "play_id", "seg_id", "who", "words")
 
 
 def _label(empty):
@@ -117,59 +117,67 @@ def rewrites(t: dict[str, DataFrame], keys: DataFrame, maps: DataFrame, people:
 
 
 def lattice(t: dict[str, DataFrame], spines=tuple(SPINES)) -> dict[str, DataFrame]:
-    """variants, segments, cast (model's), stage_cast, speech, nodes, pairs, edges, people, rules by VARIANT.
+    """variants, segments, cast (model's), stage_cast, speech, sets, nodes, pairs, edges, links (edges without ids), people, rules by VARIANT.
 
     play_id is a key of what is computed; variants tells which segmentation, model and groups it stands for (several, if
-    they rewrite alike), computed has one row for each.
+    they rewrite alike), computed has one row for each.  A segment is one row, with its casts and its speech as arrays,
+    until it has been rewritten and folded; rows by character are made from that.
     """
     here = written(presence_intervals(t["moves"]))
     parts = [spine(t, m, here) for m in spines]
-    segs, cast, said = (written(reduce(DataFrame.unionByName, x)) for x in zip(*parts, strict=True))
+    segs, cast, said = (reduce(DataFrame.unionByName, x) for x in zip(*parts, strict=True))
     chained = hierarchy.chains(t["part_of"])
     keys, maps, shared = map(written, aggregations(t, chained))
     people = written(rewritten_characters(t, keys, maps))
     rules = written(rewrites(t, keys, maps, people, chained))
+    at, way = ["segmentation", "play_id"], ["play_id", "model", "groups"]
+    on_stage = cast.groupBy(*at, "seg_id").agg(F.collect_list("char_id").alias("_stage"))
+    spoken = said.groupBy(*at, "seg_id").agg(F.collect_list(F.struct("who", "words")).alias("_said"))
+    base = written(segs.join(on_stage, [*at, "seg_id"], "left").join(spoken, [*at, "seg_id"], "left"))
+    nobody = F.array().cast("array<string>")
+    heard = base.select(*at, F.explode("_said.who").alias("who")).groupBy(*at).agg(F.array_distinct(F.flatten(F.collect_set("who"))).alias("_heard"))
     models = F.explode(F.array(*(F.lit(m) for m in MODELS)))
-    lattice = keys.withColumn("model", models)
+    to = rules.groupBy(*way).agg(F.map_from_entries(F.collect_list(F.struct("part", "whole"))).alias("_to"))
+    rewritten = lambda who: F.when(F.col("_to").isNull(), F.array_distinct(who)).otherwise(F.array_distinct(F.transform(who, lambda c: F.coalesce(F.try_element_at("_to", c), c))))
     vid = F.concat_ws("\u001f", "play_id", "segmentation", "model", "groups")
-
-    def project(rows: DataFrame) -> DataFrame:
-        wide = rows.join(lattice, "play_id").join(rules.withColumnRenamed("part", "char_id"), ["model", "play_id", "groups", "char_id"], "left")
-        return wide.withColumn("char_id", F.coalesce("whole", "char_id")).withColumn("play", F.col("play_id")).withColumn("play_id", vid).drop("whole").distinct()
-
-    cast, said = written(project(cast)), written(project(said))
-    segs = written(segs.join(lattice, "play_id").withColumn("play", F.col("play_id")).withColumn("play_id", vid))
-    computed = written(segs.select("play_id", *VARIANT).distinct())
+    ways = base.select(*at).distinct().join(keys.withColumn("model", models), "play_id").join(to, way, "left").join(heard, at, "left")
+    ways = written(ways.select(*at, "model", "groups", "_to", F.coalesce(rewritten(F.col("_heard")), nobody).alias("_heard"), vid.alias("_vid")))
+    computed = written(ways.select(F.col("_vid").alias("play_id"), F.col("play_id").alias("play"), "segmentation", "model", "groups"))
     variants = written(told(computed, shared, "play"))  # several may share a play_id
-    voices = said.select("play_id", "char_id").distinct()
-    stage = cast.select("play_id", "model", "segmentation", "seg_id", "char_id")
-    spoken = said.groupBy("play_id", "model", "segmentation", "seg_id", "char_id").agg(F.sum("word_count").alias("words"))
-    kept_stage = stage.join(voices, ["play_id", "char_id"], "left_semi")
-    own = stage.where("model = 'full'").unionByName(kept_stage.where("model = 'p-speaking'")).unionByName(spoken.where("model = 's-speaking'").select(*stage.columns))
+    beats = base.join(ways, at).withColumn("stage", F.array_sort(F.coalesce(rewritten(F.col("_stage")), nobody)))
+    each = F.transform("_said", lambda s: F.transform(rewritten(s["who"]), lambda c: F.struct(c.alias("char_id"), s["words"].alias("words"))))
+    beats = beats.withColumn("speech", F.coalesce(F.flatten(each), F.array().cast("array<struct<char_id:string,words:bigint>>"))).withColumn("kept", F.array_intersect("stage", "_heard"))
+    beats = beats.withColumn("voices", F.array_sort(F.array_distinct(F.col("speech.char_id")))).withColumn("own", F.when(F.col("model") == "full", F.col("stage")).when(F.col("model") == "p-speaking", F.col("kept")).otherwise(F.col("voices")))
+    numbers = ["start_pos", "end_pos", "word_count", "num_speeches", "num_crossings", "is_initial", "is_final", "label"]
     # fold: sd only, not under full. Runs are judged on the kept stage cast.
-    foldable = (F.col("segmentation") == "sd") & F.col("model").isin("p-speaking", "s-speaking")
-    sets = segment.cast_sets(segs.where(foldable), kept_stage.where(foldable))
-    p_sets = sets.where(F.col("play_id").contains("\u001fp-speaking\u001f"))
-    s_sets = sets.where(F.col("play_id").contains("\u001fs-speaking\u001f"))
-    folds = written(segment.equality_fold(p_sets).select("play_id", "seg_id", "fold_id").unionByName(segment.speaking_fold(s_sets, spoken.where("model = 's-speaking'"))))
-    refold = lambda df: df.join(folds, ["play_id", "seg_id"], "left").withColumn("seg_id", F.coalesce("fold_id", "seg_id")).drop("fold_id", "model", "segmentation")
-    own, stage = written(refold(own).distinct()), written(refold(stage).distinct())
-    speech = written(refold(spoken).groupBy("play_id", "seg_id", "char_id").agg(F.sum("words").alias("words")))
-    merged = segs.join(folds, ["play_id", "seg_id"], "left").withColumn("_id", F.coalesce("fold_id", "seg_id"))
-    segments = merged.groupBy("play_id", F.col("_id").alias("seg_id")).agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("word_count").alias("word_count"), F.sum("num_speeches").alias("num_speeches"), F.sum("num_crossings").alias("num_crossings"), F.min_by("is_initial", merged["seg_id"]).alias("is_initial"), F.max_by("is_final", merged["seg_id"]).alias("is_final"), F.min_by("label", merged["seg_id"]).alias("label"), F.max("fold_id").alias("_folded"))
-    filled = stage.select("play_id", "seg_id").distinct().withColumn("_filled", F.lit(True))
-    segments = segments.join(filled, ["play_id", "seg_id"], "left").withColumn("label", F.when(F.col("_folded").isNull(), F.col("label")).otherwise(_label(F.col("_filled").isNull()))).drop("_folded", "_filled")
-    segments = written(segments)
+    foldable = (F.col("segmentation") == "sd") & (F.col("model") != "full")
+    beats = written(beats.select(F.col("_vid").alias("play_id"), "seg_id", *numbers, "own", "stage", "speech", F.when(foldable, F.col("kept")).alias("members"), F.when(foldable & (F.col("model") == "s-speaking"), F.col("voices")).alias("said")))
+    plain = beats.where("members IS NULL").select("play_id", "seg_id", *numbers, "own", "stage", "speech")
+    runs = segment.equality_fold(beats.where("members IS NOT NULL AND said IS NULL"))
+    blocks = written(segment.equality_fold(beats.where("said IS NOT NULL").select("play_id", "seg_id", "members", "said")))
+    runs = runs.unionByName(beats.where("said IS NOT NULL").join(segment.speaking_runs(blocks), ["play_id", "seg_id"]))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    folded = runs.groupBy("play_id", "fold_id").agg(
+        F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), *(F.sum(c).alias(c) for c in ("word_count", "num_speeches", "num_crossings")),
+        F.min_by("is_initial", "seg_id").alias("is_initial"), F.max_by("is_final", "seg_id").alias("is_final"), union("own"), union("stage"), F.flatten(F.collect_list("speech")).alias("speech"),
+    )
+    folded = folded.withColumnRenamed("fold_id", "seg_id").withColumn("label", _label(F.size("stage") == 0))
+    table = plain.unionByName(written(folded.select(*plain.columns)))
+    segments = table.select("play_id", "seg_id", *numbers)
+    by_character = lambda c: table.select("play_id", "seg_id", F.explode(c).alias("char_id"))
+    own, stage = by_character("own"), by_character("stage")
+    speech = table.select("play_id", "seg_id", F.explode("speech").alias("s")).groupBy("play_id", "seg_id", "s.char_id").agg(F.sum("s.words").alias("words"))
     closed = hierarchy.closure(t["part_of"]).select(F.col("play_id").alias("play"), "part", "whole").join(computed.select("play", "play_id"), "play").drop("play")
-    pair_rows = written(graph.pairs(own, closed))
+    sets = written(graph.cast_sets(table.select("play_id", F.col("own").alias("members"), "word_count")))
+    nodes = sets.select("play_id", F.explode("members").alias("char_id")).distinct()
+    pair_rows = graph.pairs(own, closed)
     edges = graph.static_edges(pair_rows, segments.select("play_id", "seg_id", "word_count"))
-    nodes = own.select("play_id", "char_id").distinct()
-    return {"variants": variants, "segments": segments, "cast": own, "stage_cast": stage, "speech": speech, "nodes": nodes, "pairs": pair_rows, "edges": edges, "people": told(people, shared), "rules": rules, "computed": computed}
+    return {"variants": variants, "segments": segments, "cast": own, "stage_cast": stage, "speech": speech, "nodes": nodes, "pairs": pair_rows, "edges": edges, "links": graph.set_edges(sets, closed), "people": told(people, shared), "rules": rules, "computed": computed}
 
 
 def node_metrics(a: dict[str, DataFrame]) -> DataFrame:
     """play_id, char_id and the network measures of every character in every variant of a lattice()."""
-    nodes, edges, key = a["nodes"], a["edges"], ["play_id", "char_id"]
+    nodes, edges, key = a["nodes"], a["links"], ["play_id", "char_id"]
     measured = paths.path_measures(nodes, edges).drop("component", "reach", "distance_sum", "eccentricity")
     metrics = graph.degrees(nodes, edges).join(graph.clustering(nodes, edges).drop("degree"), key).join(measured, key)
     rounded = ("clustering", "betweenness", "closeness", "eigenvector")
@@ -180,7 +188,8 @@ def analyse(t: dict[str, DataFrame], spines=tuple(SPINES), nodes_too: bool = Tru
     """lattice() with node_metrics (if asked for), temporal_gini, indices, demographics and the comparison of all variants."""
     a = lattice(t, spines)
     variants, segments, own, stage, speech, nodes, rules = (a[k] for k in ("variants", "segments", "cast", "stage_cast", "speech", "nodes", "rules"))
-    edges = written(a["edges"])
+    nodes, edges = written(nodes), written(a["links"])
+    a = a | {"nodes": nodes, "links": edges}
     distances = written(paths.distance_measures(paths.levels(nodes, paths.neighbours(edges))))
     degree = graph.degrees(nodes, edges)
     cluster = written(graph.clustering(nodes, edges))
@@ -206,7 +215,9 @@ def analyse(t: dict[str, DataFrame], spines=tuple(SPINES), nodes_too: bool = Tru
         F.col("final_cast_share").alias("final_segment_cast_share"), "max_simultaneous_speakers", F.coalesce("gini_words", F.lit(0.0)).alias("gini_words"), F.coalesce("effective_speakers", F.lit(0.0)).alias("effective_speakers"), "top_speaker",
         F.coalesce("top_share", F.lit(0.0)).alias("top_speaker_word_share"), "top_speaker_temporal_gini", "drama_change_rate",
     )
-    a = a | {"edges": edges}
+    if nodes_too:  # exports read them several times
+        pairs = written(a["pairs"])
+        a = a | {"pairs": pairs, "edges": written(graph.static_edges(pairs, segments.select("play_id", "seg_id", "word_count")))}
     return a | ({"node_metrics": node_metrics(a)} if nodes_too else {}) | {"temporal_gini": gini, "indices": indices, "demographics": demographics(a["people"]), "comparison": comparison}
 
 

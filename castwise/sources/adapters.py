@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import word_count
 from ..operators.order import numbered
+from ..plans.pin import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,7 +157,7 @@ def event_plays(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.when(is_("purchase") & (F.col("k") % 10 == 0), nobody).when(spoken & (F.col("k") % 5 == 0) & F.col("ch").isin(0, 3), F.array(group))
         .when(spoken & (F.col("k") % 7 == 0) & (F.col("ch") != 1), F.concat(own, _ids(1))).otherwise(own)
     )
-    rows = rows.select("*", kind.alias("type"), who.alias("who"))
+    rows = written(rows.select("*", kind.alias("type"), who.alias("who")))  # every table of the corpus is read from them
     swap = F.when(F.col("type").isin("split", "merge"), F.array(((F.col("ch") + 1) % 12).cast("string"))).otherwise(nobody)
     moves = rows.where("type <> 'speech'").select("play_id", "pos", "type", "who", swap.alias("corresp"), F.col("pos").cast("long").alias("stage_pos"), "large_pos", "middle_pos")
     speeches = rows.where("type = 'speech'").select("play_id", "pos", "who", "word_count", "large_pos", "middle_pos")

@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from castwise.operators import segment
+from castwise.operators import graph, segment
 
 
 def folded(sets, said):
@@ -52,3 +52,17 @@ def test_speaking_fold_of_a_long_play(spark):
     began = time.time()
     assert segment.speaking_fold(sets, said).agg(F.max("fold_id"), F.count("*")).first()[:] == (20_000, 40_000)
     assert time.time() - began < 20
+
+
+def test_edges_are_made_from_different_casts(spark):
+    """Segments of one cast are one row before pairs are made, and the edges are those of all segments."""
+    rng = random.Random(3)
+    casts = [sorted(rng.sample("abcdef", rng.randint(0, 4))) for _ in range(6)]
+    rows = [(f"p{p}", i, rng.choice(casts), rng.randint(0, 9)) for p in range(2) for i in range(200)]
+    segments = spark.createDataFrame(rows, "play_id string, seg_id long, members array<string>, word_count long")
+    part_of = spark.createDataFrame([("p0", "b", "a"), ("p1", "c", "f")], "play_id string, part string, whole string")
+    sets = graph.cast_sets(segments)
+    assert sets.count() <= 2 * len(casts)
+    pairs = graph.pairs(segments.select("play_id", "seg_id", F.explode("members").alias("char_id")), part_of)
+    want = graph.static_edges(pairs, segments.select("play_id", "seg_id", "word_count"), ids=False)
+    assert sorted(graph.set_edges(sets, part_of).collect()) == sorted(want.collect())
