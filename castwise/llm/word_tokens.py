@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from .common import by_document, gather
 
 #: Distinct words that a worker remembers; beyond it starts anew (a cache: results don't depend on it).
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 
 #: Of each slice, the text nearest to this many bytes is encoded whole as well.
 PROBE = 2000
