@@ -31,10 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import gather, slices, texts
+from .words import Known
 
 MARK = "\u2581"  # stands for a space
-#: Units that a worker remembers (a cache: results don't depend on it).
-CACHE_UNITS = 400_000
+#: Words, and parts of them, that a worker remembers (caches: results don't depend on them).
+CACHE_UNITS = 1_000_000
 FIRST_CHAR = 1 << 21
 NONE = 1 << 40
 #: Units up to the last width go through agendas(), in groups of like length.
@@ -65,7 +66,7 @@ class MergeEncoder:
         unknown = next(i for i, p in enumerate(model.pieces) if p.type == model.SentencePiece.UNKNOWN)
         self.byte = [fallback.get(f"<0x{b:02X}>", unknown) for b in range(256)] if fallback else None
         self.unknown = unknown
-        self.cache: dict[str, tuple[np.ndarray, bytes]] = {}
+        self.cache, self.units, self.parts = (Known(np.int32, CACHE_UNITS) for _ in range(3))
         # Symbols: a piece is its id; any other character is FIRST_CHAR plus its code point.
         char = np.arange(0x110000, dtype=np.int64) + FIRST_CHAR
         for p, i in self.piece.items():
@@ -76,7 +77,7 @@ class MergeEncoder:
         place = {o: r for r, o in enumerate(sorted(set(self.order.values())))}
         pairs = sorted((symbol(p[:k]) << 32 | symbol(p[k:]), place[self.order[p]], i) for p, i in self.piece.items() for k in range(1, len(p)) if symbol(p[:k]) is not None and symbol(p[k:]) is not None)
         self.pair, self.pair_rank, self.pair_made = (np.array(x or [0], np.int64) for x in (zip(*pairs, strict=True) if pairs else ([], [], [])))
-        self.said = [str(i).encode() for i in range(len(model.pieces))]
+        self.said = pa.array(map(str, range(len(model.pieces))))
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE: they make no piece) and piece of pairs of symbols; a negative symbol is none."""
@@ -153,14 +154,11 @@ class MergeEncoder:
                 out.append(self.unknown)
         return out
 
-    def _learn(self, units: list[str]) -> None:
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        cache = self.cache
-        whole = [u for u in dict.fromkeys(units) if u not in cache]
-        parts = {u: (u[:k], u[k:]) for u in whole if (m := _WORD_END.match(u)) and (k := m.end()) < len(u) and u[k - 1 : k + 1] not in self.inside}
-        new = [u for u in dict.fromkeys(x for u in whole for x in parts.get(u, (u,))) if u not in cache]
-        new.sort(key=len)
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids one after another, where each part's begin and their number; parts are not cut any more."""
+        known = parts.to_pylist()
+        order = sorted(range(len(known)), key=lambda i: len(known[i]))
+        new = [known[i] for i in order]
         ids, at, size = [], 0, [len(u) for u in new]
         for width in WIDTHS:
             to = bisect_right(size, width)
@@ -174,57 +172,64 @@ class MergeEncoder:
             expected += feed + x
         if new and self.library.encode("\n" + "\n".join(new).replace(MARK, " ")) != expected:
             raise RuntimeError("the agenda's ids differ from the library's")
-        for u, x in zip(new, ids, strict=True):
-            cache[u] = (np.array(x, np.int32), b",".join([self.said[i] for i in x]))
-        for u, (a, b) in parts.items():
-            (x, s), (y, t) = cache[a], cache[b]
-            cache[u] = (np.concatenate((x, y)), s + b"," + t)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        start, length = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+        start[order], length[order] = np.cumsum(n) - n, n
+        return np.fromiter((i for x in ids for i in x), np.int32, int(n.sum())), start, length
+
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _parts(); a unit that begins with a line feed is that and what follows."""
+        parts, many = [], []
+        for u in units:
+            before = len(parts)
+            if u[:1] == "\n":
+                parts.append("\n")
+                u = u[1:]
+            if (m := _WORD_END.match(u)) and (k := m.end()) < len(u) and u[k - 1 : k + 1] not in self.inside:
+                parts += (u[:k], u[k:])
+            elif u:
+                parts.append(u)
+            many.append(len(parts) - before)
+        code = self.parts.codes(pa.array(parts, pa.string()), self._parts_or_feed)
+        flat, n = gather(code, self.parts.start, self.parts.length, self.parts.flat)
+        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *many])]
+        return flat, ends[:-1], np.diff(ends)
+
+    def _parts_or_feed(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        feed = np.array(self.agenda("\n"), np.int32)
+        is_feed = pc.equal(parts, "\n").to_numpy(zero_copy_only=False)
+        flat, own, n = self._parts(parts.filter(pa.array(~is_feed)))
+        start, length = np.full(len(parts), len(flat)), np.full(len(parts), len(feed))
+        start[~is_feed], length[~is_feed] = own, n
+        return np.concatenate((flat, feed)), start, length
 
     def encode(self, texts: pa.Array) -> tuple[list[list[int]], list[bytes]]:
         """Ids of each text, and the same as decimal numbers joined by commas."""
         texts = pc.fill_null(texts, "").cast(pa.string())
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)), pc.starts_with(texts, " ")).to_pylist()
-        coded = cut.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        keys = [w[1:] if w[:1] == "\n" else MARK + w for w in words]
-        feed = self.agenda("\n")
-        self._learn([k for k in keys if k])
-        ids, said = [], []
-        first, text_feed = np.array(feed, np.int32), ",".join(map(str, feed)).encode()
-        for w, k in zip(words, keys, strict=True):
-            x, s = self.cache[k] if k else (first[:0], b"")
-            if w[:1] == "\n":
-                x, s = np.concatenate((first, x)), text_feed + b"," + s if k else text_feed
-            ids.append(x)
-            said.append(s)
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        codes = np.asarray(coded.indices, dtype=np.int64)
-        flat, n = gather(codes, np.cumsum(length) - length, length, np.concatenate(ids) if ids else np.empty(0, np.int32))
+        code = self.cache.codes(cut.flatten(), lambda new: self._units([w if w[:1] == "\n" else MARK + w for w in new.to_pylist()]))
+        flat, n = gather(code, self.cache.start, self.cache.length, self.cache.flat)
         ends = np.concatenate(([0], np.cumsum(n)))
         place = np.asarray(cut.offsets, dtype=np.int64)
-        place -= place[0]
-        names = np.empty(len(said), object)
-        names[:] = said
-        out, lines = [], []
+        place = ends[place - place[0]].tolist()
+        out = []
         for i, size in enumerate(pc.binary_length(texts).to_pylist()):
-            a, b = place[i], place[i + 1]
             if not size:
-                out.append([])
-                lines.append(b"")
+                out.append(flat[:0])
             elif odd[i]:  # runs of spaces: cut at the marks
-                units = _UNITS.findall(MARK + texts[i].as_py().replace(" ", MARK))
-                self._learn([u for u in units if u != "\n"])
-                got = [(first, text_feed) if u == "\n" else self.cache[u] for u in units]
-                out.append(np.concatenate([x for x, _ in got]).tolist())
-                lines.append(b",".join(s for _, s in got))
+                units = pa.array(_UNITS.findall(MARK + texts[i].as_py().replace(" ", MARK)))
+                own = self.units.codes(units, lambda new: self._units(new.to_pylist()))
+                out.append(gather(own, self.units.start, self.units.length, self.units.flat)[0])
             else:
-                out.append(flat[ends[a] : ends[b]].tolist())
-                lines.append(b",".join(names[codes[a:b]].tolist()))
-        probe = min((i for i, x in enumerate(out) if x), key=lambda i: len(out[i]), default=None)
-        if probe is not None and self.library.encode(texts[probe].as_py()) != out[probe]:
+                out.append(flat[place[i] : place[i + 1]])
+        sizes = np.cumsum([0, *map(len, out)])
+        said = pa.LargeListArray.from_arrays(pa.array(sizes), self.said.take(pa.array(np.concatenate([flat[:0], *out]))))
+        ids = [x.tolist() for x in out]
+        probe = min((i for i, x in enumerate(ids) if x), key=lambda i: len(ids[i]), default=None)
+        if probe is not None and self.library.encode(texts[probe].as_py()) != ids[probe]:
             raise RuntimeError("a text's ids differ from the library's")
-        return out, lines
+        return ids, pc.binary_join(said, ",").cast(pa.large_binary()).to_pylist()
 
 
 @lru_cache(maxsize=1)
