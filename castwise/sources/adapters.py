@@ -25,19 +25,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A: play_id, seg_id, char_id, words, speaks."""
+def order_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """A: play_id, o_orderdate, o_orderkey and these columns of every line of an order."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *columns)
     play = F.concat_ws("-", F.col("c_nationkey").cast("string"), F.year("o_orderdate").cast("string")).alias("play_id")
     heads = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(play, "o_orderdate", "o_orderkey")
+    return lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def order_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A: play_id, seg_id, char_id, words, speaks."""
     said = F.max(F.col("l_returnflag") == "R")
-    rows = lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("play_id", "o_orderdate", "o_orderkey", F.col("l_suppkey").alias("char_id")).agg(F.sum("l_quantity").cast("long").alias("quantity"), said.alias("speaks"))
+    rows = order_lines(spark, sf_dir, "l_suppkey", "l_quantity", "l_returnflag").groupBy("play_id", "o_orderdate", "o_orderkey", F.col("l_suppkey").alias("char_id")).agg(F.sum("l_quantity").cast("long").alias("quantity"), said.alias("speaks"))
     seg = F.dense_rank().over(Window.partitionBy("play_id").orderBy("o_orderdate", "o_orderkey")).cast("long")
     return rows.select("play_id", seg.alias("seg_id"), "char_id", F.when(F.col("speaks"), F.col("quantity")).otherwise(0).alias("words"), "speaks")
 
 
+def order_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A: play_id, members (the different characters, null among them) of every segment; lines meet by order only, so they are shuffled once."""
+    members = F.collect_set(F.struct("l_suppkey"))["l_suppkey"].alias("members")
+    return order_lines(spark, sf_dir, "l_suppkey").groupBy("play_id", "o_orderdate", "o_orderkey").agg(members).select("play_id", "members")
+
+
 def order_segments(cast: DataFrame) -> DataFrame:
     last = Window.partitionBy("play_id")
     s = cast.groupBy("play_id", "seg_id").agg(F.sum("words").alias("word_count"))
