@@ -49,6 +49,16 @@ def order_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_lines(spark, sf_dir, "l_suppkey").groupBy("play_id", "o_orderdate", "o_orderkey").agg(members).select("play_id", "members")
 
 
+def order_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A: play_id, members (part: a supplier, whole: its nation, top: its region, as order_relations() names them) of every segment; lines meet by order only."""
+    supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    wholes = supplier.select("s_suppkey", (F.col("s_nationkey") + 100000).cast("long").alias("whole"))
+    tops = nation.select((F.col("n_nationkey") + 100000).cast("long").alias("whole"), (F.col("n_regionkey") + 200000).cast("long").alias("top"))
+    lines = order_lines(spark, sf_dir, "l_suppkey").join(wholes.join(tops, "whole", "left"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    members = F.collect_set(F.struct(F.col("l_suppkey").cast("long").alias("part"), "whole", "top")).alias("members")
+    return lines.groupBy("play_id", "o_orderdate", "o_orderkey").agg(members).select("play_id", "members")
+
+
 def order_segments(cast: DataFrame) -> DataFrame:
     last = Window.partitionBy("play_id")
     s = cast.groupBy("play_id", "seg_id").agg(F.sum("words").alias("word_count"))
